@@ -104,15 +104,3 @@ def json_number(value: Column) -> Column:
     number = value.cast("double")
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
 
-
-def bin_number(value: Column, edges: list) -> Column:
-    """Index of the bin [edge i, edge i+1) that holds ``value``; last bin closed.
-
-    Values outside the outer edges and nulls give null. The edges are plan-time
-    constants, so this is one CASE inside generated code.
-    """
-    last = len(edges) - 2
-    chain = F.when(value.isNull() | F.isnan(value) | (value < edges[0]) | (value > edges[-1]), F.lit(None).cast("int"))
-    for number in range(last):
-        chain = chain.when(value < edges[number + 1], number)
-    return chain.otherwise(last)

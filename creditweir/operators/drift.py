@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditweir import fixed_values as fv
-from creditweir.functions.columns import bin_number, drift_status
+from creditweir.functions.columns import drift_status
+from creditweir.operators.longform import interval_join, long_values
 from creditweir.operators.quantiles import exact_quantiles
 
 MAX_PROFILE_ROWS = 100_000
@@ -51,18 +52,38 @@ def edges_of(profile: DataFrame) -> dict:
     return out
 
 
+def _interval_table(spark: SparkSession, edges: dict) -> DataFrame:
+    """Bins by position of their feature; the last bin is closed at the top."""
+    rows = [
+        (position, i, e[i], e[i + 1], i == len(e) - 2)
+        for position, e in enumerate(edges.values())
+        for i in range(len(e) - 1)
+    ]
+    if len(rows) > MAX_PROFILE_ROWS:
+        raise ValueError(f"{len(rows)} bins are too many for a profile")
+    return spark.createDataFrame(rows, "position int, bin int, low double, high double, closed boolean")
+
+
+def _in_bin():
+    value = F.col("value")
+    return (value >= F.col("low")) & ((value < F.col("high")) | (F.col("closed") & (value == F.col("high"))))
+
+
+def _feature_name(edges: dict):
+    return F.get(F.array(*[F.lit(f) for f in edges]), F.col("position")).alias("feature")
+
+
 def bin_counts(df: DataFrame, edges: dict, by: tuple = ()) -> DataFrame:
     """(*by, feature, bin, n) for all features in one pass and one shuffle.
 
-    Each row becomes one (feature, bin) pair per feature; the pairs are summed
-    before the shuffle, so what moves is at most features x bins rows a task.
+    Rows turn into (feature, value) pairs that meet the broadcast bins; pairs are
+    summed before the shuffle, so what moves is at most features x bins rows a
+    task and group.
     """
-    pairs = [
-        F.struct(F.lit(f).alias("feature"), bin_number(F.col(f).cast("double"), e).alias("bin"))
-        for f, e in edges.items()
-    ]
-    long = df.select(*by, F.inline(F.array(*pairs))).filter(F.col("bin").isNotNull())
-    return long.groupBy(*by, "feature", "bin").agg(F.count("*").alias("n"))
+    bins = _interval_table(df.sparkSession, edges)
+    placed = interval_join(long_values(df, list(edges), by), bins, _in_bin())
+    counted = placed.groupBy(*by, "position", "bin").agg(F.count("*").alias("n"))
+    return counted.select(*by, _feature_name(edges), "bin", "n")
 
 
 def reference_profile(df: DataFrame, features: list, bins: int = fv.DRIFT_BINS) -> DataFrame:
@@ -168,18 +189,21 @@ def logged_bin_counts(log: DataFrame, profile: DataFrame, by: tuple = ()) -> Dat
     """
     edges = edges_of(profile)
     vector = F.from_json("feature_vector", "map<string,double>")
-    pairs = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.map_contains_key("vector", F.lit(f)).alias("logged"),
-            bin_number(F.try_element_at("vector", F.lit(f)), e).alias("bin"),
-        )
-        for f, e in edges.items()
-    ]
-    long = log.select(*by, vector.alias("vector")).select(*by, F.inline(F.array(*pairs)))
-    counted = long.groupBy(*by, "feature", "bin").agg(
-        F.count("*").alias("n"), F.count_if(F.col("logged")).alias("n_logged")
+    entries = F.array(
+        *[
+            F.struct(
+                F.map_contains_key("vector", F.lit(f)).alias("logged"),
+                F.try_element_at("vector", F.lit(f)).alias("value"),
+            )
+            for f in edges
+        ]
     )
+    long = log.select(*by, vector.alias("vector")).select(*by, F.posexplode(entries).alias("position", "entry"))
+    bins = _interval_table(log.sparkSession, edges)
+    placed = interval_join(long.select(*by, "position", "entry.*"), bins, _in_bin(), "left")
+    counted = placed.groupBy(*by, "position", "bin").agg(
+        F.count("*").alias("n"), F.count_if(F.col("logged")).alias("n_logged")
+    ).select(*by, _feature_name(edges), "bin", "n", "n_logged")
     # One row per feature and bin from here on.
     per_feature = counted.groupBy(*by, "feature").agg(
         F.sum("n").alias("n_rows"), F.sum("n_logged").alias("n_logged")

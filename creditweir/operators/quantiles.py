@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditweir.operators.longform import interval_join, long_values
+
 SKETCH_ACCURACY = 10000
 MAX_LISTED_VALUES = 20000
 
@@ -65,6 +67,7 @@ def _zones(ranges: list) -> list:
     """Alternating gaps and ranges over the real line: (low, high, is_range)."""
     zones, left = [], -math.inf
     for low, high in ranges:
+        # An infinite value ends its range; it has no gap beyond it.
         zones.append((left, low, False))
         zones.append((low, high, True))
         left = high
@@ -72,36 +75,32 @@ def _zones(ranges: list) -> list:
     return zones
 
 
-def _zone_of(value, zones: list):
-    """Zone number of a value as a CASE over the zone bounds."""
-    chain = None
-    for number, (low, high, is_range) in enumerate(zones[:-1]):
-        test = value <= high if is_range else value < high
-        chain = F.when(test, number) if chain is None else chain.when(test, number)
-    return chain.otherwise(len(zones) - 1)
-
-
 def _tally(df: DataFrame, zones: dict) -> DataFrame:
     """(column_name, zone, value, n); value only inside ranges.
 
-    Every row adds one entry per column. Gaps collapse to one row each before
-    the shuffle, and so does any value that repeats.
+    Gaps collapse to one row each before the shuffle, and so does any value that
+    repeats. There are at most two zones per wanted rank and column.
     """
-    entries = []
-    for column, column_zones in zones.items():
-        value = _number(column)
-        zone = _zone_of(value, column_zones)
-        in_range = (zone % 2) == 1
-        entries.append(
-            F.struct(
-                F.lit(column).alias("column_name"),
-                zone.alias("zone"),
-                F.when(in_range, value).alias("value"),
-                value.isNotNull().alias("present"),
-            )
-        )
-    long = df.select(F.inline(F.array(*entries))).filter("present")
-    return long.groupBy("column_name", "zone", "value").agg(F.count("*").alias("n"))
+    columns = list(zones)
+    finite = {-math.inf: None, math.inf: None}
+    rows = [
+        (position, column, number, finite.get(low, low), finite.get(high, high), is_range)
+        for position, column in enumerate(columns)
+        for number, (low, high, is_range) in enumerate(zones[column])
+    ]
+    table = df.sparkSession.createDataFrame(
+        rows, "position int, column_name string, zone int, low double, high double, is_range boolean"
+    )
+    value = F.col("value")
+    inside = F.when(F.col("is_range"), (value >= F.col("low")) & (value <= F.col("high"))).otherwise(
+        (F.col("low").isNull() | (value > F.col("low"))) & (F.col("high").isNull() | (value < F.col("high")))
+    )
+    placed = interval_join(long_values(df, columns), table, inside)
+    counted = placed.groupBy("position", "zone", F.when(F.col("is_range"), value).alias("value")).agg(
+        F.count("*").alias("n")
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    return counted.select(F.get(names, F.col("position")).alias("column_name"), "zone", "value", "n")
 
 
 def _ranks(n: int, probability: float) -> tuple:

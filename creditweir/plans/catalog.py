@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditweir import fixed_values as fv
-from creditweir.functions.columns import date_key
+from creditweir.functions.columns import dataset_split, date_key
 from creditweir.operators import assertions, dimensions, drift, evaluation, features, requests, scd2, scoring
 from creditweir.operators import silver as silver_ops
+from creditweir.operators.facts import credit_view
 from creditweir.operators.upsert import insert_if_absent, upsert
 from creditweir.plans import given_tables as given
 from creditweir.plans import monitoring, portfolio
 from creditweir.plans.star import Star
+from creditweir.session import cut
+from creditweir.sources.runs import latest_success
 
 QUERIES = {}
 
@@ -123,8 +126,6 @@ def borrower_insert_if_absent(spark, sf_dir):
 def model_view(spark, sf_dir):
     """Both snapshots joined to the borrower version that each fact row names."""
     star = Star(spark, sf_dir)
-    from creditweir.operators.facts import credit_view
-
     return shown(credit_view(star.fact.unionByName(star.fact_later), star.borrowers_later))
 
 
@@ -135,14 +136,14 @@ def constraint_violations(spark, sf_dir):
     k = F.col("applicant_id")
     copies = F.when(k % 701 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     faulty = star.fact.select("*", F.explode(copies).alias("copy")).drop("copy")
-    faulty = faulty.withColumns(
+    faulty = cut(faulty.withColumns(
         {
             "income_band_key": F.when(k % 709 == 0, 99).otherwise(F.col("income_band_key")),
             "utilisation_band_key": F.when(k % 719 != 0, F.col("utilisation_band_key")),
             "borrower_key": F.when(k % 727 == 0, -k).otherwise(F.col("borrower_key")),
             "dataset_split": F.when(k % 733 == 0, "holdout").otherwise(F.col("dataset_split")),
         }
-    )
+    ))
     keys = ["snapshot_date_key", "borrower_key", "income_band_key", "utilisation_band_key", "delinquency_profile_key"]
     report = assertions.constraint_report(
         faulty,
@@ -163,8 +164,6 @@ def constraint_violations(spark, sf_dir):
 @query
 def latest_run(spark, sf_dir):
     """Orders read as ingestion runs: newest successful run per customer segment."""
-    from creditweir.sources.runs import latest_success
-
     runs = given.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("ingestion_id"),
         F.col("o_orderpriority").alias("source_file"),
@@ -252,8 +251,6 @@ def class_balance(spark, sf_dir):
 @query
 def cleaning_counts(spark, sf_dir):
     """Splits over every silver row, so that unlabelled rows show."""
-    from creditweir.functions.columns import dataset_split
-
     rows = Star(spark, sf_dir).silver.withColumn("dataset_split", dataset_split(F.col("applicant_id")))
     return shown(features.cleaning_counts(rows))
 
@@ -262,8 +259,6 @@ def cleaning_counts(spark, sf_dir):
 
 
 def _train_profile(star: Star):
-    from creditweir.session import cut
-
     cleaned, params = _fitted(star)
     rows = cut(features.credit_features(cleaned, params, ("applicant_id", "dataset_split")))
     profile = drift.reference_profile(rows.filter("dataset_split = 'train'"), fv.CREDIT_FEATURES)
@@ -286,8 +281,6 @@ def reference_profile(spark, sf_dir):
 @query
 def psi_by_split(spark, sf_dir):
     """Validation and test features against the training profile."""
-    from creditweir.session import cut
-
     _, _, rows, profile = _train_profile(Star(spark, sf_dir))
     profile = cut(profile)
     counts = drift.bin_counts(
@@ -299,8 +292,6 @@ def psi_by_split(spark, sf_dir):
 @query
 def scenario_drift(spark, sf_dir):
     """Test applicants under portfolio stress, against the training profile."""
-    from creditweir.session import cut
-
     cleaned, params, _, profile = _train_profile(Star(spark, sf_dir))
     profile = cut(profile)
     test = cleaned.filter("dataset_split = 'test' and age is not null")
@@ -318,7 +309,7 @@ def _as_of():
 
 @query
 def prediction_volume(spark, sf_dir):
-    return shown(monitoring.prediction_volume(given.prediction_log(spark, sf_dir), _as_of()))
+    return shown(monitoring.prediction_volume(given.prediction_log(spark, sf_dir), _as_of()), 12)
 
 
 def _drift_report(spark, sf_dir):
@@ -330,8 +321,6 @@ def _drift_report(spark, sf_dir):
         F.try_element_at(F.from_json("feature_vector", "map<string,double>"), F.lit("k")).alias("k"),
     )
     past = values.filter((F.col("received_at") < given.REFERENCE_UNTIL) & (F.col("status") == "OK"))
-    from creditweir.session import cut
-
     profile = cut(drift.reference_profile(past, ["k"]))
     batches = []
     for hours, computed_at in ((240, "2024-01-30 00:00:00"), (72, given.AS_OF)):
@@ -428,9 +417,6 @@ def document_decile_lift(spark, sf_dir):
 @query
 def evaluation_gap(spark, sf_dir):
     """Evaluation of the test split next to the validation AUC."""
-    from creditweir.functions.columns import dataset_split
-    from creditweir.session import cut
-
     rows = cut(given.scored_labels(spark, sf_dir).withColumn("dataset_split", dataset_split(F.col("id"))))
     valid_auc = evaluation.rank_metrics(rows.filter("dataset_split = 'valid'"), "y", "score").select("auc").scalar()
     test = evaluation.evaluation_row(rows.filter("dataset_split = 'test'"), "y", "score", 0.4)
