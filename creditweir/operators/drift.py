@@ -52,7 +52,7 @@ def edges_of(profile: DataFrame) -> dict:
     return out
 
 
-def _interval_table(spark: SparkSession, edges: dict) -> DataFrame:
+def interval_table(spark: SparkSession, edges: dict) -> DataFrame:
     """Bins by position of their feature; the last bin is closed at the top."""
     rows = [
         (position, i, e[i], e[i + 1], i == len(e) - 2)
@@ -64,12 +64,12 @@ def _interval_table(spark: SparkSession, edges: dict) -> DataFrame:
     return spark.createDataFrame(rows, "position int, bin int, low double, high double, closed boolean")
 
 
-def _in_bin():
+def in_bin():
     value = F.col("value")
     return (value >= F.col("low")) & ((value < F.col("high")) | (F.col("closed") & (value == F.col("high"))))
 
 
-def _feature_name(edges: dict):
+def feature_name(edges: dict):
     return F.get(F.array(*[F.lit(f) for f in edges]), F.col("position")).alias("feature")
 
 
@@ -80,10 +80,10 @@ def bin_counts(df: DataFrame, edges: dict, by: tuple = ()) -> DataFrame:
     summed before the shuffle, so what moves is at most features x bins rows a
     task and group.
     """
-    bins = _interval_table(df.sparkSession, edges)
-    placed = interval_join(long_values(df, list(edges), by), bins, _in_bin())
+    bins = interval_table(df.sparkSession, edges)
+    placed = interval_join(long_values(df, list(edges), by), bins, in_bin())
     counted = placed.groupBy(*by, "position", "bin").agg(F.count("*").alias("n"))
-    return counted.select(*by, _feature_name(edges), "bin", "n")
+    return counted.select(*by, feature_name(edges), "bin", "n")
 
 
 def reference_profile(df: DataFrame, features: list, bins: int = fv.DRIFT_BINS) -> DataFrame:
@@ -199,11 +199,11 @@ def logged_bin_counts(log: DataFrame, profile: DataFrame, by: tuple = ()) -> Dat
         ]
     )
     long = log.select(*by, vector.alias("vector")).select(*by, F.posexplode(entries).alias("position", "entry"))
-    bins = _interval_table(log.sparkSession, edges)
-    placed = interval_join(long.select(*by, "position", "entry.*"), bins, _in_bin(), "left")
+    bins = interval_table(log.sparkSession, edges)
+    placed = interval_join(long.select(*by, "position", "entry.*"), bins, in_bin(), "left")
     counted = placed.groupBy(*by, "position", "bin").agg(
         F.count("*").alias("n"), F.count_if(F.col("logged")).alias("n_logged")
-    ).select(*by, _feature_name(edges), "bin", "n", "n_logged")
+    ).select(*by, feature_name(edges), "bin", "n", "n_logged")
     # One row per feature and bin from here on.
     per_feature = counted.groupBy(*by, "feature").agg(
         F.sum("n").alias("n_rows"), F.sum("n_logged").alias("n_logged")

@@ -4,6 +4,8 @@ The texts share common table expressions; every one is self-contained and runs
 on the given tables. They are read by the correctness check only.
 """
 
+from creditweir import fixed_values as fv
+
 BASE = """
 li AS (
   SELECT l_orderkey, count(*) AS n_lines,
@@ -352,6 +354,40 @@ judged AS (
   FROM req)"""
 
 
+# The fixed linear model: position, feature, label, code, reason, weight.
+def _model_rows():
+    large = {"monthly_income": 4999, "monthly_debt_payment": 4999, "income_per_dependent": 1999, "age": 53,
+             "open_credit_lines": 11}
+    rows = []
+    for i, f in enumerate(FEATURE_NAMES):
+        code, reason = fv.REASON_CODES[f]
+        weight = 0.0137 * ((i * 7) % 11 - 5) / large.get(f, 1)
+        rows.append(f"({i}, '{f}', '{fv.DISPLAY_NAMES[f]}', '{code}', '{reason}', {weight!r}::DOUBLE)")
+    return ", ".join(rows)
+
+
+EXPLAINED = FEATURES + f""",
+linear(pos, feature, label, code, reason, weight) AS (VALUES {_model_rows()}),
+feature_rows AS ({_long("feats", "applicant_id,")}),
+contrib AS (
+  SELECT r.applicant_id, l.*, r.v AS value, r.v * l.weight + 0.0 AS c,
+         row_number() OVER (PARTITION BY r.applicant_id ORDER BY abs(r.v * l.weight) DESC, l.pos) AS rank
+  FROM feature_rows r JOIN linear l ON l.feature = r.feature),
+top AS (
+  SELECT *, CASE WHEN c > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction FROM contrib WHERE rank <= 5),
+prob AS (
+  SELECT applicant_id, round(utilisation_bucket * 0.07::DOUBLE + has_any_delinquency * 0.1::DOUBLE + 0.013::DOUBLE
+         + least(total_delinquency_events, 5) * 0.031::DOUBLE, 4) AS p FROM feats),
+decided AS (
+  SELECT applicant_id, p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS cls,
+         CASE WHEN p < 0.05 THEN 'low' WHEN p < 0.15 THEN 'medium' WHEN p < 0.35 THEN 'high' ELSE 'very_high' END AS band
+  FROM prob)"""
+
+
+def _text(x):
+    return f"regexp_replace(CAST(CAST(round({x},4) AS DECIMAL(38,4)) AS VARCHAR), '(\\.\\d+?)0+$', '\\1')"
+
+
 def w(ctes, select):
     return f"WITH {ctes.strip()}\n{select.strip()}"
 
@@ -593,4 +629,93 @@ cur_long AS (""" + _long("stressed", "scenario AS grp,") + ")," + PSI_OF_LONG,
       SELECT * EXCLUDE (errors), CAST(times_30_59_days_late + times_60_89_days_late + times_90_days_late AS BIGINT)
         AS total_delinquency_events
       FROM judged WHERE len(errors) = 0"""),
+    "scored_applicants": w(EXPLAINED, """
+      SELECT applicant_id, p AS probability_default, CAST(cls AS BIGINT) AS predicted_class, band AS risk_band,
+             0.5::DOUBLE AS threshold_used FROM decided"""),
+    "reason_codes": w(EXPLAINED, """
+      SELECT applicant_id, code, reason, rank, feature FROM top WHERE direction = 'increases_risk'"""),
+    "model_payload": w(EXPLAINED, """
+      SELECT t.applicant_id, 'req-' || t.applicant_id AS request_id, d.p AS probability_of_default,
+             0.0668::DOUBLE AS average_probability, v.number_of_dependents IS NULL AS dependents_missing,
+             t.label AS factor, round(t.value,4) AS value, round(t.c,4) AS contribution, t.direction, t.rank,
+             CASE WHEN t.c > 0 THEN t.code END AS reason_code
+      FROM top t JOIN decided d USING (applicant_id) JOIN view1 v USING (applicant_id)"""),
+    "template_report": w(EXPLAINED, f"""
+      , said AS (
+        SELECT applicant_id, direction, label, code, rank,
+               'Recorded value ' || {_text("value")} || '; contribution to modelled risk ' || {_text("c")} || '.' AS observation
+        FROM top),
+      lists AS (
+        SELECT applicant_id,
+          coalesce(string_agg(code || ': ' || label || ': ' || observation, ' | ' ORDER BY rank) FILTER (WHERE direction = 'increases_risk'), '') AS up,
+          coalesce(string_agg(label || ': ' || observation, ' | ' ORDER BY rank) FILTER (WHERE direction = 'decreases_risk'), '') AS down
+        FROM said GROUP BY applicant_id)
+      SELECT d.applicant_id,
+        'Modelled probability of default is ' || {_text("d.p")} || ', placing this application in the ' || d.band ||
+        ' risk band against a decision threshold of 0.5. The portfolio average is 0.0668. ' ||
+        'This note was generated without narrative language support.' AS summary,
+        l.up AS key_risk_factors, l.down AS mitigating_factors,
+        CASE WHEN v.monthly_income IS NULL AND v.number_of_dependents IS NULL
+             THEN 'Field flagged as imputed or missing: monthly_income_imputed. | Field flagged as imputed or missing: dependents_missing.'
+             WHEN v.monthly_income IS NULL THEN 'Field flagged as imputed or missing: monthly_income_imputed.'
+             WHEN v.number_of_dependents IS NULL THEN 'Field flagged as imputed or missing: dependents_missing.'
+             ELSE 'No data quality flags were raised for this application.' END AS data_quality_notes,
+        'Verify reported income against documentary evidence. | Confirm the delinquency history against the bureau record. | ' ||
+        'Review current outstanding balances across all open accounts.' AS recommended_checks,
+        'low' AS confidence, 'disabled' AS llm_status
+      FROM decided d JOIN lists l USING (applicant_id) JOIN view1 v USING (applicant_id)"""),
+    "report_audit": w(EXPLAINED, """
+      , judged AS (
+        SELECT applicant_id, applicant_id % 6 AS kind, count(*) FILTER (WHERE direction = 'increases_risk') AS n_up
+        FROM top GROUP BY applicant_id),
+      found AS (
+        SELECT applicant_id,
+               CASE WHEN kind = 4 THEN 'not valid JSON' WHEN kind = 5 OR (n_up = 0 AND kind <> 1) THEN 'key_risk_factors not 1 to 5'
+                    ELSE '' END AS problems,
+               CASE WHEN kind = 1 THEN 'R99' ELSE '' END AS fabricated,
+               CASE WHEN kind = 2 AND n_up > 0 THEN '987654.321' ELSE '' END AS unsupported
+        FROM judged)
+      SELECT *, problems = '' AND fabricated = '' AND unsupported = '' AS is_valid,
+             CASE WHEN applicant_id % 7 = 0 THEN 'disabled'
+                  WHEN problems = '' AND fabricated = '' AND unsupported = '' THEN 'ok' ELSE 'fallback' END AS outcome
+      FROM found"""),
+    "drift_alerts": w(DRIFT_REPORT, """
+      SELECT computed_at AS occurred_at, 'drift_alert' AS event_type, pipeline_name AS pipeline, model_version,
+             CAST(240 AS BIGINT) AS window_hours, feature_name AS feature, round(psi,4) AS psi
+      FROM report WHERE drift_status = 'ALERT'"""),
+    "drift_status_counts": w(DRIFT_REPORT, """
+      SELECT computed_at, pipeline_name, model_version, count(*) FILTER (WHERE drift_status='ALERT') AS n_alert,
+             count(*) FILTER (WHERE drift_status='WARN') AS n_warn, count(*) FILTER (WHERE drift_status='OK') AS n_ok
+      FROM report GROUP BY ALL"""),
+    "model_registry": w(PLOG, """
+      SELECT 'credit' AS pipeline_name, 'credit_linear' AS model_name, model_version, count(*) AS training_rows,
+             strftime(max(received_at), '%Y-%m-%d %H:%M:%S') AS trained_at, model_version = 'v2' AS is_active
+      FROM plog GROUP BY model_version"""),
+    "prediction_facts": w(PLOG, """
+      SELECT CAST(strftime(received_at, '%Y%m%d') AS BIGINT) AS date_key, CAST(request_id AS BIGINT) AS request_id,
+             strftime(received_at, '%Y-%m-%d %H:%M:%S') AS predicted_at, round(probability_default,6) AS probability_default,
+             CAST(CASE WHEN probability_default >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS predicted_class,
+             CASE WHEN probability_default < 0.05 THEN 'low' WHEN probability_default < 0.15 THEN 'medium'
+                  WHEN probability_default < 0.35 THEN 'high' ELSE 'very_high' END AS risk_band,
+             0.5::DOUBLE AS threshold_used, CAST(latency_ms AS BIGINT) AS latency_ms, CAST(NULL AS BIGINT) AS actual_outcome,
+             model_version = 'v1' AS has_model
+      FROM plog WHERE status = 'OK'"""),
+    "bronze_from_csv": w(BRONZE, "SELECT * EXCLUDE (bronze_id), CAST(0 AS BIGINT) AS files_misnumbered FROM raw"),
+    "stream_volume": w(PLOG, """
+      SELECT strftime(date_trunc('hour', received_at), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n,
+             round(avg(probability_default),12) AS avg_probability
+      FROM plog GROUP BY date_trunc('hour', received_at)
+      HAVING date_trunc('hour', received_at) + INTERVAL 1 HOUR <= (SELECT max(received_at) FROM plog) - INTERVAL 1 HOUR"""),
+    "stream_drift": w(PLOG + """,
+ref_long AS (
+  SELECT 'k' AS feature, k AS v FROM plog WHERE status = 'OK' AND received_at < TIMESTAMP '2024-01-21 00:00:00'),
+""" + PROFILE_OF_LONG + """,
+cur_long AS (
+  SELECT CAST(CAST(received_at AS DATE) + INTERVAL 1 DAY AS VARCHAR) || '|' || model_version AS grp, 'k' AS feature, k AS v
+  FROM plog WHERE status = 'OK'
+    AND CAST(received_at AS DATE) + INTERVAL 1 DAY <= (SELECT max(received_at) FROM plog WHERE status = 'OK') - INTERVAL 1 HOUR),
+""" + PSI_OF_LONG, """
+      SELECT split_part(grp,'|',1) AS window_end, split_part(grp,'|',2) AS model_version, feature, round(psi,5) AS psi,
+             n_reference, n_current, CASE WHEN psi >= 0.25 THEN 'ALERT' WHEN psi >= 0.1 THEN 'WARN' ELSE 'OK' END AS drift_status
+      FROM psi WHERE n_current >= 100"""),
 }

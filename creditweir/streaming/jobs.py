@@ -32,13 +32,13 @@ def windowed_bin_counts(log: DataFrame, profile: DataFrame, window: str, latenes
     long = ok.select("received_at", "model_version", vector.alias("vector")).select(
         "received_at", "model_version", F.posexplode(entries).alias("position", "value")
     )
-    bins = drift._interval_table(log.sparkSession, edges)
-    placed = interval_join(long, bins, drift._in_bin(), "left")
+    bins = drift.interval_table(log.sparkSession, edges)
+    placed = interval_join(long, bins, drift.in_bin(), "left")
     counted = placed.groupBy(F.window("received_at", window), "model_version", "position", "bin").agg(
         F.count("*").alias("n")
     )
     return counted.select(
-        F.col("window.end").alias("window_end"), "model_version", drift._feature_name(edges), "bin", "n"
+        F.col("window.end").alias("window_end"), "model_version", drift.feature_name(edges), "bin", "n"
     )
 
 
