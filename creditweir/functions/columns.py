@@ -14,9 +14,9 @@ def is_true(condition: Column) -> Column:
 def to_number(text: Column) -> Column:
     """Text to double; blanks, words, NaN and Java-style suffixes give null."""
     trimmed = F.trim(text)
-    number = trimmed.try_cast("double")
-    java_suffix = trimmed.rlike(r"[0-9.][dDfF]$")
-    return F.when(~java_suffix & ~F.isnan(number), number)
+    # Blanks are common, so they are told apart before the parser fails on them.
+    number = F.when(trimmed != "", trimmed.try_cast("double"))
+    return F.when(~F.isnan(number) & ~trimmed.rlike(r"[0-9.][dDfF]$"), number)
 
 
 def clip(value: Column, lower=None, upper=None) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from creditweir import fixed_values as fv
 from creditweir import schemas
+from creditweir.session import small_table
 
 MAX_BAND_ROWS = 1000
 
@@ -30,12 +31,12 @@ def calendar(spark: SparkSession, start=fv.CALENDAR_START, end=fv.CALENDAR_END)
 
 def income_bands(spark: SparkSession) -> DataFrame:
     rows = [(sort + 1, *rest, sort) for *rest, sort in fv.INCOME_BANDS]
-    return spark.createDataFrame(rows, schemas.DIM_INCOME_BAND)
+    return small_table(spark, rows, schemas.DIM_INCOME_BAND)
 
 
 def utilisation_bands(spark: SparkSession) -> DataFrame:
     rows = [(sort, *rest, sort) for *rest, sort in fv.UTILISATION_BANDS]
-    return spark.createDataFrame(rows, schemas.DIM_UTILISATION_BAND)
+    return small_table(spark, rows, schemas.DIM_UTILISATION_BAND)
 
 
 def delinquency_profile_key(late_30_59: Column, late_60_89: Column, late_90: Column, sentinel: Column) -> Column:
@@ -80,7 +81,7 @@ def band_lookup(value: Column, bands: list, key: str, null_check: str = "is_unkn
 
 def band_rows(bands: DataFrame) -> list:
     """The rows of a band dimension in sort order, checked to be few."""
-    rows = bands.orderBy("sort_order").limit(MAX_BAND_ROWS + 1).collect()
+    rows = bands.limit(MAX_BAND_ROWS + 1).collect()
     if len(rows) > MAX_BAND_ROWS:
         raise ValueError(f"a band dimension may hold at most {MAX_BAND_ROWS} rows")
-    return rows
+    return sorted(rows, key=lambda r: r["sort_order"])

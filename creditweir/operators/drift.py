@@ -9,6 +9,7 @@ from creditweir import fixed_values as fv
 from creditweir.functions.columns import drift_status
 from creditweir.operators.longform import interval_join, long_values
 from creditweir.operators.quantiles import exact_quantiles
+from creditweir.session import small_table
 
 MAX_PROFILE_ROWS = 100_000
 
@@ -38,7 +39,7 @@ def edge_table(spark: SparkSession, edges: dict) -> DataFrame:
     rows = [(f, i, e[i], e[i + 1]) for f, e in edges.items() for i in range(len(e) - 1)]
     if len(rows) > MAX_PROFILE_ROWS:
         raise ValueError(f"{len(rows)} bins are too many for a profile")
-    return spark.createDataFrame(rows, "feature string, bin int, lower_edge double, upper_edge double")
+    return small_table(spark, rows, "feature string, bin int, lower_edge double, upper_edge double")
 
 
 def edges_of(profile: DataFrame) -> dict:
@@ -61,7 +62,7 @@ def interval_table(spark: SparkSession, edges: dict) -> DataFrame:
     ]
     if len(rows) > MAX_PROFILE_ROWS:
         raise ValueError(f"{len(rows)} bins are too many for a profile")
-    return spark.createDataFrame(rows, "position int, bin int, low double, high double, closed boolean")
+    return small_table(spark, rows, "position int, bin int, low double, high double, closed boolean")
 
 
 def in_bin():

@@ -8,31 +8,23 @@ at any size while only counts and short value lists reach the driver.
 """
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditweir.operators.longform import interval_join, long_values
+from creditweir.session import small_table
 
 SKETCH_ACCURACY = 10000
 MAX_LISTED_VALUES = 20000
 
 
-@dataclass(frozen=True)
-class Bracket:
-    """Values of one column between two bounds; an open bound is excluded."""
-
-    column: str
-    low: float
-    high: float
-    low_open: bool
-    high_open: bool
-
-    def holds(self, value):
-        above = value > self.low if self.low_open else value >= self.low
-        below = value < self.high if self.high_open else value <= self.high
-        return above & below
+def _inside(value, low, high, is_range):
+    """Whether a value lies in a closed range or an open, maybe unbounded, gap."""
+    if is_range:
+        return (value >= low) & (value <= high)
+    above = F.lit(True) if low is None else value > low
+    return above if high is None else above & (value < high)
 
 
 def _number(column: str):
@@ -64,14 +56,16 @@ def _merge(ranges: list) -> list:
 
 
 def _zones(ranges: list) -> list:
-    """Alternating gaps and ranges over the real line: (low, high, is_range)."""
-    zones, left = [], -math.inf
+    """Alternating gaps and ranges over the real line: (low, high, is_range).
+
+    The outer gaps are unbounded, shown as None.
+    """
+    zones, left = [], None
     for low, high in ranges:
-        # An infinite value ends its range; it has no gap beyond it.
         zones.append((left, low, False))
         zones.append((low, high, True))
         left = high
-    zones.append((left, math.inf, False))
+    zones.append((left, None, False))
     return zones
 
 
@@ -82,14 +76,13 @@ def _tally(df: DataFrame, zones: dict) -> DataFrame:
     repeats. There are at most two zones per wanted rank and column.
     """
     columns = list(zones)
-    finite = {-math.inf: None, math.inf: None}
     rows = [
-        (position, column, number, finite.get(low, low), finite.get(high, high), is_range)
+        (position, column, number, low, high, is_range)
         for position, column in enumerate(columns)
         for number, (low, high, is_range) in enumerate(zones[column])
     ]
-    table = df.sparkSession.createDataFrame(
-        rows, "position int, column_name string, zone int, low double, high double, is_range boolean"
+    table = small_table(
+        df.sparkSession, rows, "position int, column_name string, zone int, low double, high double, is_range boolean"
     )
     value = F.col("value")
     inside = F.when(F.col("is_range"), (value >= F.col("low")) & (value <= F.col("high"))).otherwise(
@@ -154,9 +147,8 @@ def _order_statistics(df: DataFrame, column_ranges: dict, targets: dict) -> dict
             tally.unpersist()
         open_targets, ranges = {}, {}
         for (column, number), wanted in again.items():
-            low, high, is_range = zones[column][number]
-            bracket = Bracket(column, low, high, not is_range, not is_range)
-            inner = df.select(F.when(bracket.holds(_number(column)), _number(column)).alias(column))
+            value = _number(column)
+            inner = df.select(F.when(_inside(value, *zones[column][number]), value).alias(column))
             fractions = []
             for _, offset, n in wanted:
                 fractions += _bracket_fractions(offset / max(n - 1, 1))

@@ -16,7 +16,7 @@ from creditweir.operators.upsert import insert_if_absent, upsert
 from creditweir.plans import given_tables as given
 from creditweir.plans import monitoring, portfolio
 from creditweir.plans.star import Star
-from creditweir.session import cut
+from creditweir.session import cut, small_table
 from creditweir.sources.runs import latest_success
 
 QUERIES = {}
@@ -227,7 +227,7 @@ def feature_params(spark, sf_dir):
     _, params = _fitted(Star(spark, sf_dir))
     names = ["median_income", "utilisation_cap", "debt_ratio_cap", "median_age"]
     row = tuple(params.values[n] for n in names)
-    return shown(spark.createDataFrame([row], ", ".join(f"{n} double" for n in names)))
+    return shown(small_table(spark, [row], ", ".join(f"{n} double" for n in names)))
 
 
 @query

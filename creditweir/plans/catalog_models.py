@@ -13,7 +13,7 @@ from creditweir.plans import given_tables as given
 from creditweir.plans import monitoring, training
 from creditweir.plans.catalog import _drift_report, _fitted, query, shown
 from creditweir.plans.star import Star
-from creditweir.session import cut, shared_dir
+from creditweir.session import cut, shared_dir, small_table
 from creditweir.sources import files
 from creditweir.streaming import jobs as streams
 
@@ -195,7 +195,7 @@ def _registry_entries(log: DataFrame) -> DataFrame:
 def model_registry(spark, sf_dir):
     """Register both versions on early rows, activate v2, refresh on all rows."""
     log = given.prediction_log(spark, sf_dir)
-    empty = spark.createDataFrame([], schemas.DIM_MODEL)
+    empty = small_table(spark, [], schemas.DIM_MODEL)
     early = _registry_entries(log.filter(F.col("received_at") < given.REFERENCE_UNTIL))
     first = cut(registry.activate(registry.register(empty, early), "credit", "v2"))
     refreshed = registry.register(first, _registry_entries(log))

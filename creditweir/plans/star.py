@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from creditweir import schemas
 from creditweir.operators import dimensions, facts, scd2, silver
 from creditweir.plans import given_tables as given
-from creditweir.session import cut
+from creditweir.session import cut, small_table
 
 
 class Star:
@@ -44,7 +44,7 @@ class Star:
 
     @cached_property
     def no_borrowers(self) -> DataFrame:
-        return self.spark.createDataFrame([], schemas.DIM_BORROWER)
+        return small_table(self.spark, [], schemas.DIM_BORROWER)
 
     @cached_property
     def borrowers(self) -> DataFrame:

@@ -3,7 +3,10 @@
 import tempfile
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(master="local[*]", shuffle_partitions=None, app="creditweir", **conf) -> SparkSession:
@@ -59,3 +62,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A literal table held in the plan, for dimensions and parameters.
+
+    Going through Arrow keeps it a local relation: no job, no Python workers.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    columns = [list(values) for values in zip(*rows)] or [[] for _ in schema]
+    arrow = to_arrow_schema(schema)
+    table = pa.Table.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from creditweir import schemas
 from creditweir.operators.upsert import insert_if_absent, upsert
-from creditweir.session import cut
+from creditweir.session import cut, small_table
 
 
 class TableNotFoundError(LookupError):
@@ -48,7 +48,7 @@ class Tables:
         versions = self._versions(name)
         if not versions:
             if schema is not None:
-                return self.spark.createDataFrame([], schema)
+                return small_table(self.spark, [], schema)
             raise TableNotFoundError(f"no table {name} below {self.root}")
         return self.spark.read.parquet(f"{self.path(name)}/v={versions[-1]}")
 
@@ -83,7 +83,7 @@ class Tables:
         folder = jvm.org.apache.hadoop.fs.Path(self.path(name))
         fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(folder):
-            return self.spark.createDataFrame([], schema)
+            return small_table(self.spark, [], schema)
         nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
         return self.spark.read.schema(nullable).parquet(self.path(name)).select(*schema.fieldNames())
 
