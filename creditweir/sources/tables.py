@@ -50,7 +50,14 @@ class Tables:
             if schema is not None:
                 return small_table(self.spark, [], schema)
             raise TableNotFoundError(f"no table {name} below {self.root}")
-        return self.spark.read.parquet(f"{self.path(name)}/v={versions[-1]}")
+        return self._scan(f"{self.path(name)}/v={versions[-1]}", schema)
+
+    def _scan(self, path: str, schema: T.StructType = None) -> DataFrame:
+        """Files with the declared types, which partition columns need."""
+        if schema is None:
+            return self.spark.read.parquet(path)
+        nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+        return self.spark.read.schema(nullable).parquet(path).select(*schema.fieldNames())
 
     def replace(self, name: str, df: DataFrame, schema: T.StructType, partition_by: tuple = ()) -> None:
         """Write a new version; the old one stays readable for running jobs."""
@@ -84,8 +91,7 @@ class Tables:
         fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(folder):
             return small_table(self.spark, [], schema)
-        nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
-        return self.spark.read.schema(nullable).parquet(self.path(name)).select(*schema.fieldNames())
+        return self._scan(self.path(name), schema)
 
     def upsert_partitions(self, name: str, staged: DataFrame, keys: list, schema: T.StructType,
                           partition: str) -> None:
