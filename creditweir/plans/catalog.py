@@ -30,17 +30,18 @@ def query(function):
 def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     columns = []
     for name, kind in df.dtypes:
-        value = F.col(name)
         if kind in ("tinyint", "smallint", "int"):
-            value = value.cast("bigint")
+            columns.append(f"CAST(`{name}` AS BIGINT) AS `{name}`")
         elif kind.startswith("decimal") or kind in ("double", "float"):
-            value = F.round(value.cast("double"), digits) + F.lit(0.0)
+            # Adding zero turns a negative zero into a plain one.
+            columns.append(f"round(CAST(`{name}` AS DOUBLE), {digits}) + 0.0D AS `{name}`")
         elif kind == "date":
-            value = F.date_format(value, "yyyy-MM-dd")
+            columns.append(f"date_format(`{name}`, 'yyyy-MM-dd') AS `{name}`")
         elif kind.startswith("timestamp"):
-            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-        columns.append(value.alias(name))
-    return df.select(*columns)
+            columns.append(f"date_format(`{name}`, 'yyyy-MM-dd HH:mm:ss') AS `{name}`")
+        else:
+            columns.append(f"`{name}`")
+    return df.selectExpr(*columns)
 
 
 # --- landing, silver, history, facts -------------------------------------------------
@@ -322,25 +323,26 @@ def _drift_report(spark, sf_dir):
     )
     past = values.filter((F.col("received_at") < given.REFERENCE_UNTIL) & (F.col("status") == "OK"))
     profile = cut(drift.reference_profile(past, ["k"]))
-    batches = []
-    for hours, computed_at in ((240, "2024-01-30 00:00:00"), (72, given.AS_OF)):
-        ok = monitoring.recent(log, F.lit(computed_at).cast("timestamp"), hours).filter(
-            (F.col("status") == "OK") & (F.col("received_at") <= computed_at)
-        )
-        for version in ("v1", "v2"):
-            psi = drift.with_status(
-                drift.logged_psi(ok.filter(F.col("model_version") == version), profile), warn=0.02, alert=0.06
-            )
-            batches.append(
-                monitoring.drift_rows(
-                    psi, "credit", version, F.lit(computed_at).cast("timestamp"),
-                    f"train split, {fv.DRIFT_BINS} bins", f"last {hours}h of prediction_log",
-                )
-            )
-    report = batches[0]
-    for batch in batches[1:]:
-        report = report.unionByName(batch)
-    return report
+    windows = F.array(
+        *[
+            F.struct(F.lit(t).cast("timestamp").alias("computed_at"), F.lit(h).alias("hours"))
+            for h, t in ((240, "2024-01-30 00:00:00"), (72, given.AS_OF))
+        ]
+    )
+    by = ("computed_at", "hours", "model_version")
+    end = F.col("computed_at")
+    current = log.filter("status = 'OK'").select("*", F.inline(windows)).filter(
+        (F.col("received_at") > end - F.make_dt_interval(hours="hours")) & (F.col("received_at") <= end)
+    )
+    psi = drift.with_status(drift.logged_psi(current, profile, by), warn=0.005, alert=0.01)
+    return monitoring.drift_rows(
+        psi,
+        F.lit("credit"),
+        F.col("model_version"),
+        end,
+        F.lit(f"train split, {fv.DRIFT_BINS} bins"),
+        F.format_string("last %dh of prediction_log", "hours"),
+    )
 
 
 @query

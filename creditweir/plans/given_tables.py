@@ -24,57 +24,47 @@ def applicant_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
         .agg(
-            F.count("*").alias("n_lines"),
-            F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("disc_pct"),
-            F.sum(F.floor("l_quantity")).alias("qty"),
-            F.count_if(F.col("l_returnflag") == "R").alias("n_r"),
-            F.count_if(F.col("l_returnflag") == "A").alias("n_a"),
+            F.expr("count(*) AS n_lines"),
+            F.expr("sum(CAST(round(l_discount * 100) AS BIGINT)) AS disc_pct"),
+            F.expr("sum(floor(l_quantity)) AS qty"),
+            F.expr("count_if(l_returnflag = 'R') AS n_r"),
+            F.expr("count_if(l_returnflag = 'A') AS n_a"),
         )
     )
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.floor("o_totalprice").alias("price")
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c", "floor(o_totalprice) AS price")
+    return orders.join(lines, F.expr("k = l_orderkey"), "left").selectExpr(
+        "k",
+        "c",
+        "price",
+        "coalesce(n_lines, 0) AS n_lines",
+        "coalesce(disc_pct, 0) AS disc_pct",
+        "coalesce(qty, 0) AS qty",
+        "coalesce(n_r, 0) AS n_r",
+        "coalesce(n_a, 0) AS n_a",
+        "(coalesce(disc_pct, 0) * 7 + k) % 115 AS util_pct",
     )
-    measures = ["n_lines", "disc_pct", "qty", "n_r", "n_a"]
-    joined = orders.join(lines, F.col("k") == F.col("l_orderkey"), "left").select(
-        "k", "c", "price", *[F.coalesce(m, F.lit(0)).alias(m) for m in measures]
-    )
-    return joined.withColumn("util_pct", (F.col("disc_pct") * 7 + F.col("k")) % 115)
-
-
-def _over(column: str, allowance: int):
-    return F.greatest(F.col(column) - allowance, F.lit(0))
 
 
-def risk_points():
-    """Integer risk score with ties; the label and the test scores come from it."""
-    return F.col("util_pct") + 20 * _over("n_r", 1) + 15 * _over("n_a", 1) + (F.col("k") * 7919) % 101
+# Integer risk score with ties; the label and the test scores come from it.
+RISK_POINTS = "util_pct + 20 * greatest(n_r - 1, 0) + 15 * greatest(n_a - 1, 0) + (k * 7919) % 101"
 
 
 def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows as a source file would hold them, one per applicant."""
-    k, c = F.col("k"), F.col("c")
-
-    def text(value):
-        return value.cast("string")
-
-    return applicant_base(spark, sf_dir).select(
-        (k * 2).alias("bronze_id"),
-        text(k).alias("raw_row_id"),
-        F.when(k % 997 == 0, "").when(risk_points() > 215, "1").otherwise("0").alias("serious_dlqin_2yrs"),
-        F.when(k % 211 == 0, "50000")
-        .otherwise(text(F.col("util_pct") / 100))
-        .alias("revolving_utilization_unsecured_lines"),
-        F.when(k % 1499 == 0, "0").otherwise(text(18 + c % 60)).alias("age"),
-        F.when(k % 557 == 0, "98").otherwise(text(_over("n_r", 1))).alias("times_30_59_days_past_due"),
-        text((F.col("qty") % 97) / 50).alias("debt_ratio"),
-        F.when(k % 5 == 0, "").otherwise(text(F.col("price") % 14000)).alias("monthly_income"),
-        text(F.col("n_lines") + c % 12).alias("open_credit_lines_and_loans"),
-        F.when(k % 563 == 0, "96")
-        .otherwise(text(F.greatest(F.col("n_r") + F.col("n_a") - 4, F.lit(0))))
-        .alias("times_90_days_late"),
-        text(c % 4).alias("real_estate_loans_or_lines"),
-        text(_over("n_a", 1)).alias("times_60_89_days_past_due"),
-        F.when(k % 37 == 0, "").otherwise(text(c % 5)).alias("number_of_dependents"),
+    return applicant_base(spark, sf_dir).selectExpr(
+        "k * 2 AS bronze_id",
+        "string(k) AS raw_row_id",
+        f"CASE WHEN k % 997 = 0 THEN '' WHEN {RISK_POINTS} > 215 THEN '1' ELSE '0' END AS serious_dlqin_2yrs",
+        "CASE WHEN k % 211 = 0 THEN '50000' ELSE string(util_pct / 100) END AS revolving_utilization_unsecured_lines",
+        "CASE WHEN k % 1499 = 0 THEN '0' ELSE string(18 + c % 60) END AS age",
+        "CASE WHEN k % 557 = 0 THEN '98' ELSE string(greatest(n_r - 1, 0)) END AS times_30_59_days_past_due",
+        "string((qty % 97) / 50) AS debt_ratio",
+        "CASE WHEN k % 5 = 0 THEN '' ELSE string(price % 14000) END AS monthly_income",
+        "string(n_lines + c % 12) AS open_credit_lines_and_loans",
+        "CASE WHEN k % 563 = 0 THEN '96' ELSE string(greatest(n_r + n_a - 4, 0)) END AS times_90_days_late",
+        "string(c % 4) AS real_estate_loans_or_lines",
+        "string(greatest(n_a - 1, 0)) AS times_60_89_days_past_due",
+        "CASE WHEN k % 37 = 0 THEN '' ELSE string(c % 5) END AS number_of_dependents",
     )
 
 
@@ -84,13 +74,12 @@ def bronze_applications(spark: SparkSession, sf_dir: str, ingestion_id: str = IN
     The repeat is inlined from a two-element array, so the source is read once.
     """
     raw = raw_applications(spark, sf_dir)
-    repeated = F.when(F.col("bronze_id") % 100 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = raw.withColumn("repeat", F.explode(repeated))
-    return rows.select(
-        (F.col("bronze_id") + F.col("repeat")).alias("bronze_id"),
-        F.lit(ingestion_id).alias("ingestion_id"),
+    rows = raw.selectExpr("*", "explode(if(bronze_id % 100 = 0, array(0, 1), array(0))) AS repeat")
+    return rows.selectExpr(
+        "bronze_id + repeat AS bronze_id",
+        f"'{ingestion_id}' AS ingestion_id",
         *[
-            F.when(F.col("repeat") == 1, "4321").otherwise(F.col(c)).alias(c) if c == "monthly_income" else F.col(c)
+            "if(repeat = 1, '4321', monthly_income) AS monthly_income" if c == "monthly_income" else c
             for c in raw.columns
             if c != "bronze_id"
         ],
@@ -114,15 +103,11 @@ def second_snapshot(silver: DataFrame) -> DataFrame:
 
 def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, y, score): applicants with an integer score that has many ties."""
-    k = F.col("k")
-    other = (k * 31 + F.col("qty")) % 83
-    rows = applicant_base(spark, sf_dir).select(
-        k.alias("id"),
-        (risk_points() > 215).cast("int").alias("y"),
-        (F.col("util_pct") + 20 * _over("n_r", 1) + other).alias("points"),
-        "util_pct",
+    return applicant_base(spark, sf_dir).selectExpr(
+        "k AS id",
+        f"CAST({RISK_POINTS} > 215 AS INT) AS y",
+        "least((util_pct + 20 * greatest(n_r - 1, 0) + (k * 31 + qty) % 83) / 400, 1.0D) AS score",
     )
-    return rows.select("id", "y", F.least(F.col("points") / 400, F.lit(1.0)).alias("score"))
 
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:

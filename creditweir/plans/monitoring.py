@@ -75,18 +75,18 @@ def recent_scores(log: DataFrame, n: int = 5000) -> DataFrame:
     )
 
 
-def drift_rows(psi: DataFrame, pipeline: str, version: str, computed_at: Column, reference_window: str,
-               current_window: str) -> DataFrame:
+def drift_rows(psi: DataFrame, pipeline: Column, version: Column, computed_at: Column, reference_window: Column,
+               current_window: Column) -> DataFrame:
     """PSI rows in the shape of the drift report; one time for the whole batch."""
     return psi.select(
         computed_at.alias("computed_at"),
-        F.lit(pipeline).alias("pipeline_name"),
-        F.lit(version).alias("model_version"),
+        pipeline.alias("pipeline_name"),
+        version.alias("model_version"),
         F.col("feature").alias("feature_name"),
         F.col("psi").cast("decimal(10,6)").alias("psi"),
         "drift_status",
-        F.lit(reference_window).alias("reference_window"),
-        F.lit(current_window).alias("current_window"),
+        reference_window.alias("reference_window"),
+        current_window.alias("current_window"),
         "n_reference",
         "n_current",
     )

@@ -286,7 +286,7 @@ cur_long AS (
 report AS (
   SELECT split_part(grp,'|',1) AS computed_at, 'credit' AS pipeline_name, split_part(grp,'|',3) AS model_version,
          feature AS feature_name, round(psi,6) AS psi,
-         CASE WHEN psi >= 0.06 THEN 'ALERT' WHEN psi >= 0.02 THEN 'WARN' ELSE 'OK' END AS drift_status,
+         CASE WHEN psi >= 0.01 THEN 'ALERT' WHEN psi >= 0.005 THEN 'WARN' ELSE 'OK' END AS drift_status,
          'train split, 10 bins' AS reference_window,
          'last ' || split_part(grp,'|',2) || 'h of prediction_log' AS current_window, n_reference, n_current
   FROM psi WHERE n_current >= 100)"""

@@ -89,8 +89,12 @@ def check_drift(tables: Tables, artifact_root: str, pipeline: str, version: str,
     head = profile.select("split", "bins").first()
     batch = cut(
         monitoring.drift_rows(
-            psi, pipeline, version, as_of, f"{head['split']} split, {head['bins']} bins",
-            f"last {window_hours}h of prediction_log",
+            psi,
+            F.lit(pipeline),
+            F.lit(version),
+            as_of,
+            F.lit(f"{head['split']} split, {head['bins']} bins"),
+            F.lit(f"last {window_hours}h of prediction_log"),
         )
     )
     tables.append(DRIFT_REPORT, batch, schemas.DRIFT_REPORT)
