@@ -8,6 +8,7 @@ at any size while only counts and short value lists reach the driver.
 """
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +20,23 @@ SKETCH_ACCURACY = 10000
 MAX_LISTED_VALUES = 20000
 
 
-def _inside(value, low, high, is_range):
-    """Whether a value lies in a closed range or an open, maybe unbounded, gap."""
-    if is_range:
-        return (value >= low) & (value <= high)
-    above = F.lit(True) if low is None else value > low
-    return above if high is None else above & (value < high)
+@dataclass(frozen=True)
+class Zone:
+    """A single value, or an open interval that may be unbounded (None).
+
+    Values of ``listed`` intervals are tallied one by one, others only counted.
+    """
+
+    low: float
+    high: float
+    listed: bool
+    is_point: bool = False
+
+    def holds(self, value):
+        if self.is_point:
+            return value == self.low
+        above = F.lit(True) if self.low is None else value > self.low
+        return above if self.high is None else above & (value < self.high)
 
 
 def _number(column: str):
@@ -44,52 +56,44 @@ def _profile(df: DataFrame, wanted: dict) -> dict:
     return {c: (row[f"n:{c}"], row[f"s:{c}"]) for c in wanted}
 
 
-def _merge(ranges: list) -> list:
-    """Overlapping closed ranges joined into disjoint ones, ascending."""
-    merged = []
-    for low, high in sorted(ranges):
-        if merged and low <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-        else:
-            merged.append((low, high))
-    return merged
-
-
 def _zones(ranges: list) -> list:
-    """Alternating gaps and ranges over the real line: (low, high, is_range).
+    """Cut the real line at both ends of every bracket.
 
-    The outer gaps are unbounded, shown as None.
+    Each end is a zone of its own, so a zone that has to be cut again always
+    loses at least one value and the narrowing comes to an end.
     """
-    zones, left = [], None
-    for low, high in ranges:
-        zones.append((left, low, False))
-        zones.append((low, high, True))
-        left = high
-    zones.append((left, None, False))
+    points = sorted({end for bracket in ranges for end in bracket})
+    zones = [Zone(None, points[0], False)]
+    for point, following in zip(points, [*points[1:], None]):
+        zones.append(Zone(point, point, True, True))
+        listed = following is not None and any(low <= point and high >= following for low, high in ranges)
+        zones.append(Zone(point, following, listed))
     return zones
 
 
 def _tally(df: DataFrame, zones: dict) -> DataFrame:
-    """(column_name, zone, value, n); value only inside ranges.
+    """(column_name, zone, value, n); the value only in listed zones.
 
-    Gaps collapse to one row each before the shuffle, and so does any value that
-    repeats. There are at most two zones per wanted rank and column.
+    Other zones collapse to one row each before the shuffle, and so does any
+    value that repeats. There are a few zones per wanted rank and column.
     """
     columns = list(zones)
     rows = [
-        (position, column, number, low, high, is_range)
+        (position, column, number, z.low, z.high, z.listed, z.is_point)
         for position, column in enumerate(columns)
-        for number, (low, high, is_range) in enumerate(zones[column])
+        for number, z in enumerate(zones[column])
     ]
     table = small_table(
-        df.sparkSession, rows, "position int, column_name string, zone int, low double, high double, is_range boolean"
+        df.sparkSession,
+        rows,
+        "position int, column_name string, zone int, low double, high double, listed boolean, is_point boolean",
     )
     value = F.col("value")
-    inside = F.when(F.col("is_range"), (value >= F.col("low")) & (value <= F.col("high"))).otherwise(
+    inside = F.when(F.col("is_point"), value == F.col("low")).otherwise(
         (F.col("low").isNull() | (value > F.col("low"))) & (F.col("high").isNull() | (value < F.col("high")))
     )
     placed = interval_join(long_values(df, columns), table, inside)
-    counted = placed.groupBy("position", "zone", F.when(F.col("is_range"), value).alias("value")).agg(
+    counted = placed.groupBy("position", "zone", F.when(F.col("listed"), value).alias("value")).agg(
         F.count("*").alias("n")
     )
     names = F.array(*[F.lit(c) for c in columns])
@@ -103,62 +107,92 @@ def _ranks(n: int, probability: float) -> tuple:
     return low, min(low + 1, n - 1), position - low
 
 
-def _order_statistics(df: DataFrame, column_ranges: dict, targets: dict) -> dict:
+def _zone_counts(tally: DataFrame) -> dict:
+    """{(column, zone): (rows, distinct listed values)}."""
+    counts = tally.groupBy("column_name", "zone").agg(F.sum("n").alias("n"), F.count("value").alias("n_values"))
+    return {(r["column_name"], r["zone"]): (r["n"], r["n_values"]) for r in counts.collect()}
+
+
+def _listed_values(rows: list) -> dict:
+    """{(column, zone): sorted [(value, rows)]} of collected tally rows."""
+    values = {}
+    for r in rows:
+        if r["value"] is not None:
+            values.setdefault((r["column_name"], r["zone"]), []).append((r["value"], r["n"]))
+    return {key: sorted(pairs) for key, pairs in values.items()}
+
+
+def _place(ranks: set, zones: list, column: str, counts: dict) -> list:
+    """(rank, zone, rank within the zone) for the wanted ranks of a column."""
+    below, starts = 0, []
+    for number in range(len(zones)):
+        n = counts.get((column, number), (0, 0))[0]
+        if n:
+            starts.append((below, number))
+        below += n
+    out = []
+    for rank in ranks:
+        start, number = max(s for s in starts if s[0] <= rank)
+        out.append((rank, number, rank - start))
+    return out
+
+
+def _order_statistics(df: DataFrame, ranges: dict, targets: dict) -> dict:
     """Exact value at each target rank: {(column, rank): value}."""
-    found, open_targets = {}, {c: set(r) for c, r in targets.items() if r}
-    ranges = column_ranges
-    while open_targets:
-        zones = {c: _zones(_merge(ranges[c])) for c in open_targets}
-        tally = _tally(df, zones).persist()
-        try:
-            counts = tally.groupBy("column_name", "zone").agg(
-                F.sum("n").alias("n"), F.count("value").alias("n_values")
-            ).collect()
-            by_zone = {(r["column_name"], r["zone"]): (r["n"], r["n_values"]) for r in counts}
-            ready, again = {}, {}
-            for column, ranks in open_targets.items():
-                below, starts = 0, []
-                for number in range(len(zones[column])):
-                    starts.append(below)
-                    below += by_zone.get((column, number), (0, 0))[0]
-                for rank in ranks:
-                    number = max(i for i, start in enumerate(starts) if start <= rank and by_zone.get((column, i)))
-                    n, n_values = by_zone[(column, number)]
-                    if number % 2 == 1 and n_values <= MAX_LISTED_VALUES:
-                        ready.setdefault((column, number), []).append((rank, rank - starts[number]))
-                    else:
-                        again.setdefault((column, number), []).append((rank, rank - starts[number], n))
-            if ready:
-                listed = F.concat_ws(":", "zone", "column_name").isin([f"{z}:{c}" for c, z in ready])
-                rows = tally.filter("value is not null").filter(listed).collect()
-                values = {}
-                for r in rows:
-                    values.setdefault((r["column_name"], r["zone"]), []).append((r["value"], r["n"]))
-                for key, wanted in ready.items():
-                    ordered = sorted(values[key])
-                    for rank, offset in wanted:
-                        seen = 0
-                        for value, n in ordered:
-                            seen += n
-                            if offset < seen:
-                                found[(key[0], rank)] = value
-                                break
-        finally:
-            tally.unpersist()
-        open_targets, ranges = {}, {}
-        for (column, number), wanted in again.items():
-            value = _number(column)
-            inner = df.select(F.when(_inside(value, *zones[column][number]), value).alias(column))
-            fractions = []
-            for _, offset, n in wanted:
-                fractions += _bracket_fractions(offset / max(n - 1, 1))
-            _, sketch = _profile(inner, {column: fractions})[column]
-            pairs = list(zip(sketch[::2], sketch[1::2]))
-            ranges.setdefault(column, []).extend(pairs)
-            open_targets.setdefault(column, set()).update(rank for rank, _, _ in wanted)
+    found, wanted = {}, {c: set(r) for c, r in targets.items() if r}
+    while wanted:
+        zones = {c: _zones(ranges[c]) for c in wanted}
+        tally = _tally(df, zones)
+        # The tally is short unless a bracket is still crowded.
+        rows = tally.limit(MAX_LISTED_VALUES + 1).collect()
+        short = len(rows) <= MAX_LISTED_VALUES
+        if short:
+            counts = {}
+            for r in rows:
+                n, n_values = counts.get((r["column_name"], r["zone"]), (0, 0))
+                counts[(r["column_name"], r["zone"])] = (n + r["n"], n_values + (r["value"] is not None))
+        else:
+            counts = _zone_counts(tally)
+        ready, again = {}, {}
+        for column, ranks in wanted.items():
+            for rank, number, offset in _place(ranks, zones[column], column, counts):
+                n, n_values = counts[(column, number)]
+                if zones[column][number].listed and n_values <= MAX_LISTED_VALUES:
+                    ready.setdefault((column, number), []).append((rank, offset))
+                else:
+                    again.setdefault((column, number), []).append((rank, offset, n))
+        if ready and not short:
+            rows = tally.filter(F.concat_ws(":", "zone", "column_name").isin([f"{z}:{c}" for c, z in ready])).collect()
+        values = _listed_values(rows)
+        for (column, number), asked in ready.items():
+            for rank, offset in asked:
+                found[(column, rank)] = _at_offset(values[(column, number)], offset)
+        ranges, wanted = _narrowed(df, zones, again)
     return found
 
 
+def _at_offset(values: list, offset: int):
+    seen = 0
+    for value, n in values:
+        seen += n
+        if offset < seen:
+            return value
+    raise AssertionError("a rank lies beyond its zone")
+
+
+def _narrowed(df: DataFrame, zones: dict, crowded: dict) -> tuple:
+    """New brackets inside the zones that were only counted or are still crowded."""
+    ranges, wanted = {}, {}
+    for (column, number), asked in crowded.items():
+        value = _number(column)
+        inner = df.select(F.when(zones[column][number].holds(value), value).alias(column))
+        fractions = [f for _, offset, n in asked for f in _bracket_fractions(offset / max(n - 1, 1))]
+        _, sketch = _profile(inner, {column: fractions})[column]
+        ranges.setdefault(column, []).extend(zip(sketch[::2], sketch[1::2]))
+        wanted.setdefault(column, set()).update(rank for rank, _, _ in asked)
+    return ranges, wanted
+
+
 def _bracket_fractions(probability: float) -> list:
     margin = 2.0 / SKETCH_ACCURACY
     return [max(0.0, probability - margin), min(1.0, probability + margin)]

@@ -49,12 +49,12 @@ def shown(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def silver_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(Star(spark, sf_dir).silver)
+    return shown(Star(spark, sf_dir).silver_rows)
 
 
 @query
 def dq_log(spark, sf_dir):
-    return shown(silver_ops.quality_counts(Star(spark, sf_dir).silver))
+    return shown(silver_ops.quality_counts(Star(spark, sf_dir).silver_rows))
 
 
 @query
@@ -252,7 +252,7 @@ def class_balance(spark, sf_dir):
 @query
 def cleaning_counts(spark, sf_dir):
     """Splits over every silver row, so that unlabelled rows show."""
-    rows = Star(spark, sf_dir).silver.withColumn("dataset_split", dataset_split(F.col("applicant_id")))
+    rows = Star(spark, sf_dir).silver_rows.withColumn("dataset_split", dataset_split(F.col("applicant_id")))
     return shown(features.cleaning_counts(rows))
 
 

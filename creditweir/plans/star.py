@@ -23,9 +23,14 @@ class Star:
         return given.bronze_applications(self.spark, self.sf_dir)
 
     @cached_property
-    def silver(self) -> DataFrame:
+    def silver_rows(self) -> DataFrame:
         return silver.to_silver(self.bronze, F.lit(given.FIRST_SNAPSHOT))
 
+    @cached_property
+    def silver(self) -> DataFrame:
+        """Silver as a written table: several gold tables are built from it."""
+        return cut(self.silver_rows)
+
     @cached_property
     def silver_later(self) -> DataFrame:
         return given.second_snapshot(self.silver)
