@@ -10,8 +10,11 @@ STATUS_RANK = {"ALERT": 1, "WARN": 2, "OK": 3}
 
 
 def recent(log: DataFrame, as_of: Column, hours: int) -> DataFrame:
-    """Log rows of the last ``hours`` before ``as_of``."""
-    return log.filter(F.col("received_at") > as_of - F.make_dt_interval(hours=F.lit(hours)))
+    """Log rows of the last ``hours`` before ``as_of``; older day folders are skipped."""
+    start = as_of - F.make_dt_interval(hours=F.lit(hours))
+    if "received_date" in log.columns:
+        log = log.filter(F.col("received_date") >= F.to_date(start))
+    return log.filter(F.col("received_at") > start)
 
 
 def hourly_volume(log: DataFrame) -> DataFrame:

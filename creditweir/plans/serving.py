@@ -56,7 +56,7 @@ def log_predictions(tables: Tables, scored: DataFrame, pipeline: str, version: s
         F.current_timestamp() if received_at is None else received_at,
         latency_ms,
     )
-    tables.append(PREDICTION_LOG, rows, schemas.PREDICTION_LOG)
+    tables.append(PREDICTION_LOG, rows, schemas.PREDICTION_LOG, ("received_date",))
 
 
 def reports(scored: DataFrame, pipeline: str, version: str, algorithm: str, status: str = "disabled") -> DataFrame:

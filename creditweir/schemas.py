@@ -168,6 +168,7 @@ FACT_PREDICTION = _table(
 PREDICTION_LOG = _table(
     ("request_id", TEXT, "required"),
     ("received_at", TIME, "required"),
+    ("received_date", DATE, "required"),  # partition column
     ("pipeline_name", TEXT, "required"),
     ("model_version", TEXT, "required"),
     ("request_payload", TEXT, "required"),
