@@ -19,7 +19,8 @@ log = logging.getLogger("creditweir.etl")
 SILVER = "silver/loan_applications"
 REJECTS = "silver/rejected_rows"
 DQ_LOG = "silver/data_quality_log"
-BORROWERS = "gold/dim_borrower"
+BORROWERS = "gold/dim_borrower"  # current versions
+CLOSED_BORROWERS = "gold/dim_borrower_closed"  # a folder per closing date
 FACT = "gold/fact_credit_assessment"
 SEEDED = {
     "gold/dim_date": (dimensions.calendar, ["date_key"], schemas.DIM_DATE),
@@ -54,15 +55,30 @@ def load_silver(tables: Tables, ingestion_id: str = None, snapshot_date: str = N
 
 
 def load_borrowers(tables: Tables) -> tuple:
-    """Apply silver to the borrower history; returns (new, changed)."""
-    dim = tables.read(BORROWERS, schemas.DIM_BORROWER)
+    """Apply silver to the borrower history; returns (new, changed).
+
+    Only current versions are read and rewritten. Versions closed by this load
+    go to the folder of their closing date, before the current versions change:
+    a load that is repeated after a failure closes the same versions again.
+    """
+    current = tables.read(BORROWERS, schemas.DIM_BORROWER)
     incoming = scd2.borrower_attributes(tables.read(SILVER, schemas.SILVER_APPLICATIONS))
-    counts = scd2.change_counts(dim, incoming).first()
-    merged = scd2.merge_versions(dim, incoming)
-    tables.replace(BORROWERS, merged, schemas.DIM_BORROWER, ("is_current",))
+    counts = scd2.change_counts(current, incoming).first()
+    versions = cut(scd2.merge_versions(current, incoming))
+    tables.upsert_partitions(
+        CLOSED_BORROWERS, versions.filter("not is_current"), ["borrower_key", "effective_to"], schemas.DIM_BORROWER,
+        "effective_to",
+    )
+    tables.replace(BORROWERS, versions.filter("is_current"), schemas.DIM_BORROWER)
     return counts["n_new"], counts["n_changed"]
 
 
+def read_borrowers(tables: Tables) -> DataFrame:
+    """All versions, current and closed."""
+    closed = tables.read_appended(CLOSED_BORROWERS, schemas.DIM_BORROWER)
+    return tables.read(BORROWERS, schemas.DIM_BORROWER).unionByName(closed)
+
+
 def load_fact(tables: Tables) -> None:
     """Build the fact from silver and upsert the snapshot dates it holds."""
     fact = cut(
@@ -85,7 +101,7 @@ def read_fact(tables: Tables) -> DataFrame:
 
 
 def read_model_view(tables: Tables) -> DataFrame:
-    return facts.credit_view(read_fact(tables), tables.read(BORROWERS, schemas.DIM_BORROWER))
+    return facts.credit_view(read_fact(tables), read_borrowers(tables))
 
 
 def fact_report(tables: Tables) -> DataFrame:
@@ -95,7 +111,7 @@ def fact_report(tables: Tables) -> DataFrame:
         unique=[["applicant_id", "snapshot_date_key"]],
         references=[
             ("snapshot_date_key", tables.read("gold/dim_date"), "date_key"),
-            ("borrower_key", tables.read(BORROWERS, schemas.DIM_BORROWER), "borrower_key"),
+            ("borrower_key", read_borrowers(tables), "borrower_key"),
             ("income_band_key", tables.read("gold/dim_income_band"), "income_band_key"),
             ("utilisation_band_key", tables.read("gold/dim_utilisation_band"), "utilisation_band_key"),
             ("delinquency_profile_key", tables.read("gold/dim_delinquency_profile"), "delinquency_profile_key"),

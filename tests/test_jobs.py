@@ -92,7 +92,8 @@ def test_later_snapshot_opens_versions_and_keeps_the_old_fact(loaded):
     tables, _, folder = loaded
     later = write_csv(folder / "second.csv", 100, dependents=2)
     etl.run(tables, files.csv_source(later), "2026-02-01")
-    dim = tables.read(etl.BORROWERS, schemas.DIM_BORROWER)
+    dim = etl.read_borrowers(tables)
+    assert assertions.duplicate_keys(dim, ["borrower_key"]).count() == 0
     assert dim.count() == 500 and dim.filter("is_current").count() == 400
     dates = {r["snapshot_date_key"]: r["count"] for r in etl.read_fact(tables).groupBy("snapshot_date_key").count().collect()}
     assert dates == {20260101: 400, 20260201: 100}
