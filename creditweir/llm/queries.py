@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditweir.llm import packing, token_files
+from creditweir.llm import near_copies, packing, quality, token_files
 from creditweir.llm.tokens import default_vocabulary
 
 
@@ -17,6 +17,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
+    return quality.judge(_table(spark, sf_dir, "documents")).select(columns)
+
+
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = packing.pieces(_table(spark, sf_dir, "documents"), default_vocabulary(), end_id=0)
     packed = packing.pack(table)
@@ -25,5 +34,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op10_packing": op10_packing}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op4_quality": op4_quality,
+    "op5_near_copies": op5_near_copies,
+    "op10_packing": op10_packing,
+}
 ORACLES: dict[str, str] = {}
