@@ -1,12 +1,95 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
 
-STAGES = []
+Each stage takes the documents its predecessor kept; all but the last return the columns
+of documents. Rows with a null or repeated id, null texts and extra columns are allowed:
+language ID rejects texts without letters, and of rows alike in id and text one stays.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from creditweir.llm import decontamination, language, near_copies, packing, quality
+from creditweir.llm.scratch import cut
+from creditweir.llm.tokens import default_vocabulary
+
+#: Corrected share of n-grams that the best language must hold.
+LEAST_SCORE = 0.5
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with a key of their content, and the operators' view with the key as id.
+
+    The key is the same in every scan, so verdicts meet their rows after a lost executor
+    as well; rows alike share it and their verdict.
+    """
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text", "lang", "source", "n_chars"))
+    return rows, rows.select(F.col("__key").alias("doc_id"), "text", "lang", "source")
+
+
+def _kept(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows whose key ``verdicts`` (doc_id) names."""
+    chosen = verdicts.select(F.col("doc_id").alias("__key")).distinct()
+    return rows.join(chosen, "__key", "left_semi").drop("__key")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that their own labels teach; no label of a row decides about it alone."""
+    model = language.train(docs.select("text", "lang"))
+    judged = language.predict(docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}), model)
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({f"__{c}": c for c in ("lang_pred", "score") if c in docs.columns})
+
+
+def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie near their group's robust centre."""
+    rows, view = _keyed(docs)
+    return _kept(rows, quality.judge(view).where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the smallest id, and one row of it."""
+    rows, view = _keyed(docs)
+    found = near_copies.near_copies(view, width=NEAR_WIDTH, percent=NEAR_PERCENT)
+    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.first("component_id").alias("component_id"), F.count("*").alias("rows"))
+    named = rows.select("__key", "doc_id").distinct().join(found, "__key")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
+    first = cut(named.groupBy("component_id").agg(F.min_by(F.struct("__key", "rows"), order).alias("first")).select("first.*"))
+    once = rows.join(first.where("rows = 1"), "__key", "left_semi")
+    repeated = rows.join(first.where("rows > 1"), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(repeated).drop("__key")
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    rows, view = _keyed(docs)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _kept(rows, decontamination.contamination(view, benchmark).where(F.size("begins") == 0))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents with their place in a training sequence."""
+    return packing.pack(packing.pieces(docs, default_vocabulary(), end_id=0)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence_id").cast("long"), F.col("offset").cast("long")
+    )
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("quality rules", apply_quality),
+    ("near copies", drop_near_copies),
+    ("benchmark decontamination", remove_contaminated),
+    ("best-fit packing", pack_sequences),
+]
+#: Learned, robust and packed stages are beyond SQL; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages one after the other over the documents of ``sf_dir``."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over the documents of ``sf_dir``, each written and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = cut(docs)
     return docs

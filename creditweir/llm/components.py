@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditweir.session import cut
+from creditweir.llm.scratch import cut
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -6,15 +6,17 @@ ordered by round first, until every bin holds something (after ``BINS`` hashed r
 round BINS + k places all elements in bin k, so every coordinate fills). The share of
 equal coordinates estimates the Jaccard similarity with the concentration of that many
 independent minima, for sets of any size. ``BANDS`` bands of ``ROWS`` coordinates give
-candidates: a pair at similarity 0.8 shares none with probability 3e-9.
+candidates: a pair at similarity 0.8 shares none with probability 1e-8.
 
 Equal sets form one class first, so copies are never paired. Links between classes are
-confirmed on full sets, in two rounds. Round 1 compares each class with the first class
-of each of its bands (a star, not all pairs). Round 2 compares the pairs of a band whose
-classes are not yet connected, block by block, and confirms those whose sketches allow
-a link (six deviations below the threshold). What round 2 leaves out is connected
-already, so components lose no link. Texts meet for confirmation by the first class;
-a class with many partners is split over salted groups, each with one copy of its text.
+confirmed on full sets, in two rounds. Round 1 compares each class with the pivot of
+each of its bands, the class with most company (a star, not all pairs). Round 2 compares
+the pairs of a band whose classes are not yet connected, block by block, and confirms
+those whose sketches allow a link (five deviations below the threshold) and whose exact
+distances to the pivot do (the Jaccard distance keeps the triangle inequality). What
+round 2 leaves out is connected already or no link, so components lose none. Texts meet
+for confirmation by pivot; a class with many partners is split over salted groups, each
+with one copy of its text.
 
 Null texts and texts without words have an empty set and link with nothing; a text with
 fewer words than a shingle is one element. Repeated ids are judged row by row. Null ids
@@ -33,11 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditweir.llm.components import components
+from creditweir.llm.scratch import cut, tidy
 from creditweir.llm.words import mix, slices, split_words, texts_of, word_hashes
-from creditweir.session import cut
 
-BANDS, ROWS = 50, 5
-BINS = BANDS * ROWS
+BANDS, ROWS = 60, 6
+#: Bands use the first coordinates; all of them estimate the similarity.
+BINS = 1000
+DEVIATIONS = 5
+#: Sets that are sketched at a time.
+SKETCHED_SETS = 1024
 #: Partners of one class that are confirmed in one group; members of a band compared in one block.
 GROUP, BLOCK = 500, 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -67,7 +73,7 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """Coordinates of all sets (rows); empty sets keep an empty row."""
+    """Coordinates of the sets (rows); empty sets keep an empty row."""
     table = np.full((len(sets), BINS), _EMPTY, np.uint64)
     active = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
     flat = table.reshape(-1)
@@ -78,7 +84,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
             break
         h = mix(elements + np.uint64((round_ + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         place = ((h >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64) if round_ < BINS else round_ - BINS
-        value = (np.uint64(round_) << np.uint64(54)) | (mix(h) >> np.uint64(10))
+        value = (np.uint64(round_) << np.uint64(53)) | (mix(h) >> np.uint64(11))
         np.minimum.at(flat, owner * BINS + place, value)
         open_ = (table[active] == _EMPTY).any(axis=1)
         if not open_.all():
@@ -93,7 +99,7 @@ def band_keys(table: np.ndarray) -> np.ndarray:
     """One 64-bit key per band and row."""
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(table), 1))
     for r in range(ROWS):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + table[:, r::ROWS])
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + table[:, r : BANDS * ROWS : ROWS])
     return keys
 
 
@@ -109,17 +115,19 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(texts_of(part, "text"), width)
-                table = sketch(sets)
-                keys = band_keys(table)
+                keys, short = [], []
+                for i in range(0, len(sets), SKETCHED_SETS):
+                    table = sketch(sets[i : i + SKETCHED_SETS])
+                    keys += list(band_keys(table).view(np.int64))
+                    short += list((table >> np.uint64(10)).astype(np.uint8))
                 uid = row + np.arange(len(sets))
                 row += len(sets)
                 filled = [len(s) > 0 for s in sets]
-                short = (table >> np.uint64(10)).astype(np.uint8)
                 yield pa.record_batch(
                     [
                         pa.array(uid), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) for s in sets], pa.binary()),
-                        pa.array([k if f else None for k, f in zip(keys.view(np.int64), filled)], pa.list_(pa.int64())),
+                        pa.array([k if f else None for k, f in zip(keys, filled)], pa.list_(pa.int64())),
                         pa.array([s.tobytes() if f else None for s, f in zip(short, filled)], pa.binary()),
                     ],
                     names=["uid", "doc_id", "n", "digest", "keys", "sketch"],
@@ -129,7 +137,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
+    """The pairs (a, b) of classes with the distance of their full sets, and whether it is a link."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("partners"))
     salts = F.ceil(F.col("partners") / GROUP).cast("int")
     members = pairs.join(sizes, "a").select(
@@ -137,7 +145,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     )
     firsts = sizes.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("cid"))
     wanted = members.unionByName(firsts)
-    needed = wanted.select("cid").distinct().join(classes.select("cid", "least", "digest"), "cid")
+    needed = wanted.select("cid").distinct().join(classes, "cid")
     # Equal sets can come from different texts with one id: the digest picks the right one.
     found = needed.join(docs, needed["least"].eqNullSafe(docs["doc_id"])).select("cid", "digest", "text")
     texts = cut(found)
@@ -148,7 +156,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(texts_of(part, "text"), width)
-                links = []
+                judged = []
                 for r, own in zip(part.select(["a", "salt", "side", "cid", "digest"]).to_pylist(), sets):
                     if digest(own) != r["digest"]:
                         continue
@@ -156,30 +164,36 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
                         current, held = (r["a"], r["salt"]), own
                     elif current == (r["a"], r["salt"]):
                         common = len(np.intersect1d(held, own, assume_unique=True))
-                        if 100 * common >= percent * (len(held) + len(own) - common):
-                            links.append((r["a"], r["cid"]))
-                yield pa.record_batch(
-                    [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"]
-                )
+                        union = len(held) + len(own) - common
+                        judged.append((r["a"], r["cid"], 1 - common / union, 100 * common >= percent * union))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+                columns = [pa.array([x[i] for x in judged], kind) for i, kind in enumerate(kinds)]
+                yield pa.record_batch(columns, names=["a", "b", "distance", "link"])
 
-    return cut(rows.mapInArrow(run, "a long, b long").distinct())
+    # Repeated rows of one text would judge a pair twice.
+    return cut(rows.mapInArrow(run, "a long, b long, distance double, link boolean").distinct())
 
 
 def _apart(percent: int):
     """Compares the members of each (key, block pair) that are in different components."""
     least = percent / 100
-    needed = BINS * least - 6 * (BINS * least * (1 - least)) ** 0.5
+    needed = BINS * least - DEVIATIONS * (BINS * least * (1 - least)) ** 0.5
+    reach = 1 - least + 1e-9
 
     def pairs_of(frame: pd.DataFrame) -> list[tuple[int, int]]:
-        cid, comp, size = (frame[c].to_numpy() for c in ("cid", "comp", "n"))
+        cid, comp, size, far, band = (frame[c].to_numpy() for c in ("cid", "comp", "n", "distance", "band"))
         codes = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), BINS)
         out = []
         for i in range(len(frame) - 1):
             rest = slice(i + 1, None)
             near = (comp[rest] != comp[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
+            near &= ~(np.abs(far[rest] - far[i]) > reach)  # unknown distances (NaN) rule nothing out
             at = np.flatnonzero(near) + i + 1
             if len(at):
-                at = at[(codes[at] == codes[i]).sum(axis=1) >= needed]
+                same = codes[at] == codes[i]
+                # Each pair counts in the first band it shares.
+                bands = same[:, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                at = at[(same.sum(axis=1) >= needed) & (bands == band[i])]
                 out += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in at]
         return out
 
@@ -197,43 +211,58 @@ def _apart(percent: int):
     return run
 
 
-def candidates_apart(keys: DataFrame, comp: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def candidates_apart(keys: DataFrame, comp: DataFrame, tested: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a band, lie in different components and may be similar enough."""
-    labelled = keys.join(comp, keys["cid"] == comp["node"], "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
+    labelled = keys.join(comp, keys["cid"] == comp["node"], "left").select(*keys.columns, F.coalesce("label", "cid").alias("comp"))
     mixed = (
         labelled.groupBy("key")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"))
         .where("low < high")
+        .drop("low", "high")
     )
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     # A member meets its own block and every other block once.
     met = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    members = labelled.join(mixed, "key").select("key", "cid", "comp", own.alias("own"), met)
-    members = members.select("key", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = members.join(classes.select("cid", "n", "sketch"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInPandas(_apart(percent), "a long, b long").distinct()
+    known = tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "distance")
+    members = (
+        labelled.join(mixed, "key")
+        .withColumns({"low": F.least("first", "cid"), "high": F.greatest("first", "cid")})
+        .join(known, ["low", "high"], "left")
+        .withColumn("distance", F.when(F.col("first") == F.col("cid"), 0.0).otherwise(F.col("distance")))
+        .select("key", "band", "cid", "comp", "distance", own.alias("own"), met)
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    )
+    described = members.join(rows.select(F.col("uid").alias("cid"), "n", "sketch"), "cid")
+    spread = described.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return spread.mapInPandas(_apart(percent), "a long, b long").distinct()
 
 
+@tidy
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = sketched(docs, width)
     filled = rows.where("digest IS NOT NULL")
     class_ids = cut(filled.groupBy("digest").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least")))
-    classes = cut(class_ids.join(filled.select("uid", "n", "keys", "sketch"), F.col("cid") == F.col("uid")).drop("uid"))
-    exploded = classes.select("cid", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("members")).where("members > 1").drop("members")
+    firsts = class_ids.select("cid").join(filled.select("uid", "n", "keys"), F.col("cid") == F.col("uid"))
+    exploded = firsts.select("cid", "n", F.posexplode("keys").alias("band", "key"))
+    shared = exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     keys = cut(exploded.join(shared, "key"))  # only bands that hold two classes or more
-
-    star = keys.where("first < cid").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    sizes = classes.select("cid", "n")
-    star = star.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a")
-    star = star.join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
-    star = cut(star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
-    links = confirm(star, classes, docs, width, percent)
-    apart = cut(candidates_apart(keys.select("key", "cid"), components(links), classes, percent).join(star, ["a", "b"], "left_anti"))
-    links = links.unionByName(confirm(apart, classes, docs, width, percent))
+    company = keys.groupBy("cid").agg(F.sum("members").alias("company"))
+    pivots = keys.join(company, "cid").groupBy("key").agg(F.max(F.struct("company", "cid"))["cid"].alias("first"))
+    keys = cut(keys.join(pivots, "key").drop("members"))
+
+    pairs = keys.where("first != cid").select(F.least("first", "cid").alias("low"), F.greatest("first", "cid").alias("high"), "first", "cid", "n")
+    star = pairs.groupBy("low", "high").agg(F.min(F.struct(F.col("first").alias("a"), F.col("cid").alias("b"), F.col("n").alias("nb"))).alias("p")).select("p.*")
+    sizes = keys.groupBy(F.col("cid").alias("a")).agg(F.first("n").alias("na"))
+    star = cut(star.join(sizes, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
+    tested = confirm(star, class_ids, docs, width, percent)
+    links = tested.where("link").select("a", "b")
+    apart = candidates_apart(keys, components(links), tested, rows, percent)
+    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = cut(apart.join(done, ["a", "b"], "left_anti"))
+    links = links.unionByName(confirm(apart, class_ids, docs, width, percent).where("link").select("a", "b"))
 
     joined = class_ids.join(components(links), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = joined.groupBy("label").agg(F.min("least").alias("component_id"))

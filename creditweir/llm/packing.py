@@ -22,9 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditweir.llm.scratch import cut, tidy
 from creditweir.llm.tokens import encoder
 from creditweir.llm.words import slices, texts_of
-from creditweir.session import cut
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 4, 6
@@ -243,6 +243,7 @@ def pack_round(items: DataFrame, capacity: int, seed: int) -> DataFrame:
     return cut(best.mapInPandas(place, "uid long, block long, bin int, offset long, length long, fill long"))
 
 
+@tidy
 def pack(table: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to rows with a unique ``uid`` and a ``length`` of 1 to ``capacity``.
 

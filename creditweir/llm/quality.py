@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditweir.llm.scratch import cut, tidy
 from creditweir.llm.words import Words, mix, slices, split_words, text_index, texts_of
-from creditweir.session import cut
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_lines"]
 #: log word length; square roots of the shares of symbols, capitals, other marks, repeated lines and windows.
@@ -104,7 +104,7 @@ def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, lang, source, COUNTS) for every row of ``docs``, written once."""
+    """(doc_id, lang, source, COUNTS) for every row of ``docs``, written once."""
 
     def count(batches):
         for batch in batches:
@@ -260,6 +260,7 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     return cut(best.select("grp", "best.*"))
 
 
+@tidy
 def judge(docs: DataFrame) -> DataFrame:
     """COUNTS, distance, base_failed and kept for every row of (doc_id, text, lang, source)."""
     table = _vectors(counts(docs))

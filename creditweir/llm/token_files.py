@@ -23,9 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditweir.llm.scratch import cut, filesystem
 from creditweir.llm.tokens import encoder
 from creditweir.llm.words import slices, texts_of
-from creditweir.session import cut, shared_dir
+from creditweir.session import shared_dir
 
 SEQUENCES = 256
 MANIFEST = "shard int, n_docs long, n_tokens long, tokens_file string, docs_file string"
@@ -33,13 +34,6 @@ RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def filesystem(path: str):
-    """The file system of a path that Spark knows, and the path on it."""
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
-
-
 class _Sequences:
     """Writes ids as rows of ``length``; the last row is padded."""
 
