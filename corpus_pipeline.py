@@ -13,7 +13,7 @@ from creditweir.llm.scratch import cut
 from creditweir.llm.tokens import default_vocabulary
 
 #: Corrected share of n-grams that the best language must hold.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
