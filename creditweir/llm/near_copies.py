@@ -145,7 +145,8 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     )
     firsts = sizes.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("cid"))
     wanted = members.unionByName(firsts)
-    needed = wanted.select("cid").distinct().join(classes, "cid")
+    either = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    needed = either.join(classes, "cid")
     # Equal sets can come from different texts with one id: the digest picks the right one.
     found = needed.join(docs, needed["least"].eqNullSafe(docs["doc_id"])).select("cid", "digest", "text")
     texts = cut(found)
