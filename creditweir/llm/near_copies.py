@@ -96,11 +96,11 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(table: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band and row."""
+    """One 64-bit key per band and row; its last six bits are the band."""
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(table), 1))
     for r in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + table[:, r : BANDS * ROWS : ROWS])
-    return keys
+    return (keys & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)
 
 
 def digest(values: np.ndarray) -> bytes | None:
@@ -182,7 +182,7 @@ def _apart(percent: int):
     reach = 1 - least + 1e-9
 
     def pairs_of(frame: pd.DataFrame) -> list[tuple[int, int]]:
-        cid, comp, size, far, band = (frame[c].to_numpy() for c in ("cid", "comp", "n", "distance", "band"))
+        cid, comp, size, far, band = (frame[c].to_numpy() for c in ("cid", "comp", "n", "distance", "key"))
         codes = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), BINS)
         out = []
         for i in range(len(frame) - 1):
@@ -194,7 +194,7 @@ def _apart(percent: int):
                 same = codes[at] == codes[i]
                 # Each pair counts in the first band it shares.
                 bands = same[:, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                at = at[(same.sum(axis=1) >= needed) & (bands == band[i])]
+                at = at[(same.sum(axis=1) >= needed) & (bands == band[i] & 63)]
                 out += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in at]
         return out
 
@@ -231,7 +231,7 @@ def candidates_apart(keys: DataFrame, comp: DataFrame, tested: DataFrame, rows:
         .withColumns({"low": F.least("first", "cid"), "high": F.greatest("first", "cid")})
         .join(known, ["low", "high"], "left")
         .withColumn("distance", F.when(F.col("first") == F.col("cid"), 0.0).otherwise(F.col("distance")))
-        .select("key", "band", "cid", "comp", "distance", own.alias("own"), met)
+        .select("key", "cid", "comp", "distance", own.alias("own"), met)
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     )
     described = members.join(rows.select(F.col("uid").alias("cid"), "n", "sketch"), "cid")
@@ -246,18 +246,20 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     rows = sketched(docs, width)
     filled = rows.where("digest IS NOT NULL")
     class_ids = cut(filled.groupBy("digest").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least")))
-    firsts = class_ids.select("cid").join(filled.select("uid", "n", "keys"), F.col("cid") == F.col("uid"))
-    exploded = firsts.select("cid", "n", F.posexplode("keys").alias("band", "key"))
+    firsts = class_ids.select("cid").join(filled.select("uid", "keys"), F.col("cid") == F.col("uid"))
+    exploded = firsts.select("cid", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     keys = cut(exploded.join(shared, "key"))  # only bands that hold two classes or more
     company = keys.groupBy("cid").agg(F.sum("members").alias("company"))
     pivots = keys.join(company, "cid").groupBy("key").agg(F.max(F.struct("company", "cid"))["cid"].alias("first"))
     keys = cut(keys.join(pivots, "key").drop("members"))
 
-    pairs = keys.where("first != cid").select(F.least("first", "cid").alias("low"), F.greatest("first", "cid").alias("high"), "first", "cid", "n")
-    star = pairs.groupBy("low", "high").agg(F.min(F.struct(F.col("first").alias("a"), F.col("cid").alias("b"), F.col("n").alias("nb"))).alias("p")).select("p.*")
-    sizes = keys.groupBy(F.col("cid").alias("a")).agg(F.first("n").alias("na"))
-    star = cut(star.join(sizes, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
+    low, high = F.least("first", "cid").alias("low"), F.greatest("first", "cid").alias("high")
+    pairs = keys.where("first != cid").groupBy(low, high).agg(F.min(F.struct("first", "cid")).alias("p")).select("p.first", "p.cid").toDF("a", "b")
+    sizes = filled.select("uid", "n")
+    star = pairs.join(sizes.select(F.col("uid").alias("a"), F.col("n").alias("na")), "a")
+    star = star.join(sizes.select(F.col("uid").alias("b"), F.col("n").alias("nb")), "b")
+    star = cut(star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
     tested = confirm(star, class_ids, docs, width, percent)
     links = tested.where("link").select("a", "b")
     apart = candidates_apart(keys, components(links), tested, rows, percent)
