@@ -38,20 +38,21 @@ def sized(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(cell_bits, cell, depth): the bucket depth of each cell of (hash, n_bytes)."""
+    """(cell_bits, cell, depth, shard_bytes, shard_rows): the bucket of each cell of (hash, n_bytes)."""
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     before, bits = 0, min(HASH_BITS, max(1, (total // limit).bit_length()) + SPARE_BITS)
     pending, found = rows, None
     while True:
         cell = F.shiftrightunsigned("hash", HASH_BITS - bits)
-        cells = cut(pending.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("n_bytes")))
+        cells = cut(pending.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_rows")))
         # What a cell adds to every bucket on its way down.
-        levels = cells.select("cell", "n_bytes", F.explode(F.sequence(F.lit(before), F.lit(bits))).alias("depth"))
+        levels = cells.select("cell", "n_bytes", "n_rows", F.explode(F.sequence(F.lit(before), F.lit(bits))).alias("depth"))
         levels = levels.withColumn("prefix", F.expr(f"shiftrightunsigned(cell, {bits} - depth)"))
-        buckets = levels.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("bucket_bytes"))
-        fits = buckets.where((F.col("bucket_bytes") <= limit) | (F.col("depth") == HASH_BITS))
-        depth = levels.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
-        entry = cut(cells.join(depth, "cell", "left").select(F.lit(bits).alias("cell_bits"), "cell", "depth"))
+        buckets = levels.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows"))
+        fits = buckets.where((F.col("shard_bytes") <= limit) | (F.col("depth") == HASH_BITS))
+        first = F.min(F.struct("depth", "shard_bytes", "shard_rows")).alias("bucket")
+        bucket = levels.join(fits, ["depth", "prefix"]).groupBy("cell").agg(first)
+        entry = cut(cells.join(bucket, "cell", "left").select(F.lit(bits).alias("cell_bits"), "cell", "bucket.*"))
         done = entry.where("depth IS NOT NULL")
         found = done if found is None else found.unionByName(done)
         over = entry.where("depth IS NULL")
@@ -64,21 +65,21 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 def assign(rows: DataFrame, entries: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The rows with shard, depth, shard_bytes, shard_rows and oversized."""
     steps = sorted(r[0] for r in entries.select("cell_bits").distinct().collect())  # a handful of numbers
-    depth = F.lit(None).cast("int")
+    bucket = F.lit(None).cast("struct<depth: int, shard_bytes: bigint, shard_rows: bigint>")
     for bits in steps:
-        part = entries.where(F.col("cell_bits") == bits).select(F.col("cell").alias("cell"), F.col("depth").alias(f"depth{bits}"))
+        # Cells are few next to rows; Spark broadcasts them where their files are small.
+        part = entries.where(F.col("cell_bits") == bits).select("cell", F.struct("depth", "shard_bytes", "shard_rows").alias(f"bucket{bits}"))
         rows = rows.withColumn("cell", F.shiftrightunsigned("hash", HASH_BITS - bits)).join(part, "cell", "left").drop("cell")
-        depth = F.coalesce(depth, F.col(f"depth{bits}"))
-    rows = rows.withColumn("depth", depth).drop(*(f"depth{b}" for b in steps))
+        bucket = F.coalesce(bucket, F.col(f"bucket{bits}"))
+    rows = rows.withColumn("bucket", bucket).drop(*(f"bucket{b}" for b in steps))
+    rows = rows.withColumns({c: F.col(f"bucket.{c}") for c in ("depth", "shard_bytes", "shard_rows")}).drop("bucket")
     shard = _bits(F.expr(f"shiftrightunsigned(hash, {HASH_BITS} - depth)"), F.col("depth"))
-    rows = rows.withColumn("shard", shard)
-    totals = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    return rows.join(totals, "shard").withColumn("oversized", F.col("shard_bytes") > limit)
+    return rows.withColumns({"shard": shard, "oversized": F.col("shard_bytes") > limit})
 
 
 def shard(docs: DataFrame, id_column="doc_id", text_column="text", limit: int = LIMIT) -> DataFrame:
     """The rows of ``docs`` with their shard."""
-    clash = {"hash", "n_bytes", "cell", "depth", "shard", "shard_bytes", "shard_rows", "oversized"}
+    clash = {"hash", "n_bytes", "cell", "bucket", "depth", "shard", "shard_bytes", "shard_rows", "oversized"}
     rows = sized(docs.drop(*(clash & set(docs.columns))), id_column, text_column)
     return assign(rows, directory(rows.select("hash", "n_bytes"), limit), limit)
 

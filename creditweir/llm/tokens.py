@@ -19,7 +19,7 @@ from creditweir.llm.words import Words, from_bytes, split_words, text_bytes
 
 #: Words that are one pre-token for certain: letters only, or ASCII punctuation only.
 WHOLE = re.compile("[a-zß-öø-ÿ]+|[!,.;:?#$%&*|]+")
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 JOINED = 20_000
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -125,7 +125,7 @@ def _split_marks(texts: pa.Array) -> pa.Array:
     return from_bytes(offsets + np.searchsorted(cuts, offsets, side="left"), spread)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker, so tasks that share a worker share its words."""
     return Encoder(path)

@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 class Words(NamedTuple):
@@ -38,6 +38,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(first, last - first)
         first = last
+    # A worker outlives its tasks; what a batch needed goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
