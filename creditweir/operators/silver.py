@@ -57,7 +57,9 @@ def split_unkeyed(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
     Rows without an id cannot be deduplicated or keyed; they go to a reject
     table instead of collapsing into one row.
     """
-    keyed = bronze.withColumn("applicant_id", F.rint(to_number(F.col("raw_row_id"))).try_cast("bigint"))
+    # Whole numbers are read as such: a double would merge ids beyond 2^53.
+    whole = F.trim("raw_row_id").try_cast("bigint")
+    keyed = bronze.withColumn("applicant_id", F.coalesce(whole, F.rint(to_number(F.col("raw_row_id"))).try_cast("bigint")))
     return (
         keyed.filter(F.col("applicant_id").isNotNull()),
         keyed.filter(F.col("applicant_id").isNull()).drop("applicant_id"),

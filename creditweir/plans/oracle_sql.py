@@ -14,7 +14,7 @@ li AS (
          count(*) FILTER (WHERE l_returnflag='R') AS n_r,
          count(*) FILTER (WHERE l_returnflag='A') AS n_a
   FROM lineitem GROUP BY l_orderkey),
-base AS (
+base AS MATERIALIZED (
   SELECT o_orderkey AS k, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS price,
          CAST(coalesce(n_lines,0) AS BIGINT) AS n_lines, CAST(coalesce(disc_pct,0) AS BIGINT) AS disc_pct,
          CAST(coalesce(qty,0) AS BIGINT) AS qty,
@@ -23,7 +23,7 @@ base AS (
   FROM orders LEFT JOIN li ON l_orderkey = o_orderkey)"""
 
 BRONZE = BASE + """,
-raw AS (
+raw AS MATERIALIZED (
   SELECT k*2 AS bronze_id, CAST(k AS STRING) AS raw_row_id,
     CASE WHEN k % 997 = 0 THEN ''
          WHEN util_pct + 20*greatest(n_r-1,0) + 15*greatest(n_a-1,0) + (k*7919) % 101 > 215
@@ -42,7 +42,7 @@ raw AS (
     CAST(greatest(n_a-1,0) AS STRING) AS times_60_89_days_past_due,
     CASE WHEN k % 37 = 0 THEN '' ELSE CAST(c % 5 AS STRING) END AS number_of_dependents
   FROM base),
-bronze AS (
+bronze AS MATERIALIZED (
   SELECT * FROM raw
   UNION ALL
   SELECT bronze_id+1, raw_row_id, serious_dlqin_2yrs, revolving_utilization_unsecured_lines, age,
@@ -68,7 +68,7 @@ parsed AS (
          try_cast(times_90_days_late AS BIGINT) AS t90,
          try_cast(number_of_dependents AS BIGINT) AS number_of_dependents
   FROM bronze b JOIN newest n ON b.raw_row_id = n.raw_row_id AND b.bronze_id = n.bronze_id),
-silver AS (
+silver AS MATERIALIZED (
   SELECT applicant_id, DATE '2026-01-01' AS snapshot_date,
          CAST(CASE WHEN label IN (0,1) THEN label END AS BIGINT) AS is_serious_delinquency,
          round(util,6) AS revolving_utilisation,
@@ -87,7 +87,7 @@ silver AS (
            AS dq_delinquency_sentinel,
          NOT coalesce(label IN (0,1), false) AS dq_row_quarantined
   FROM parsed),
-silver2 AS (
+silver2 AS MATERIALIZED (
   SELECT * REPLACE (
     DATE '2026-02-01' AS snapshot_date,
     CASE WHEN applicant_id % 13 = 0 AND number_of_dependents IS NOT NULL
@@ -111,12 +111,12 @@ banded2 AS (
 moved AS (
   SELECT y.* FROM banded2 y JOIN banded1 x USING (applicant_id)
   WHERE x.age_band <> y.age_band OR x.dependents_band <> y.dependents_band),
-dim1 AS (
+dim1 AS MATERIALIZED (
   SELECT applicant_id*100000 + (snapshot_date - DATE '1970-01-01') AS borrower_key, applicant_id, age, age_band,
          number_of_dependents, dependents_band, snapshot_date AS effective_from,
          DATE '9999-12-31' AS effective_to, true AS is_current
   FROM banded1),
-dim2 AS (
+dim2 AS MATERIALIZED (
   SELECT d.* REPLACE (
            CASE WHEN m.applicant_id IS NULL THEN d.effective_to ELSE DATE '2026-01-31' END AS effective_to,
            m.applicant_id IS NULL AS is_current)
@@ -138,12 +138,12 @@ profile AS (
          CASE WHEN e.b THEN 'unreliable' WHEN d.b THEN 'severe' WHEN c.b THEN 'moderate' WHEN a.b THEN 'mild'
               ELSE 'none' END AS severity_label
   FROM flags a, flags c, flags d, flags e),
-every_silver AS (
+every_silver AS MATERIALIZED (
   SELECT s.*, d.borrower_key FROM silver s JOIN dim1 d USING (applicant_id) WHERE NOT dq_row_quarantined
   UNION ALL
   SELECT s.*, d.borrower_key FROM silver2 s JOIN dim2 d USING (applicant_id)
   WHERE NOT dq_row_quarantined AND d.is_current),
-every_fact AS (
+every_fact AS MATERIALIZED (
   SELECT CAST(strftime(s.snapshot_date, '%Y%m%d') AS BIGINT) AS snapshot_date_key, CAST(s.borrower_key AS BIGINT) AS borrower_key,
          CAST(coalesce(i.income_band_key, CASE WHEN s.monthly_income IS NULL THEN 1 ELSE 6 END) AS BIGINT) AS income_band_key,
          CAST(coalesce(u.utilisation_band_key, 5) AS BIGINT) AS utilisation_band_key,

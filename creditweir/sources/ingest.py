@@ -67,7 +67,7 @@ def ingest(tables: Tables, source: Source, ingestion_id: str = None) -> str:
         count = read_run(tables, ingestion_id).count()
         runs.append_state(spark, log, ingestion_id, source.name, digest, "SUCCESS", row_count=count)
     except Exception as error:
-        runs.append_state(spark, log, ingestion_id, source.name, digest, "FAILED", error=str(error)[:2000])
+        runs.append_state(spark, log, ingestion_id, source.name, digest, "FAILED", error=str(error))
         raise
     return ingestion_id
 
