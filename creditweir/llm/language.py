@@ -18,7 +18,6 @@ counted whole. Other columns are not read.
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -33,7 +32,7 @@ MIN_SHARE, RELATIVE = 1e-5, 0.05
 #: Filter rows per n-gram of the largest language; at most about 3.2 million rows.
 ROWS_PER_GRAM = 32
 #: Distinct n-grams that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 500_000
 
 
 def gram_keys(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,44 +63,61 @@ def gram_keys(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _merge(parts: list[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(parts).groupby(["lang", "key"], as_index=False)["n"].sum()
+class _Counts:
+    """n-gram counts of one task: per language sorted distinct keys and how often each came."""
+
+    def __init__(self):
+        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.size = 0
+
+    def add(self, name: str, keys: np.ndarray, n: np.ndarray):
+        self.parts.setdefault(name, []).append((keys, n))
+        self.size += len(keys)
+
+    def merge(self):
+        """Adds up equal keys; one language at a time is held twice."""
+        self.size = 0
+        for name, parts in self.parts.items():
+            keys = np.concatenate([k for k, _ in parts])
+            order = np.argsort(keys)
+            keys, n = keys[order], np.concatenate([n for _, n in parts])[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            self.parts[name] = [(keys[first], np.add.reduceat(n, first) if len(first) else n)]
+            self.size += len(first)
+
+    def batches(self):
+        """All counts as Arrow batches; nothing is held afterwards."""
+        self.merge()
+        for name, [(keys, n)] in self.parts.items():
+            yield pa.record_batch([pa.repeat(pa.scalar(name), len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
+        self.parts, self.size = {}, 0
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, key, n) over the whole texts of (text, lang)."""
 
     def run(batches):
-        held, size = [], 0
+        held = _Counts()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split_words(texts_of(part, "text"))
                 if not len(words.codes):
                     continue
                 lang = part.column("lang").dictionary_encode()
-                names = lang.dictionary.to_pylist()
-                of_word = np.repeat(lang.indices.to_numpy(), np.diff(words.starts)).astype(np.int64)
-                cells = np.bincount(of_word * len(words.vocabulary) + words.codes, minlength=len(names) * len(words.vocabulary))
+                of_word = np.repeat(lang.indices.to_numpy(), np.diff(words.starts))
                 keys, owner = gram_keys(words.vocabulary)
-                for i, name in enumerate(names):
-                    n = cells[i * len(words.vocabulary) : (i + 1) * len(words.vocabulary)][owner]
-                    frame = pd.DataFrame({"key": keys.view(np.int64)[n > 0], "n": n[n > 0]}).groupby("key", as_index=False)["n"].sum()
-                    held.append(frame.assign(lang=name))
-                    size += len(frame)
-                if size > HELD:
-                    held = [_merge(held)]
-                    size = len(held[0])
-                    if size > HELD // 2:
-                        yield held[0][["lang", "key", "n"]]
-                        held, size = [], 0
-        if held:
-            yield _merge(held)[["lang", "key", "n"]]
-
-    def as_batches(batches):
-        for frame in run(batches):
-            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-    return docs.mapInArrow(as_batches, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+                distinct, place = np.unique(keys, return_inverse=True)
+                for i, name in enumerate(lang.dictionary.to_pylist()):
+                    times = np.bincount(words.codes[of_word == i], minlength=len(words.vocabulary))
+                    n = np.bincount(place, weights=times[owner], minlength=len(distinct)).astype(np.int64)
+                    held.add(name, distinct[n > 0], n[n > 0])
+                if held.size > HELD:
+                    held.merge()
+                    if held.size > HELD // 2:
+                        yield from held.batches()
+        yield from held.batches()
+
+    return docs.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 class Model(NamedTuple):
