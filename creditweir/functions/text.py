@@ -16,14 +16,17 @@ def plain_decimal(value: Column) -> Column:
 
 
 def strip_fences(raw: Column) -> Column:
-    """Drop a surrounding ``` or ```json fence from a reply."""
-    body = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    unfenced = F.regexp_replace(F.regexp_replace(body, r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    body = F.when(body.startswith("```"), unfenced).otherwise(body)
-    return F.regexp_replace(body, r"^\s+|\s+$", "")
+    """The reply without outer blanks and, if it opens with ``` or ```json, without its fence."""
+    fenced = F.regexp_extract(raw, r"(?s)\A\s*```(?:json)?\s*(.*?)\s*(?:```)?\s*\z", 1)
+    plain = F.regexp_extract(raw, r"(?s)\A\s*(.*?)\s*\z", 1)
+    return F.when(raw.rlike(r"\A\s*```"), fenced).otherwise(plain)
 
 
 def numbers_in(text: Column) -> Column:
-    """Every number written in ``text``, as decimals so that 0.50 equals 0.5."""
+    """Every number written in ``text``, as decimals so that 0.50 equals 0.5.
+
+    A number beyond 26 digits before the point or 12 decimals is null: it can't be told
+    from its neighbours, so an audit must not accept it.
+    """
     found = F.regexp_extract_all(text, F.lit(fv.NUMBER_PATTERN), F.lit(0))
-    return F.transform(found, lambda n: n.try_cast("decimal(38,12)"))
+    return F.transform(found, lambda n: F.when(~n.rlike(r"\.\d{12}0*[1-9]"), n.try_cast("decimal(38,12)")))

@@ -103,7 +103,8 @@ def payload_numbers(payload: str = "payload") -> Column:
     quoted = F.flatten(F.transform(values, _forms))
     written = F.flatten(F.transform(texts, numbers_in))
     incidental = F.array(*[F.lit(n).cast(NUMBER) for n in fv.INCIDENTAL_NUMBERS])
-    return F.array_distinct(F.concat(quoted, written, incidental))
+    # A null stands for a number too long to compare; none may cover for one in the report.
+    return F.array_compact(F.array_distinct(F.concat(quoted, written, incidental)))
 
 
 def report_numbers(report: str = "report") -> Column:

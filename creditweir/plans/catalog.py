@@ -313,8 +313,8 @@ def prediction_volume(spark, sf_dir):
     return shown(monitoring.prediction_volume(given.prediction_log(spark, sf_dir), _as_of()), 12)
 
 
-def _drift_report(spark, sf_dir):
-    """Two batches of drift reports: the last ten and the last three days."""
+def _drift_batches(spark, sf_dir):
+    """Two batches of drift reports with their hours: the last ten and the last three days."""
     log = given.prediction_log(spark, sf_dir)
     values = log.select(
         "received_at",
@@ -340,11 +340,16 @@ def _drift_report(spark, sf_dir):
         F.lit("credit"),
         F.col("model_version"),
         end,
-        F.lit(f"train split, {fv.DRIFT_BINS} bins"),
+        F.lit(f"log before 2024-01-21, {fv.DRIFT_BINS} bins"),
         F.format_string("last %dh of prediction_log", "hours"),
+        F.col("hours"),
     )
 
 
+def _drift_report(spark, sf_dir):
+    return _drift_batches(spark, sf_dir).drop("hours")
+
+
 @query
 def logged_drift(spark, sf_dir):
     return shown(_drift_report(spark, sf_dir), 5)

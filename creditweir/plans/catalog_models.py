@@ -11,7 +11,7 @@ from creditweir.functions.text import plain_decimal
 from creditweir.operators import attribution, audit, drift, evaluation, features, models, reasons, registry, scoring
 from creditweir.plans import given_tables as given
 from creditweir.plans import monitoring, training
-from creditweir.plans.catalog import _drift_report, _fitted, query, shown
+from creditweir.plans.catalog import _drift_batches, _drift_report, _fitted, query, shown
 from creditweir.plans.star import Star
 from creditweir.session import cut, shared_dir, small_table
 from creditweir.sources import files
@@ -158,7 +158,7 @@ def report_audit(spark, sf_dir):
 @query
 def drift_alerts(spark, sf_dir):
     """Alert events of each drift batch, as the listed features."""
-    events = monitoring.alert_event(_drift_report(spark, sf_dir), 240)
+    events = monitoring.alert_event(_drift_batches(spark, sf_dir), F.col("hours"))
     detail = "struct<pipeline:string,model_version:string,window_hours:int,features:array<struct<feature:string,psi:double>>>"
     parsed = events.select("occurred_at", "event_type", F.from_json("details", detail).alias("d"))
     return shown(parsed.select("occurred_at", "event_type", "d.pipeline", "d.model_version", "d.window_hours", F.inline("d.features")))
@@ -243,20 +243,18 @@ def file_fingerprints(spark, sf_dir):
 
 # --- models --------------------------------------------------------------------------
 
-QUERY_TREES = 10  # keeps the registered query short; the library default is the full number
 
-
-def _trained(spark, sf_dir, pipeline, **estimator):
+def _trained(spark, sf_dir, pipeline):
     star = Star(spark, sf_dir)
     rows = star.stored_view if pipeline == "credit" else cut(star.fact)
-    model, params, metadata = training.train(pipeline, rows, **estimator)
+    model, params, metadata = training.train(pipeline, rows)
     scored = training.predict(rows, models.get_pipeline(pipeline), model, params)
     return rows, model, params, scored
 
 
 @query
 def boosted_scores(spark, sf_dir):
-    _, _, _, scored = _trained(spark, sf_dir, "credit", trees=QUERY_TREES)
+    _, _, _, scored = _trained(spark, sf_dir, "credit")
     return shown(scoring.decide(scored.select("applicant_id", "dataset_split", "probability_default")))
 
 
@@ -269,7 +267,7 @@ def tree_scores(spark, sf_dir):
 @query
 def boosted_evaluation(spark, sf_dir):
     """Test-split metrics and decile lift of the boosted model."""
-    _, _, _, scored = _trained(spark, sf_dir, "credit", trees=QUERY_TREES)
+    _, _, _, scored = _trained(spark, sf_dir, "credit")
     test = cut(scored.filter("dataset_split = 'test'").select("applicant_id", "is_serious_delinquency", "probability_default"))
     return shown(evaluation.decile_lift(test, "is_serious_delinquency", "probability_default", "applicant_id"))
 
@@ -277,7 +275,7 @@ def boosted_evaluation(spark, sf_dir):
 @query
 def boosted_attribution(spark, sf_dir):
     """Top contributions per applicant, with the additivity gap of each row."""
-    rows, model, params, _ = _trained(spark, sf_dir, "credit", trees=QUERY_TREES)
+    rows, model, params, _ = _trained(spark, sf_dir, "credit")
     pipeline = models.get_pipeline("credit")
     names = params.feature_names
     ready = pipeline.apply(pipeline.clean(rows, pipeline.target), params, ("applicant_id",))

@@ -10,11 +10,11 @@ STATUS_RANK = {"ALERT": 1, "WARN": 2, "OK": 3}
 
 
 def recent(log: DataFrame, as_of: Column, hours: int) -> DataFrame:
-    """Log rows of the last ``hours`` before ``as_of``; older day folders are skipped."""
+    """Log rows of the last ``hours`` up to ``as_of``; other day folders are skipped."""
     start = as_of - F.make_dt_interval(hours=F.lit(hours))
     if "received_date" in log.columns:
-        log = log.filter(F.col("received_date") >= F.to_date(start))
-    return log.filter(F.col("received_at") > start)
+        log = log.filter(F.col("received_date").between(F.to_date(start), F.to_date(as_of)))
+    return log.filter((F.col("received_at") > start) & (F.col("received_at") <= as_of))
 
 
 def hourly_volume(log: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def prediction_volume(log: DataFrame, as_of: Column, days: int = 7) -> DataFrame
 
 def service_metrics(log: DataFrame, as_of: Column, drift_report: DataFrame, active_version: str) -> DataFrame:
     """One row of service figures; latency quantiles are exact."""
-    last_hour = F.col("received_at") > as_of - F.expr("interval 1 hour")
+    last_hour = (F.col("received_at") > as_of - F.expr("interval 1 hour")) & (F.col("received_at") <= as_of)
     p50, p95 = exact_quantiles(log, {"latency_ms": [0.5, 0.95]})["latency_ms"]
     counts = log.agg(
         F.count("*").alias("predictions_total"),
@@ -79,8 +79,8 @@ def recent_scores(log: DataFrame, n: int = 5000) -> DataFrame:
 
 
 def drift_rows(psi: DataFrame, pipeline: Column, version: Column, computed_at: Column, reference_window: Column,
-               current_window: Column) -> DataFrame:
-    """PSI rows in the shape of the drift report; one time for the whole batch."""
+               current_window: Column, *extra: Column) -> DataFrame:
+    """PSI rows in the shape of the drift report, ``extra`` behind; one time for the whole batch."""
     return psi.select(
         computed_at.alias("computed_at"),
         pipeline.alias("pipeline_name"),
@@ -92,18 +92,19 @@ def drift_rows(psi: DataFrame, pipeline: Column, version: Column, computed_at: C
         current_window.alias("current_window"),
         "n_reference",
         "n_current",
+        *extra,
     )
 
 
-def alert_event(report: DataFrame, window_hours: int) -> DataFrame:
-    """One service event listing the alerting features; none without alerts."""
-    alerts = report.filter(F.col("drift_status") == "ALERT")
+def alert_event(report: DataFrame, window_hours: Column) -> DataFrame:
+    """One service event per batch listing its alerting features; none without alerts."""
+    alerts = report.filter(F.col("drift_status") == "ALERT").withColumn("window_hours", window_hours)
     # At most one entry per profiled feature.
     entry = F.struct((-F.col("psi")).alias("order"), F.col("feature_name").alias("feature"), F.round("psi", 4).alias("psi"))
     listed = F.transform(
         F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["feature"].alias("feature"), e["psi"].alias("psi"))
     )
-    grouped = alerts.groupBy("computed_at", "pipeline_name", "model_version").agg(listed.alias("features"))
+    grouped = alerts.groupBy("computed_at", "pipeline_name", "model_version", "window_hours").agg(listed.alias("features"))
     return grouped.select(
         F.col("computed_at").alias("occurred_at"),
         F.lit("monitoring").alias("service_name"),
@@ -112,7 +113,7 @@ def alert_event(report: DataFrame, window_hours: int) -> DataFrame:
             F.struct(
                 F.col("pipeline_name").alias("pipeline"),
                 "model_version",
-                F.lit(window_hours).alias("window_hours"),
+                "window_hours",
                 "features",
             )
         ).alias("details"),

@@ -209,11 +209,7 @@ feats AS (
            AS utilisation_bucket
   FROM filled)"""
 
-FEATURE_NAMES = (
-    "income_missing monthly_income revolving_utilisation debt_ratio age number_of_dependents open_credit_lines "
-    "real_estate_loans times_30_59_days_late times_60_89_days_late times_90_days_late total_delinquency_events "
-    "monthly_debt_payment income_per_dependent delinquency_ratio has_any_delinquency utilisation_bucket"
-).split()
+FEATURE_NAMES = fv.CREDIT_FEATURES
 
 
 def _long(source, keys, where="true"):
@@ -287,7 +283,7 @@ report AS (
   SELECT split_part(grp,'|',1) AS computed_at, 'credit' AS pipeline_name, split_part(grp,'|',3) AS model_version,
          feature AS feature_name, round(psi,6) AS psi,
          CASE WHEN psi >= 0.01 THEN 'ALERT' WHEN psi >= 0.005 THEN 'WARN' ELSE 'OK' END AS drift_status,
-         'train split, 10 bins' AS reference_window,
+         'log before 2024-01-21, 10 bins' AS reference_window,
          'last ' || split_part(grp,'|',2) || 'h of prediction_log' AS current_window, n_reference, n_current
   FROM psi WHERE n_current >= 100)"""
 
@@ -681,7 +677,7 @@ cur_long AS (""" + _long("stressed", "scenario AS grp,") + ")," + PSI_OF_LONG,
       FROM found"""),
     "drift_alerts": w(DRIFT_REPORT, """
       SELECT computed_at AS occurred_at, 'drift_alert' AS event_type, pipeline_name AS pipeline, model_version,
-             CAST(240 AS BIGINT) AS window_hours, feature_name AS feature, round(psi,4) AS psi
+             CAST(regexp_extract(current_window, '[0-9]+') AS BIGINT) AS window_hours, feature_name AS feature, round(psi,4) AS psi
       FROM report WHERE drift_status = 'ALERT'"""),
     "drift_status_counts": w(DRIFT_REPORT, """
       SELECT computed_at, pipeline_name, model_version, count(*) FILTER (WHERE drift_status='ALERT') AS n_alert,

@@ -98,7 +98,7 @@ def check_drift(tables: Tables, artifact_root: str, pipeline: str, version: str,
         )
     )
     tables.append(DRIFT_REPORT, batch, schemas.DRIFT_REPORT)
-    tables.append(SERVICE_EVENT, monitoring.alert_event(batch, window_hours), schemas.SERVICE_EVENT)
+    tables.append(SERVICE_EVENT, monitoring.alert_event(batch, F.lit(window_hours)), schemas.SERVICE_EVENT)
     return batch
 
 
