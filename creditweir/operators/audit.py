@@ -24,6 +24,39 @@ def parse_reports(rows: DataFrame, raw: str = "reply") -> DataFrame:
     return rows.withColumn("report", F.from_json(strip_fences(F.col(raw)), REPORT_SCHEMA, options))
 
 
+def _is_text(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+
+
+def _wrong_list(json: Column, name: str, sound) -> Column:
+    """A list that is present but null, no list, or has an element that is not ``sound``."""
+    given = F.try_variant_get(json, f"$.{name}", "variant").isNotNull()
+    elements = F.try_variant_get(json, f"$.{name}", "array<variant>")
+    return given & (elements.isNull() | F.exists(elements, lambda e: ~sound(e)))
+
+
+def type_problems(raw: str = "reply") -> Column:
+    """Texts for values whose JSON type is not the one asked for; parsing to columns would convert them."""
+    json = F.try_parse_json(strip_fences(F.col(raw)))
+
+    def texts(*names):
+        def sound(element):
+            parts = [_is_text(F.try_variant_get(element, f"$.{n}", "variant")) for n in names]
+            return reduce(lambda a, b: a & b, parts)
+
+        return sound
+
+    summary = F.try_variant_get(json, "$.summary", "variant")
+    found = [
+        F.when(summary.isNotNull() & ~_is_text(summary), "summary not a text"),
+        F.when(_wrong_list(json, "key_risk_factors", texts("factor", "observation", "reason_code")), "key_risk_factors not texts"),
+        F.when(_wrong_list(json, "mitigating_factors", texts("factor", "observation")), "mitigating_factors not texts"),
+        F.when(_wrong_list(json, "data_quality_notes", _is_text), "data_quality_notes not texts"),
+        F.when(_wrong_list(json, "recommended_checks", _is_text), "recommended_checks not texts"),
+    ]
+    return F.array_compact(F.array(*found))
+
+
 def _empty_if_null(column: str, element: str) -> Column:
     return F.coalesce(F.col(column), F.array().cast(f"array<{element}>"))
 
@@ -125,9 +158,12 @@ def report_numbers(report: str = "report") -> Column:
 def audit(rows: DataFrame, reply: str = "reply", payload: str = "payload") -> DataFrame:
     """Add ``problems``, ``fabricated``, ``unsupported`` and ``is_valid``.
 
-    A reply that breaks the schema is not checked further.
+    A reply that breaks the schema is not checked further. Types are looked at only
+    where the fields are there.
     """
     parsed = parse_reports(rows, reply).withColumn("problems", schema_problems())
+    typed = F.when(F.size("problems") == 0, type_problems(reply)).otherwise(F.col("problems"))
+    parsed = parsed.withColumn("problems", typed)
     sound = F.size("problems") == 0
     none_text = F.array().cast("array<string>")
     none_number = F.array().cast(f"array<{NUMBER}>")
@@ -147,3 +183,24 @@ def outcome(enabled: Column) -> Column:
     return (
         F.when(~enabled, "disabled").when(F.coalesce(F.col("is_valid"), F.lit(False)), "ok").otherwise("fallback")
     )
+
+
+def final_report(enabled: Column, template: Column) -> Column:
+    """The report a reader gets for an audited row: the written one if it is valid, else the template.
+
+    ``llm_status`` tells which: ok, fallback or disabled.
+    """
+    status = outcome(enabled)
+    lists = {
+        "mitigating_factors": "struct<factor:string,observation:string>",
+        "data_quality_notes": "string",
+        "recommended_checks": "string",
+    }
+    written = F.struct(
+        F.col("report.summary").alias("summary"),
+        F.col("report.key_risk_factors").alias("key_risk_factors"),
+        *[_empty_if_null(f"report.{name}", kind).alias(name) for name, kind in lists.items()],
+        F.col("report.confidence").alias("confidence"),
+        status.alias("llm_status"),
+    )
+    return F.when(status == "ok", written).otherwise(template.withField("llm_status", status))

@@ -51,19 +51,39 @@ def flag_quality(df: DataFrame) -> DataFrame:
     return df.select(*values, *[flag.alias(name) for name, flag in flags.items()])
 
 
+def _overflows() -> Column:
+    """Whether a value does not fit its silver column.
+
+    A look at the texts tells most rows; only texts with many digits, an exponent or an
+    infinity are parsed here. Ages and labels out of range are nulled and flagged instead.
+    """
+    sources = {fv.SILVER_NAMES.get(c, c): c for c in SOURCE_COLUMNS}
+
+    def beyond(names, limit, places, hint):
+        texts = F.concat_ws(" ", *[F.col(sources[n]) for n in names])
+        rounded = [F.round(F.abs(to_number(F.col(sources[n]))), places) for n in names]
+        return F.when(texts.rlike(hint), F.coalesce(F.greatest(F.lit(0.0), *rounded) >= limit, F.lit(False))).otherwise(False)
+
+    counters = ["open_credit_lines", "real_estate_loans", *fv.LATE_COUNTERS, "number_of_dependents"]
+    return (
+        beyond(counters, 32768, 0, "[0-9]{5}|[eEiI]")
+        | beyond(["revolving_utilisation"], 1e8, 6, "[0-9]{8}|[eEiI]")
+        | beyond(["debt_ratio"], 1e10, 6, "[0-9]{10}|[eEiI]")
+        | beyond(["monthly_income"], 1e12, 2, "[0-9]{12}|[eEiI]")
+    )
+
+
 def split_unkeyed(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with a usable applicant id, rows without one).
+    """(rows that can be stored, rows that go to the reject table).
 
-    Rows without an id cannot be deduplicated or keyed; they go to a reject
-    table instead of collapsing into one row.
+    Rows without an applicant id cannot be deduplicated or keyed, and rows with a value
+    beyond its column cannot be written; neither stops the load of the others.
     """
     # Whole numbers are read as such: a double would merge ids beyond 2^53.
     whole = F.trim("raw_row_id").try_cast("bigint")
     keyed = bronze.withColumn("applicant_id", F.coalesce(whole, F.rint(to_number(F.col("raw_row_id"))).try_cast("bigint")))
-    return (
-        keyed.filter(F.col("applicant_id").isNotNull()),
-        keyed.filter(F.col("applicant_id").isNull()).drop("applicant_id"),
-    )
+    usable = F.col("applicant_id").isNotNull() & ~_overflows()
+    return keyed.filter(usable), keyed.filter(~usable).drop("applicant_id")
 
 
 def to_silver(bronze: DataFrame, snapshot_date: Column) -> DataFrame:

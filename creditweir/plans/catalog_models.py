@@ -255,13 +255,13 @@ def _trained(spark, sf_dir, pipeline):
 @query
 def boosted_scores(spark, sf_dir):
     _, _, _, scored = _trained(spark, sf_dir, "credit")
-    return shown(scoring.decide(scored.select("applicant_id", "dataset_split", "probability_default")))
+    return shown(scoring.decide(scored.select("applicant_id", "dataset_split", "probability_default")).drop("error_message"))
 
 
 @query
 def tree_scores(spark, sf_dir):
     _, _, _, scored = _trained(spark, sf_dir, "dummy")
-    return shown(scoring.decide(scored.select("applicant_id", "dataset_split", "probability_default")))
+    return shown(scoring.decide(scored.select("applicant_id", "dataset_split", "probability_default")).drop("error_message"))
 
 
 @query

@@ -44,7 +44,9 @@ def load_silver(tables: Tables, ingestion_id: str = None, snapshot_date: str = N
     run, day = landing.run_to_load(tables, ingestion_id, snapshot_date)
     bronze = landing.read_run(tables, run)
     _, unkeyed = silver.split_unkeyed(bronze)
-    tables.append(REJECTS, unkeyed, schemas.BRONZE_APPLICATIONS)
+    # A run that is loaded again adds no row twice.
+    known = tables.read_appended(REJECTS, schemas.BRONZE_APPLICATIONS).filter(F.col("ingestion_id") == run).select("bronze_id")
+    tables.append(REJECTS, cut(unkeyed.join(known, "bronze_id", "left_anti")), schemas.BRONZE_APPLICATIONS)
     staged = cut(silver.to_silver(bronze, F.lit(day)))
     tables.upsert(SILVER, staged, ["applicant_id"], schemas.SILVER_APPLICATIONS)
     counts = silver.quality_counts(staged).select(

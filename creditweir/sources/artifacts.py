@@ -1,6 +1,7 @@
 """Trained models and their metadata below one root, written by Spark."""
 
 import json
+from uuid import uuid4
 
 from pyspark.ml.classification import DecisionTreeClassificationModel, GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +25,19 @@ def artifact_path(root: str, pipeline: str, version: str) -> str:
 
 
 def save(root: str, pipeline: str, version: str, model, params: FeatureParams, metadata: dict) -> str:
-    """Model, feature parameters and metadata; the metadata is written last."""
+    """Model, feature parameters and metadata.
+
+    A model gets a folder of its own, which the metadata names. The metadata is written
+    last, so a version that is saved again is whole at any time: the old model or the new one.
+    """
     spark = SparkSession.getActiveSession()
     path = artifact_path(root, pipeline, version)
-    model.write().overwrite().save(f"{path}/model")
+    folder = f"model-{uuid4().hex}"
+    model.write().save(f"{path}/{folder}")
     full = {
         "pipeline_name": pipeline,
         "model_version": version,
+        "model_folder": folder,
         "feature_names": params.feature_names,
         "preprocessing": params.values,
         **metadata,
@@ -54,7 +61,7 @@ def load(root: str, pipeline: str, version: str) -> tuple:
     """(model, feature parameters, metadata)."""
     metadata = load_metadata(root, pipeline, version)
     path = artifact_path(root, pipeline, version)
-    model = LOADERS[metadata["algorithm"]].load(f"{path}/model")
+    model = LOADERS[metadata["algorithm"]].load(f"{path}/{metadata.get('model_folder', 'model')}")
     return model, FeatureParams(metadata["feature_names"], metadata["preprocessing"]), metadata
 
 

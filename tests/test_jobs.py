@@ -226,3 +226,26 @@ def test_streams_equal_batch_on_closed_windows(spark, tmp_path):
     assert len(rows) >= 6
     for r in rows:
         assert r["psi"] == pytest.approx(wanted[tuple(r[c] for c in by)])
+
+
+def test_rejects_are_kept_once_and_null_utilisation_is_counted(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "tables"))
+    path = write_csv(tmp_path / "a.csv", 120)
+    with open(path, "a") as out:
+        out.write(",0,0.5,40,0,0.3,5000,6,0,1,0,1\n900,0,0.5,40,0,0.3,5000,40000,0,1,0,1\n901,0,,40,0,0.3,5000,6,0,1,0,1\n")
+    with pytest.raises(assertions.ConstraintError, match="1 rows have NULL"):
+        etl.run(tables, files.csv_source(path), "2026-01-01")
+    for _ in range(2):
+        etl.load_silver(tables, snapshot_date="2026-01-01")
+    assert tables.read_appended(etl.REJECTS, schemas.BRONZE_APPLICATIONS).count() == 2
+
+
+def test_rows_without_a_probability_are_logged_as_errors(spark):
+    from creditweir.operators import scoring
+
+    rows = spark.createDataFrame([("a", 0.3), ("b", float("nan")), ("c", None)], "request_id string, probability_default double")
+    rows = rows.select("*", F.struct(F.lit(1.0).alias("x")).alias("request"), F.struct(F.lit(1.0).alias("x")).alias("features"))
+    logged = scoring.log_rows(scoring.decide(rows, threshold=0.2), ["x"], ["x"], "credit", "v1", F.current_timestamp())
+    found = {r["request_id"]: r for r in logged.collect()}
+    assert [found[k]["status"] for k in "abc"] == ["OK", "ERROR", "ERROR"]
+    assert found["a"]["predicted_class"] == 1 and found["b"]["risk_band"] is None and found["b"]["error_message"]

@@ -129,7 +129,10 @@ def test_fabrications_are_found(explained):
     "reply",
     ["not json at all", changed(key_risk_factors=[]), changed(key_risk_factors=good()["key_risk_factors"] * 3),
      changed(confidence="certain"), {k: v for k, v in good().items() if k != "summary"},
-     changed(key_risk_factors=[{"factor": "x", "observation": "y"}])],
+     changed(key_risk_factors=[{"factor": "x", "observation": "y"}]),
+     changed(summary=5), changed(data_quality_notes=None), changed(recommended_checks=["a", None]),
+     changed(data_quality_notes=[1]), changed(mitigating_factors=[{"factor": "x", "observation": 2}]),
+     changed(key_risk_factors=[{"factor": "x", "observation": "y", "reason_code": 1}])],
 )
 def test_broken_replies_fall_back(explained, reply):
     found = judged(explained, reply)
@@ -138,3 +141,22 @@ def test_broken_replies_fall_back(explained, reply):
 
 def test_disabled(explained):
     assert explained.select(F.lit(True).alias("is_valid")).select(audit.outcome(F.lit(False))).first()[0] == "disabled"
+
+
+def test_lists_may_be_absent_or_empty(explained):
+    assert judged(explained, changed(mitigating_factors=[], data_quality_notes=[]))["is_valid"]
+    assert judged(explained, {k: v for k, v in good().items() if k not in ("data_quality_notes", "recommended_checks")})["is_valid"]
+
+
+def test_final_report_is_the_written_one_or_the_template(explained):
+    def final(reply, enabled=True):
+        rows = audit.audit(explained.withColumn("reply", F.lit(json.dumps(reply) if reply else None).cast("string")))
+        template = reasons.template_report("payload", [], "disabled")
+        return rows.select(audit.final_report(F.lit(enabled), template).alias("r")).select("r.*").first()
+
+    written = final(good())
+    assert written["llm_status"] == "ok" and written["summary"] == good()["summary"] and written["confidence"] == "medium"
+    for reply in (changed(summary="It is 87.5 percent."), None):
+        assert final(reply)["llm_status"] == "fallback" and final(reply)["confidence"] == "low"
+    assert final(good(), enabled=False)["llm_status"] == "disabled"
+    assert final({k: v for k, v in good().items() if k != "data_quality_notes"})["data_quality_notes"] == []

@@ -92,3 +92,16 @@ def test_split_is_stable_and_near_its_shares(spark):
         assert r["s"] == ("train" if h < 70 else "valid" if h < 85 else "test")
     share = {s: sum(r["s"] == s for r in rows) / 10000 for s in ("train", "valid", "test")}
     assert abs(share["train"] - 0.70) < 0.02 and abs(share["valid"] - 0.15) < 0.02 and abs(share["test"] - 0.15) < 0.02
+
+
+def test_values_beyond_their_column_are_rejected(spark, make_bronze):
+    rows = [
+        raw(0, 1), raw(1, 1, open_credit_lines_and_loans="40000"), raw(2, 2, revolving_utilization_unsecured_lines="inf"),
+        raw(3, 3, debt_ratio="1e12"), raw(4, 4, number_of_dependents="32767"), raw(5, 5, age="40000"), raw(6, 6, monthly_income="123456789.5"),
+        raw(7, 7, revolving_utilization_unsecured_lines="0.123456789"),
+    ]
+    frame = make_bronze(rows)
+    stored = silver.to_silver(frame, F.lit("2026-01-01")).collect()
+    assert sorted(r["applicant_id"] for r in stored) == [1, 4, 5, 6, 7]
+    assert {r["applicant_id"]: r["open_credit_lines"] for r in stored}[1] == 6
+    assert sorted(r["bronze_id"] for r in silver.split_unkeyed(frame)[1].collect()) == [1, 2, 3]
