@@ -59,18 +59,20 @@ def delinquency_profiles(spark: SparkSession) -> DataFrame:
     return combos.withColumn("severity_label", severity)
 
 
-def band_lookup(value: Column, bands: list, key: str, null_check: str = "is_unknown") -> Column:
+def band_lookup(value: Column, bands: list, key: str, null_check: str = "is_unknown", null_key: bool = False) -> Column:
     """Key of the first band whose [lower, upper) holds ``value``.
 
     ``bands`` are the dimension's rows in sort order. Null goes to the row
-    flagged ``null_check``; with no such row its key is null, which stops the
-    load with a count. A value that no band holds goes to the last band.
+    flagged ``null_check``; with no such row a null is an error, or gets a null
+    key if ``null_key`` is set and the caller counts them. A value that no band holds
+    goes to the last band.
     """
     unknown = [b[key] for b in bands if null_check in b and b[null_check]]
     if unknown:
         chain = F.when(value.isNull(), unknown[0])
     else:
-        chain = F.when(value.isNull(), F.lit(None).cast("int"))
+        missing = F.lit(None) if null_key else F.raise_error(F.lit(f"null value has no {key}"))
+        chain = F.when(value.isNull(), missing.cast("int"))
     for band in bands:
         lower, upper = band["lower_bound"], band["upper_bound"]
         tests = ([value >= lower] if lower is not None else []) + ([value < upper] if upper is not None else [])

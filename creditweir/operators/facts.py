@@ -29,7 +29,7 @@ def build_fact(silver: DataFrame, borrowers: DataFrame, incomes: DataFrame, util
         band_lookup(F.col("monthly_income").cast("double"), band_rows(incomes), "income_band_key").alias(
             "income_band_key"
         ),
-        band_lookup(F.col("revolving_utilisation").cast("double"), band_rows(utilisations), "utilisation_band_key")
+        band_lookup(F.col("revolving_utilisation").cast("double"), band_rows(utilisations), "utilisation_band_key", null_key=True)
         .alias("utilisation_band_key"),
         *[(F.coalesce(F.col(counter), F.lit(0)) > 0).alias(flag) for flag, counter in FLAGS.items()],
         F.col("dq_delinquency_sentinel").alias("has_sentinel_code"),
