@@ -182,7 +182,7 @@ def _apart(percent: int):
     reach = 1 - least + 1e-9
 
     def pairs_of(frame: pd.DataFrame) -> list[tuple[int, int]]:
-        cid, comp, size, far, band = (frame[c].to_numpy() for c in ("cid", "comp", "n", "distance", "key"))
+        cid, comp, size, far = (frame[c].to_numpy() for c in ("cid", "comp", "n", "distance"))
         codes = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), BINS)
         out = []
         for i in range(len(frame) - 1):
@@ -191,10 +191,8 @@ def _apart(percent: int):
             near &= ~(np.abs(far[rest] - far[i]) > reach)  # unknown distances (NaN) rule nothing out
             at = np.flatnonzero(near) + i + 1
             if len(at):
-                same = codes[at] == codes[i]
-                # Each pair counts in the first band it shares.
-                bands = same[:, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                at = at[(same.sum(axis=1) >= needed) & (bands == band[i] & 63)]
+                # A pair counts in every band it shares: one-byte codes cannot tell which is the first.
+                at = at[(codes[at] == codes[i]).sum(axis=1) >= needed]
                 out += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in at]
         return out
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -303,6 +304,26 @@ def test_a_group_of_near_copies_and_its_fringe(spark, monkeypatch):
     assert [got[i] for i in range(90)] == want and len(set(want)) > 1
 
 
+def test_round_two_finds_every_link_without_a_pivot():
+    """Pairs at similarity 0.8 that share a band, against their full sets; codes of one byte collide."""
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(1000):
+        elements = rng.integers(0, 2**63, 300).astype(np.uint64)
+        sets += [np.unique(elements[:270]), np.unique(np.r_[elements[:240], elements[270:]])]
+    table = near_copies.sketch(sets)
+    keys = near_copies.band_keys(table).view(np.int64)
+    codes = [row.tobytes() for row in (table >> np.uint64(10)).astype(np.uint8)]
+    frame = pd.DataFrame([(k, c, c, len(sets[c]), np.nan, codes[c], 0, 0) for c in range(len(sets)) for k in keys[c]])
+    frame.columns = ["key", "cid", "comp", "n", "distance", "sketch", "i", "j"]
+    frame = frame[frame.duplicated("key", keep=False)].sort_values("key", ignore_index=True)
+    frames = [frame[i : i + 5000] for i in range(0, len(frame), 5000)]
+    got = {(r.a, r.b) for out in near_copies._apart(80)(frames) for r in out.itertuples()}
+    want = {(a, b) for _, g in frame.groupby("key") for a in g["cid"] for b in g["cid"] if a < b}
+    alike = {(a, b) for a, b in want if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert alike <= got and len(alike) == 1000
+
+
 def test_sketch_estimates_similarity_for_any_size():
     rng = np.random.default_rng(2)
     for n in (1, 3, 40, 5000):
