@@ -47,7 +47,7 @@ SKETCHED_SETS = 1024
 #: Partners of one class that are confirmed in one group; members of a band compared in one block.
 GROUP, BLOCK = 500, 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-SKETCHED = "uid long, doc_id long, n long, digest binary, keys array<long>, sketch binary"
+SKETCHED = "uid long, doc_id long, text_hash long, n long, digest binary, keys array<long>, sketch binary"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -125,12 +125,12 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 filled = [len(s) > 0 for s in sets]
                 yield pa.record_batch(
                     [
-                        pa.array(uid), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(uid), part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) for s in sets], pa.binary()),
                         pa.array([k if f else None for k, f in zip(keys, filled)], pa.list_(pa.int64())),
                         pa.array([s.tobytes() if f else None for s, f in zip(short, filled)], pa.binary()),
                     ],
-                    names=["uid", "doc_id", "n", "digest", "keys", "sketch"],
+                    names=["uid", "doc_id", "text_hash", "n", "digest", "keys", "sketch"],
                 )
 
     return cut(docs.mapInArrow(run, SKETCHED))
@@ -147,8 +147,9 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     wanted = members.unionByName(firsts)
     either = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     needed = either.join(classes, "cid")
-    # Equal sets can come from different texts with one id: the digest picks the right one.
-    found = needed.join(docs, needed["least"].eqNullSafe(docs["doc_id"])).select("cid", "digest", "text")
+    # The hash of the text keeps other rows with this id away; the digest decides.
+    same_row = needed["least"].eqNullSafe(docs["doc_id"]) & (needed["text_hash"] == docs["text_hash"])
+    found = needed.join(docs, same_row).select("cid", "digest", "text")
     texts = cut(found)
     rows = wanted.join(texts, "cid").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
 
@@ -241,9 +242,12 @@ def candidates_apart(keys: DataFrame, comp: DataFrame, tested: DataFrame, rows:
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     rows = sketched(docs, width)
     filled = rows.where("digest IS NOT NULL")
-    class_ids = cut(filled.groupBy("digest").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least")))
+    # The smallest id of a class, and the text of a row that has it.
+    hash_ = F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("text_hash")
+    class_ids = cut(filled.groupBy("digest").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least"), hash_))
     firsts = class_ids.select("cid").join(filled.select("uid", "keys"), F.col("cid") == F.col("uid"))
     exploded = firsts.select("cid", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")

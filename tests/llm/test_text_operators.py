@@ -304,6 +304,23 @@ def test_a_group_of_near_copies_and_its_fringe(spark, monkeypatch):
     assert [got[i] for i in range(90)] == want and len(set(want)) > 1
 
 
+def test_classes_fetch_only_their_own_text(spark, monkeypatch):
+    """Sixty texts under one id, and sixty under null: none is fetched for another's class."""
+    fetched = []
+
+    def spy(df):
+        out = cut(df)
+        if out.columns == ["cid", "digest", "text"]:
+            fetched.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "cut", spy)
+    rows = [(7 if i < 60 else None, " ".join([*(f"w{i // 2}y{k}" for k in range(60)), f"end{i}"])) for i in range(120)]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert Counter((g.doc_id, g.component_id) for g in got) == {(7, 7): 60, (None, None): 60}
+    assert sum(fetched) == 120
+
+
 def test_round_two_finds_every_link_without_a_pivot():
     """Pairs at similarity 0.8 that share a band, against their full sets; codes of one byte collide."""
     rng = np.random.default_rng(7)
