@@ -374,6 +374,30 @@ def test_licences(spark, odd, none):
     assert licences.scan(none).count() == 0 and licences.scan(odd).count() == 0
 
 
+def test_licences_inside_longer_texts(spark):
+    """Licences of several paragraphs and within sentences; full texts; two copies; a window per copy."""
+    words = licences.TEMPLATES["mit"].split()
+    mit = "\n\n".join(" ".join(words[a:b]) for a, b in ((0, 70), (70, 92), (92, None)))
+    prose = " ".join(f"word{i}" for i in range(300))
+    long_prose = " ".join(f"word{i}" for i in range(2000))
+    rows = [
+        (1, f"{prose}\n\n{mit}\n\n{prose}"),
+        (2, f"{prose}. This project is released under the MIT License and {prose}"),
+        (3, f"{long_prose}\n{licences.TEMPLATES['apache-2.0']}\n{long_prose}"),
+        (4, f"{prose}\n\n{mit}\n\n{prose}\n\n{mit}\n\n{prose}"),
+        (5, f"{prose} {licences.TEMPLATES['bsd-3-clause']} {prose}"),
+        (6, prose),
+        (7, f"{prose}\nLicensed under the MIT License.\n{prose}"),
+    ]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = Counter((r.doc_id, r.unit, r.licence) for r in got)
+    assert found[1, "window", "mit"] == found[2, "window", "mit-line"] == found[3, "window", "apache-2.0"] == 1
+    assert found[4, "window", "mit"] == 2 and found[5, "window", "bsd-3-clause"] == 1
+    assert found[7, "line", "mit-licensed-line"] == 1 and not found[7, "window", "mit-licensed-line"]
+    assert not [r for r in got if r.doc_id == 6]
+    assert {r.unit_no for r in got if r.doc_id == 1 and r.licence == "mit"} == {300}
+
+
 def test_licences_against_all_pairs(given):
     def bigrams(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
