@@ -2,7 +2,9 @@
 
 Markup is stripped to lines, one per block element; scripts, forms, menus, headers,
 footers, sidebars, notices, adverts and reader comments weigh nothing, by element and
-by the words of their class, id or role. Sums of text lengths over sliding windows of
+by the words of their class, id or role. Such words on a wrapper count for nothing if it
+holds a main element, or if it holds an article and half of the page's text while no
+article stands outside marked elements. Sums of text lengths over sliding windows of
 lines give the distribution: a surge is where it rises above the threshold, a dive is
 where it falls back, and the lines between a surge and its dive are the text. Where the
 page names its article (article, main), lines outside weigh nothing and the threshold
@@ -55,9 +57,7 @@ class Line(NamedTuple):
     linked: int  # characters inside links
 
 
-def _beside(name: str, attributes: str, in_main: bool) -> bool:
-    if name in ASIDE and not (name == "header" and in_main):
-        return True
+def _marked(name: str, attributes: str) -> bool:
     if not attributes or name in ("html", "body", *MAIN):
         return False
     return any(BESIDE.search((a or b or c).lower()) for a, b, c in _MARKS.findall(attributes))
@@ -66,22 +66,27 @@ def _beside(name: str, attributes: str, in_main: bool) -> bool:
 def lines_of(page: str) -> list[Line]:
     """Text lines in page order, with references decoded and white space made single."""
     page = _SILENT.sub(" ", page)
-    out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, beside, main
+    out: list[tuple[Line, tuple[int, ...]]] = []  # with the numbers of the marked elements around it
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, beside, main, marked
     pieces: list[str] = []
-    beside = main = links = linked = at = 0
+    marked: list[int] = []
+    holds_main: set[int] = set()
+    holds_article: set[int] = set()
+    beside = main = links = linked = at = number = 0
 
     def close_line():
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            out.append(Line(text, beside > 0, main > 0, min(linked, len(text))))
+            out.append((Line(text, beside > 0, main > 0, min(linked, len(text))), tuple(marked)))
         pieces.clear()
         linked = 0
 
     def pop():
         nonlocal beside, main, links
-        name, was_beside, was_main = stack.pop()
+        name, was_beside, was_main, was_marked = stack.pop()
+        if was_marked:
+            marked.pop()
         beside -= was_beside
         main -= was_main
         links -= name == "a"
@@ -109,14 +114,30 @@ def lines_of(page: str) -> list[Line]:
                 while stack[-1][0] != "p":
                     pop()
                 pop()
-            was_beside, was_main = _beside(name, tag[3] or tag[6] or "", main > 0), name in MAIN
-            stack.append((name, was_beside, was_main))
+            if name == "main":
+                holds_main.update(marked)
+            elif name == "article":
+                holds_article.update(marked)
+            was_beside, was_main = name in ASIDE and not (name == "header" and main > 0), name in MAIN
+            was_marked = not was_beside and _marked(name, tag[3] or tag[6] or "")
+            stack.append((name, was_beside, was_main, was_marked))
+            if was_marked:
+                marked.append(number)
+                number += 1
             beside += was_beside
             main += was_main
             links += name == "a"
     pieces.append(page[at:])
     close_line()
-    return out
+    void = holds_main
+    if holds_article and not any(line.main and not line.aside and void.issuperset(marks) for line, marks in out):
+        held = dict.fromkeys(holds_article, 0)
+        for line, marks in out:
+            for mark in held.keys() & marks if not line.aside else ():
+                held[mark] += len(line.text)
+        total = sum(len(line.text) for line, _ in out if not line.aside)
+        void = void | {mark for mark, chars in held.items() if 2 * chars >= total}
+    return [line._replace(aside=line.aside or not void.issuperset(marks)) for line, marks in out]
 
 
 def between(weights: np.ndarray, threshold: int, window: int = WINDOW) -> np.ndarray:

@@ -196,6 +196,19 @@ def test_surge_and_dive_on_pages_without_an_article():
     assert "entry" not in got and "short" in got and got.count("own text") == 12
 
 
+def test_marked_wrappers_do_not_void_the_article():
+    body = "<p>" + "The article's own text. " * 9 + "</p>"
+    want = ("The article's own text. " * 9).strip()
+    for mark in ("class='site has-sidebar'", "id='page-modal'", "class='post social'"):
+        for name in ("main", "article"):
+            page = f"<div {mark}><div class=menu>entry</div><{name}>{body}<div class=ad>buy</div></{name}></div><div class=comments>no</div>"
+            assert pages.main_text(page) == want
+    comment = f"<div class=comments><article>{'so true ' * 90}</article></div>"
+    assert pages.main_text(f"<article>{body}</article>{comment}") == want
+    assert pages.main_text(f"<div>{body * 6}</div>{comment}").count("own text") == 54
+    assert "so true" not in pages.main_text(f"<div>{body * 6}</div>{comment}")
+
+
 def test_page_rows(spark):
     rows = [(1, None, None), (None, "u", ""), (2, "u", "<p>x</p>"), (2, "u", "<p>x</p>"), (3, "v", "<p>" + "w " * 50_000)]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
