@@ -5,7 +5,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditweir.llm import decontamination, language, licences, near_copies, packing, pages, quality, shards, token_files, urls
+from creditweir.llm import centroids, conversations, decontamination, language, licences, near_copies, packing, pages, quality, repeats, shards
+from creditweir.llm import token_files, urls
 from creditweir.llm.scratch import scratch
 from creditweir.llm.tokens import default_vocabulary
 from creditweir.session import shared_dir
@@ -176,6 +177,54 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove(_table(spark, sf_dir, "documents"), length=200))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damage(turns), turns)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _sql_round(number: int) -> str:
+    """Assignment to the centroids of a round, and the centroids of the next."""
+    return f"""
+a{number} AS MATERIALIZED (
+  SELECT vec_id, v, c, d FROM (
+    SELECT r, vec_id, v, c, list_sum(list_transform(list_zip(v, p), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM vectors, c{number}
+  ) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+),
+c{number + 1} AS MATERIALIZED (
+  SELECT c, coalesce(n.p, o.p) AS p FROM c{number} o LEFT JOIN (
+    SELECT c, list(m ORDER BY i) AS p FROM (
+      SELECT c, i, CAST(floor(sum(x) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m
+      FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{number}) GROUP BY c, i
+    ) GROUP BY c
+  ) n USING (c)
+)"""
+
+
+#: Sums divide as doubles: exact floors while a cluster's sums stay far below 2^53.
+OP13_SQL = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: isfinite(x))) = {centroids.DIMENSIONS}
+),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS INTEGER) AS c, v AS p
+  FROM vectors QUALIFY c < {centroids.CLUSTERS}
+),{",".join(_sql_round(i) for i in range(centroids.ROUNDS + 1))}
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN (SELECT c, p FROM c{centroids.ROUNDS}) USING (c)
+"""
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
@@ -187,9 +236,13 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
+    "op11_repeated_passages": op11_repeated_passages,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_centroids": op13_centroids,
 }
 ORACLES: dict[str, str] = {
     "op2_sharding": OP2_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_url_filter": OP9_SQL,
+    "op13_centroids": OP13_SQL,
 }
