@@ -11,7 +11,10 @@ windows that choose the same gram form a segment, the bytes that they cover.
 3. A gram with one segment left has copies only, and all of its windows occur again. The
    texts of other segments are fetched, one for each digest, and sorted by suffix array
    (``suffixes``): windows that are equal stand side by side, and count as often as their
-   segments occur. Small grams share an array of about ``PACK`` bytes.
+   segments occur. Grams are sorted by the first place that one of their segments has, so
+   near copies of a text share arrays of about ``PACK`` bytes, and segments that follow
+   each other in a text are joined there. A window of which one half occurs only once in
+   such an array is left out of it.
 4. A gram with more than ``GROUP`` bytes of different segments (a line that many texts
    share, each with other words around it) is not sorted by one task: its windows are
    counted by their hash, over all tasks.
@@ -44,8 +47,9 @@ LENGTH = 200
 #: Bytes hashed at a time.
 CHUNK = 1 << 20
 #: Bytes of segments in one suffix array; bytes of different segments that one gram may bring to a task.
-PACK, GROUP = 1 << 17, 1 << 20
-#: Bytes of segments that wait for their array, at most one array and one gram.
+PACK, GROUP = 1 << 15, 1 << 18
+#: Bytes of a text whose grams are sorted in one task.
+STRETCH = 4096
 FACTORS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
 PLACE_BITS = 24
@@ -188,19 +192,21 @@ def unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def repeated(contents: list[bytes], windows: list[int], times: list[int], length: int) -> list[np.ndarray]:
-    """For each segment, which of its windows occur more than once in all of them, by one suffix array."""
+def repeated(contents: list[bytes], times: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """For each piece, which of its windows occur more than once in all of them, by one suffix array.
+
+    ``times`` holds, for every window of a piece, how often it stands in the texts.
+    """
     sizes = np.array([len(c) + 1 for c in contents])
     begins = np.cumsum(sizes) - sizes
-    symbols = np.ones(int(sizes.sum()) + 1, np.int64)  # 1 ends a segment
+    symbols = np.ones(int(sizes.sum()) + 1, np.int64)  # 1 ends a piece
     symbols[-1] = 0
-    for begin, content in zip(begins, contents):
+    weight = np.zeros(len(symbols))
+    for begin, content, own in zip(begins, contents, times):
         symbols[begin : begin + len(content)] = np.frombuffer(content, np.uint8).astype(np.int64) + 2
-    owner = np.full(len(symbols), -1)
-    for i, (begin, n) in enumerate(zip(begins, windows)):
-        owner[begin : begin + n] = i
+        weight[begin : begin + len(own)] = own
     order = suffix_array(symbols)
-    order = order[owner[order] >= 0]
+    order = order[weight[order] > 0]
     # Windows that are equal are neighbours; symbols are compared, not hashes.
     small = symbols.astype(np.int16)
     same = np.zeros(len(order), bool)
@@ -209,10 +215,58 @@ def repeated(contents: list[bytes], windows: list[int], times: list[int], length
         reach = np.arange(length)
         same[own] = (small[order[own][:, None] + reach] == small[order[own - 1][:, None] + reach]).all(axis=1)
     kind = np.cumsum(~same)
-    total = np.bincount(kind, weights=np.asarray(times, float)[owner[order]])
     again = np.zeros(len(symbols), bool)
-    again[order] = total[kind] > 1
-    return [again[begin : begin + n] for begin, n in zip(begins, windows)]
+    again[order] = np.bincount(kind, weights=weight[order])[kind] > 1
+    return [again[begin : begin + len(own)] for begin, own in zip(begins, times)]
+
+
+def promising(contents: list[bytes], times: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """As ``repeated``; a window of which a half occurs once in all pieces is not sorted, as it cannot occur twice."""
+    sizes = np.array([len(c) for c in contents])
+    counts = np.array([len(t) for t in times])
+    begins, ends = np.cumsum(sizes) - sizes, np.cumsum(counts)
+    hashes = Rolling(np.frombuffer(b"".join(contents), np.uint8), 0)
+    at = np.repeat(begins - (ends - counts), counts) + np.arange(int(counts.sum()))
+    weight, open_ = np.concatenate(times), np.ones(len(at), bool)
+    half = -(-length // 2)
+    for shift in (0, length - half):
+        _, kind = np.unique(hashes.of(at + shift, at + shift + half), return_inverse=True)
+        open_ &= np.bincount(kind, weights=weight)[kind] > 1
+    parts, pieces, weights = [], [], []
+    for i, (end, n) in enumerate(zip(ends.tolist(), counts.tolist())):
+        for a, b in runs(open_[end - n : end]):
+            parts.append((end - n + a, end - n + b + 1))
+            pieces.append(contents[i][a : b + length])
+            weights.append(times[i][a : b + 1])
+    again = np.zeros(len(at), bool)
+    for (a, b), flags in zip(parts, repeated(pieces, weights, length) if parts else ()):
+        again[a:b] = flags
+    return [again[end - n : end] for end, n in zip(ends.tolist(), counts.tolist())]
+
+
+def joined(rows: list[dict], length: int) -> list[np.ndarray]:
+    """The repeated windows of each segment; segments that follow each other in a text are sorted as one piece."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["u"], rows[i]["v"], rows[i]["first"]))
+    contents, times, parts, end = [], [], [], None
+    for i in order:
+        r = rows[i]
+        if end == (r["u"], r["v"], r["first"]):
+            contents[-1][-1] = contents[-1][-1][: 1 - length] if length > 1 else contents[-1][-1]
+        else:
+            contents.append([])
+            times.append([])
+            parts.append([])
+        contents[-1].append(r["content"])
+        times[-1].append(np.full(r["windows"], r["times"], np.int64))
+        parts[-1].append(i)
+        end = r["u"], r["v"], r["first"] + r["windows"]
+    out: list[np.ndarray] = [np.zeros(0, bool)] * len(rows)
+    for own, flags in zip(parts, promising([b"".join(c) for c in contents], [np.concatenate(t) for t in times], length)):
+        at = 0
+        for i in own:
+            out[i] = flags[at : at + rows[i]["windows"]]
+            at += rows[i]["windows"]
+    return out
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -232,23 +286,27 @@ def _sorted_runs(contents: DataFrame, length: int) -> DataFrame:
     """Repeated windows of the segments of small grams."""
     names, kinds = ["key", "digest", "low", "high"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
-    def judged(held: list[tuple]) -> pa.RecordBatch:
-        found = repeated([r[4] for r in held], [r[2] for r in held], [r[3] for r in held], length)
-        return _as_batch([(r[0], r[1], a, b) for r, flags in zip(held, found) for a, b in runs(flags)], names, kinds)
+    def judged(held: list[dict]) -> pa.RecordBatch:
+        found = joined(held, length)
+        return _as_batch([(r["key"], r["digest"], a, b) for r, flags in zip(held, found) for a, b in runs(flags)], names, kinds)
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "windows", "times", "content"))):
-                if held and size >= PACK and held[-1][0] != row[0]:
-                    yield judged(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+            for part in slices(batch, "content"):
+                for row in part.to_pylist():
+                    if held and size >= PACK and held[-1]["key"] != row["key"]:
+                        yield judged(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row["content"])
         if held:
             yield judged(held)
 
-    return contents.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(run, RUNS)
+    # All segments of a gram have its leader, so they stay together; a long text is dealt in stretches.
+    stretch = F.floor(F.col("leader.first") / STRETCH)
+    placed = contents.repartition("leader.u", "leader.v", stretch).sortWithinPartitions("leader", "key")
+    return placed.drop("leader", "crowded").mapInArrow(run, RUNS)
 
 
 def _counted_runs(contents: DataFrame, length: int) -> DataFrame:
@@ -278,27 +336,29 @@ def _counted_runs(contents: DataFrame, length: int) -> DataFrame:
     return spread.agg(F.min("s.x").alias("low"), F.max("s.x").alias("high")).select("key", "digest", "low", "high")
 
 
+_WANTED = "key long, digest long, windows int, times long, crowded boolean, leader struct<u:long,v:int,first:long>, u long, v int, first long"
+
+
 def _contents(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of one occurrence of each wanted segment."""
-    wanted = wanted.groupBy("u", "v").agg(F.collect_list(F.struct("key", "digest", "windows", "times", "crowded", "first")).alias("wanted"))
+    """The wanted segments with the bytes of one occurrence."""
+    names = [f.split()[0] for f in _WANTED.split(", ")]
+    wanted = wanted.groupBy("u", "v").agg(F.collect_list(F.struct(*(F.col(n) for n in names))).alias("wanted"))
     # One of the rows alike in text; copies go before the shuffle.
     once = texts.groupBy("u", "v").agg(F.first("packed").alias("packed"))
 
     def run(batches):
-        names = ["key", "digest", "windows", "times", "crowded", "content"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
             for part in slices(batch, "packed"):
-                rows = []
-                for packed, own in zip(part.column("packed").to_pylist(), part.column("wanted").to_pylist()):
-                    text = unpacked(packed)
-                    for w in own:
-                        content = text[w["first"] : w["first"] + w["windows"] - 1 + length]
-                        rows.append((w["key"], w["digest"], w["windows"], w["times"], w["crowded"], content))
-                yield _as_batch(rows, names, kinds)
+                lists = part.column("wanted")
+                segments_ = lists.flatten()
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                text_of = np.repeat(np.arange(len(sizes)), sizes).tolist()
+                texts_ = [unpacked(packed) for packed in part.column("packed").to_pylist()]
+                places = zip(text_of, segments_.field("first").to_pylist(), segments_.field("windows").to_pylist())
+                content = pa.array([texts_[t][first : first + n - 1 + length] for t, first, n in places], pa.binary())
+                yield pa.RecordBatch.from_arrays([*segments_.flatten(), content], names=[*names, "content"])
 
-    schema = "key long, digest long, windows int, times long, crowded boolean, content binary"
-    return cut(once.join(wanted, ["u", "v"]).select("packed", "wanted").mapInArrow(run, schema))
+    return cut(once.join(wanted, ["u", "v"]).select("packed", "wanted").mapInArrow(run, f"{_WANTED}, content binary"))
 
 
 def spans(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -308,14 +368,13 @@ def spans(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     place = F.min(F.struct("u", "v", "first")).alias("p")
     kinds = cut(placed.groupBy("key", "digest").agg(F.first("windows").alias("windows"), F.count("*").alias("times"), place))
     size = F.sum(F.col("windows") + (length - 1)).alias("bytes")
-    variants = kinds.groupBy("key").agg(F.count("*").alias("variants"), size)
-    several = variants.where("variants > 1").select("key", (F.col("bytes") > GROUP).alias("crowded"))
-    wanted = kinds.join(several, "key").select("key", "digest", "windows", "times", "crowded", "p.u", "p.v", "p.first")
+    variants = kinds.groupBy("key").agg(F.count("*").alias("variants"), size, F.min("p").alias("leader"))
+    several = variants.where("variants > 1").select("key", (F.col("bytes") > GROUP).alias("crowded"), "leader")
+    wanted = kinds.join(several, "key").select("key", "digest", "windows", "times", "crowded", "leader", "p.u", "p.v", "p.first")
     contents = _contents(wanted, texts, length)
     copies = kinds.join(several, "key", "left_anti").select("key", "digest", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
-    columns = ["key", "digest", "windows", "times", "content"]
-    sorted_ = _sorted_runs(contents.where(~F.col("crowded")).select(columns), length)
-    counted = _counted_runs(contents.where("crowded").select(columns), length)
+    sorted_ = _sorted_runs(contents.where(~F.col("crowded")), length)
+    counted = _counted_runs(contents.where("crowded").select("key", "digest", "windows", "times", "content"), length)
     found = cut(copies.unionByName(sorted_).unionByName(counted))
     begin, end = (F.col("first") + F.col("low")).alias("begin"), (F.col("first") + F.col("high") + length).alias("end")
     # Rows alike in text bring the same spans.

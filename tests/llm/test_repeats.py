@@ -68,6 +68,20 @@ def test_small_packs_and_chunks(spark, monkeypatch):
     compare(spark, texts, 25)
 
 
+def test_segments_that_follow_each_other_are_sorted_as_one():
+    """Joined or alone, the same windows are found."""
+    random.seed(8)
+    texts = [bytes(random.choice(b"ab") for _ in range(70)) for _ in range(6)]
+    rows = []
+    for u, text in enumerate(texts):
+        for first in (0, 5, 20, 21, 50):
+            n = {0: 5, 5: 15, 20: 1, 21: 20, 50: 14}[first]  # a gap before 50
+            rows.append({"u": u, "v": 0, "first": first, "windows": n, "times": 1, "content": text[first : first + n + 6]})
+    random.shuffle(rows)
+    alone = repeats.repeated([r["content"] for r in rows], [np.full(r["windows"], r["times"]) for r in rows], 7)
+    assert [x.tolist() for x in repeats.joined(rows, 7)] == [x.tolist() for x in alone]
+
+
 def test_chunks_hold_every_window_once():
     random.seed(7)
     sizes = [0, 3, 10, 11, 250, 9, 64]
