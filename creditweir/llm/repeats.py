@@ -47,9 +47,9 @@ LENGTH = 200
 #: Bytes hashed at a time.
 CHUNK = 1 << 20
 #: Bytes of segments in one suffix array; bytes of different segments that one gram may bring to a task.
-PACK, GROUP = 1 << 15, 1 << 18
+PACK, GROUP = 1 << 15, 1 << 20
 #: Bytes of a text whose grams are sorted in one task.
-STRETCH = 4096
+STRETCH = 1024
 FACTORS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
 PLACE_BITS = 24
