@@ -4,19 +4,21 @@ A text is the set of its distinct word shingles. Its sketch has ``BINS`` coordin
 in round i every element is hashed to one bin and the bin keeps its smallest value,
 ordered by round first, until every bin holds something (after ``BINS`` hashed rounds,
 round BINS + k places all elements in bin k, so every coordinate fills). The share of
-equal coordinates estimates the Jaccard similarity with the concentration of that many
-independent minima, for sets of any size. ``BANDS`` bands of ``ROWS`` coordinates give
-candidates: a pair at similarity 0.8 shares none with probability 1e-8.
+equal coordinates has the concentration of that many independent minima, for sets of any
+size. ``BANDS`` bands of ``ROWS`` coordinates give candidates: a pair at similarity 0.8
+shares none with probability 1e-8.
 
 Equal sets form one class first, so copies are never paired. Links between classes are
-confirmed on full sets, in two rounds. Round 1 compares each class with the pivot of
-each of its bands, the class with most company (a star, not all pairs). Round 2 compares
-the pairs of a band whose classes are not yet connected, block by block, and confirms
-those whose sketches allow a link (five deviations below the threshold) and whose exact
-distances to the pivot do (the Jaccard distance keeps the triangle inequality). What
-round 2 leaves out is connected already or no link, so components lose none. Texts meet
-for confirmation by pivot; a class with many partners is split over salted groups, each
-with one copy of its text.
+decided on full sets, in two rounds. Round 1 compares each class with the pivot of each
+of its bands, the class with most company (a star, not all pairs), and keeps what the
+class lacks of the pivot's set and has beyond it. With P the pivot's size, two members of
+a band share P less what either lacks, plus what both have beyond it: round 2 needs these
+differences only, and no text. It compares the members of a band that are not yet in one
+component, block by block, exactly, and hands on the links that join two components, so
+a block gives fewer rows than it has members. Members of a band's largest component do
+not meet each other. What round 2 leaves out is connected already, so components lose no
+link. Texts meet their pivot's; a class with many partners is split over salted groups,
+each with one copy of its text.
 
 Null texts and texts without words have an empty set and link with nothing; a text with
 fewer words than a shingle is one element. Repeated ids are judged row by row. Null ids
@@ -39,15 +41,13 @@ from creditweir.llm.scratch import cut, tidy
 from creditweir.llm.words import mix, slices, split_words, texts_of, word_hashes
 
 BANDS, ROWS = 60, 6
-#: Bands use the first coordinates; all of them estimate the similarity.
-BINS = 1000
-DEVIATIONS = 5
+BINS = BANDS * ROWS
 #: Sets that are sketched at a time.
 SKETCHED_SETS = 1024
 #: Partners of one class that are confirmed in one group; members of a band compared in one block.
-GROUP, BLOCK = 500, 2048
+GROUP, BLOCK = 500, 1024
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-SKETCHED = "uid long, doc_id long, text_hash long, n long, digest binary, keys array<long>, sketch binary"
+SKETCHED = "uid long, doc_id long, text_hash long, n long, digest binary, keys array<long>"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -115,11 +115,9 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(texts_of(part, "text"), width)
-                keys, short = [], []
+                keys = []
                 for i in range(0, len(sets), SKETCHED_SETS):
-                    table = sketch(sets[i : i + SKETCHED_SETS])
-                    keys += list(band_keys(table).view(np.int64))
-                    short += list((table >> np.uint64(10)).astype(np.uint8))
+                    keys += list(band_keys(sketch(sets[i : i + SKETCHED_SETS])).view(np.int64))
                 uid = row + np.arange(len(sets))
                 row += len(sets)
                 filled = [len(s) > 0 for s in sets]
@@ -128,16 +126,18 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                         pa.array(uid), part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) for s in sets], pa.binary()),
                         pa.array([k if f else None for k, f in zip(keys, filled)], pa.list_(pa.int64())),
-                        pa.array([s.tobytes() if f else None for s, f in zip(short, filled)], pa.binary()),
                     ],
-                    names=["uid", "doc_id", "text_hash", "n", "digest", "keys", "sketch"],
+                    names=["uid", "doc_id", "text_hash", "n", "digest", "keys"],
                 )
 
     return cut(docs.mapInArrow(run, SKETCHED))
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes with the distance of their full sets, and whether it is a link."""
+TESTED = "a long, b long, na long, nb long, link boolean, lacks binary, beyond binary"
+
+
+def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes with the sizes of their full sets, whether they link, and what b lacks of a and has beyond it."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("partners"))
     salts = F.ceil(F.col("partners") / GROUP).cast("int")
     members = pairs.join(sizes, "a").select(
@@ -151,10 +151,10 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     same_row = needed["least"].eqNullSafe(docs["doc_id"]) & (needed["text_hash"] == docs["text_hash"])
     found = needed.join(docs, same_row).select("cid", "digest", "text")
     texts = cut(found)
-    rows = wanted.join(texts, "cid").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
+    rows = wanted.join(texts, "cid").repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "cid")
 
     def run(batches):
-        current, held = None, None
+        current, held, last = None, None, None
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(texts_of(part, "text"), width)
@@ -162,80 +162,114 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
                 for r, own in zip(part.select(["a", "salt", "side", "cid", "digest"]).to_pylist(), sets):
                     if digest(own) != r["digest"]:
                         continue
+                    group = (r["a"], r["salt"])
                     if r["side"] == 0:
-                        current, held = (r["a"], r["salt"]), own
-                    elif current == (r["a"], r["salt"]):
-                        common = len(np.intersect1d(held, own, assume_unique=True))
-                        union = len(held) + len(own) - common
-                        judged.append((r["a"], r["cid"], 1 - common / union, 100 * common >= percent * union))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+                        current, held, last = group, own, None
+                    elif current == group and last != r["cid"]:  # repeated rows bring a text twice
+                        last = r["cid"]
+                        beyond = own[~np.isin(own, held, assume_unique=True)]
+                        lacks = held[~np.isin(held, own, assume_unique=True)]
+                        common = len(own) - len(beyond)
+                        link = 100 * common >= percent * (len(held) + len(beyond))
+                        judged.append((r["a"], r["cid"], len(held), len(own), link, lacks.tobytes(), beyond.tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
                 columns = [pa.array([x[i] for x in judged], kind) for i, kind in enumerate(kinds)]
-                yield pa.record_batch(columns, names=["a", "b", "distance", "link"])
-
-    # Repeated rows of one text would judge a pair twice.
-    return cut(rows.mapInArrow(run, "a long, b long, distance double, link boolean").distinct())
-
-
-def _apart(percent: int):
-    """Compares the members of each (key, block pair) that are in different components."""
-    least = percent / 100
-    needed = BINS * least - DEVIATIONS * (BINS * least * (1 - least)) ** 0.5
-    reach = 1 - least + 1e-9
-
-    def pairs_of(frame: pd.DataFrame) -> list[tuple[int, int]]:
-        cid, comp, size, far = (frame[c].to_numpy() for c in ("cid", "comp", "n", "distance"))
-        codes = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), BINS)
-        out = []
-        for i in range(len(frame) - 1):
-            rest = slice(i + 1, None)
-            near = (comp[rest] != comp[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
-            near &= ~(np.abs(far[rest] - far[i]) > reach)  # unknown distances (NaN) rule nothing out
-            at = np.flatnonzero(near) + i + 1
-            if len(at):
-                # A pair counts in every band it shares: one-byte codes cannot tell which is the first.
-                at = at[(codes[at] == codes[i]).sum(axis=1) >= needed]
-                out += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in at]
+                yield pa.record_batch(columns, names=["a", "b", "na", "nb", "link", "lacks", "beyond"])
+
+    return cut(rows.mapInArrow(run, TESTED))
+
+
+class _Differences:
+    """Sets of numbers, one for each member, and how many each shares with one of them."""
+
+    def __init__(self, packed: list[bytes]):
+        sets = [np.frombuffer(p, np.uint64) for p in packed]
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.codes, self.ends = codes, np.cumsum(self.sizes)
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.marks = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
+
+    def shared(self, i: int) -> np.ndarray:
+        own = self.codes[self.ends[i] - self.sizes[i] : self.ends[i]]
+        self.marks[own] = True
+        out = np.bincount(self.owner, weights=self.marks[self.codes], minlength=len(self.sizes)).astype(np.int64)
+        self.marks[own] = False
         return out
 
+
+def joining_links(frame: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between members of a block that join their components, no more than that takes."""
+    pivot = frame["base"].max()
+    frame = frame[frame["base"].notna() | (frame["cid"] == frame["first"])]
+    if len(frame) < 2 or not pivot == pivot:
+        return []
+    cid = frame["cid"].to_numpy()
+    _, root = np.unique(frame["comp"].to_numpy(), return_inverse=True)
+    lacks, beyond = _Differences(list(frame["lacks"])), _Differences(list(frame["beyond"]))
+    kept = int(pivot) - lacks.sizes
+    size = kept + beyond.sizes
+    far = 1 - kept / (int(pivot) + beyond.sizes)
+    reach = 1 - percent / 100 + 1e-9  # the Jaccard distance keeps the triangle inequality
+    out = []
+    for i in np.flatnonzero(root != np.bincount(root).argmax()).tolist():
+        near = (root != root[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        near &= np.abs(far - far[i]) <= reach
+        if not near.any():
+            continue
+        common = kept - lacks.sizes[i] + lacks.shared(i) + beyond.shared(i)
+        for j in np.flatnonzero(near & (100 * common >= percent * (size + size[i] - common))).tolist():
+            if root[j] != root[i]:
+                out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _blocks(percent: int):
     def run(frames):
         waiting = None
         for frame in frames:
             frame = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
             last = (frame["key"] == frame["key"].iloc[-1]) & (frame["i"] == frame["i"].iloc[-1]) & (frame["j"] == frame["j"].iloc[-1])
             waiting, ready = frame[last], frame[~last]
-            found = [p for _, group in ready.groupby(["key", "i", "j"], sort=False) if len(group) > 1 for p in pairs_of(group)]
+            found = [p for _, group in ready.groupby(["key", "i", "j"], sort=False) if len(group) > 1 for p in joining_links(group, percent)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
         if waiting is not None:
-            yield pd.DataFrame(pairs_of(waiting), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(joining_links(waiting, percent), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def candidates_apart(keys: DataFrame, comp: DataFrame, tested: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a band, lie in different components and may be similar enough."""
+def links_apart(keys: DataFrame, comp: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Links that join two components, between classes that share a band."""
     labelled = keys.join(comp, keys["cid"] == comp["node"], "left").select(*keys.columns, F.coalesce("label", "cid").alias("comp"))
-    mixed = (
-        labelled.groupBy("key")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"))
-        .where("low < high")
-        .drop("low", "high")
-    )
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-    # A member meets its own block and every other block once.
-    met = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    known = tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "distance")
+    parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("members"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("largest"), F.sum("members").alias("all"), F.count("*").alias("parts"))
+    mixed = mixed.where("parts > 1").select("key", F.col("largest.comp").alias("hub"), F.col("largest.members").alias("inside"), "all")
+    inside, outside = (F.ceil(n / BLOCK).cast("int") for n in (F.col("inside"), F.col("all") - F.col("inside")))
+    of_hub = F.col("comp") == F.col("hub")
+    # Blocks of other members come first; those of the largest component meet these, not each other.
+    own = F.when(of_hub, outside + F.pmod(F.xxhash64("cid"), inside)).otherwise(F.pmod(F.xxhash64("cid"), outside)).cast("int")
+    met = F.explode(F.sequence(F.lit(0), outside - 1 + F.when(of_hub, 0).otherwise(inside))).alias("other")
+    known = tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "na", "nb", "lacks", "beyond")
+    forward, self_ = F.col("a") == F.col("first"), F.col("first") == F.col("cid")
+    nothing = F.lit(b"")
     members = (
         labelled.join(mixed, "key")
         .withColumns({"low": F.least("first", "cid"), "high": F.greatest("first", "cid")})
         .join(known, ["low", "high"], "left")
-        .withColumn("distance", F.when(F.col("first") == F.col("cid"), 0.0).otherwise(F.col("distance")))
-        .select("key", "cid", "comp", "distance", own.alias("own"), met)
+        .select(
+            "key", "cid", "first", "comp",
+            F.when(forward, F.col("na")).otherwise(F.col("nb")).alias("base"),
+            F.when(self_, nothing).when(forward, F.col("lacks")).otherwise(F.col("beyond")).alias("lacks"),
+            F.when(self_, nothing).when(forward, F.col("beyond")).otherwise(F.col("lacks")).alias("beyond"),
+            own.alias("own"), met,
+        )
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    )
-    described = members.join(rows.select(F.col("uid").alias("cid"), "n", "sketch"), "cid")
-    spread = described.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return spread.mapInPandas(_apart(percent), "a long, b long").distinct()
+        .drop("own", "other")
+    )
+    spread = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cut(spread.mapInPandas(_blocks(percent), "a long, b long"))
 
 
 @tidy
@@ -258,16 +292,9 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     low, high = F.least("first", "cid").alias("low"), F.greatest("first", "cid").alias("high")
     pairs = keys.where("first != cid").groupBy(low, high).agg(F.min(F.struct("first", "cid")).alias("p")).select("p.first", "p.cid").toDF("a", "b")
-    sizes = filled.select("uid", "n")
-    star = pairs.join(sizes.select(F.col("uid").alias("a"), F.col("n").alias("na")), "a")
-    star = star.join(sizes.select(F.col("uid").alias("b"), F.col("n").alias("nb")), "b")
-    star = cut(star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
-    tested = confirm(star, class_ids, docs, width, percent)
+    tested = compared(cut(pairs), class_ids, docs, width, percent)
     links = tested.where("link").select("a", "b")
-    apart = candidates_apart(keys, components(links), tested, rows, percent)
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    apart = cut(apart.join(done, ["a", "b"], "left_anti"))
-    links = links.unionByName(confirm(apart, class_ids, docs, width, percent).where("link").select("a", "b"))
+    links = links.unionByName(links_apart(keys, components(links), tested, percent))
 
     joined = class_ids.join(components(links), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = joined.groupBy("label").agg(F.min("least").alias("component_id"))

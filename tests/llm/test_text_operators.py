@@ -334,24 +334,75 @@ def test_classes_fetch_only_their_own_text(spark, monkeypatch):
     assert sum(fetched) == 120
 
 
-def test_round_two_finds_every_link_without_a_pivot():
-    """Pairs at similarity 0.8 that share a band, against their full sets; codes of one byte collide."""
-    rng = np.random.default_rng(7)
-    sets = []
-    for _ in range(1000):
-        elements = rng.integers(0, 2**63, 300).astype(np.uint64)
-        sets += [np.unique(elements[:270]), np.unique(np.r_[elements[:240], elements[270:]])]
-    table = near_copies.sketch(sets)
-    keys = near_copies.band_keys(table).view(np.int64)
-    codes = [row.tobytes() for row in (table >> np.uint64(10)).astype(np.uint8)]
-    frame = pd.DataFrame([(k, c, c, len(sets[c]), np.nan, codes[c], 0, 0) for c in range(len(sets)) for k in keys[c]])
-    frame.columns = ["key", "cid", "comp", "n", "distance", "sketch", "i", "j"]
-    frame = frame[frame.duplicated("key", keep=False)].sort_values("key", ignore_index=True)
-    frames = [frame[i : i + 5000] for i in range(0, len(frame), 5000)]
-    got = {(r.a, r.b) for out in near_copies._apart(80)(frames) for r in out.itertuples()}
-    want = {(a, b) for _, g in frame.groupby("key") for a in g["cid"] for b in g["cid"] if a < b}
-    alike = {(a, b) for a, b in want if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
-    assert alike <= got and len(alike) == 1000
+def components_of(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    return {n: min(m for m in nodes if find(m) == find(n)) for n in nodes}
+
+
+@pytest.mark.parametrize("spread", [20, 45, 60])
+def test_round_two_joins_what_full_sets_join(spread):
+    """Differences from a pivot give the components of all full sets, in fewer rows than members."""
+    rng = np.random.default_rng(spread)
+    pivot = np.unique(rng.integers(0, 2**62, 300).astype(np.uint64))
+    more = rng.integers(2**62, 2**63, 60).astype(np.uint64)
+    sets = [pivot]
+    for _ in range(150):
+        gone = rng.choice(len(pivot), rng.integers(0, spread), replace=False)
+        sets.append(np.unique(np.r_[np.delete(pivot, gone), rng.choice(more, rng.integers(0, spread), replace=False)]))
+    comp = [0, *(i if rng.random() < 0.7 else 0 for i in range(1, len(sets)))]
+    # Those said to be in the pivot's component are linked to it, whatever they are.
+    frame = pd.DataFrame(
+        {
+            "key": 0, "first": 0, "cid": range(len(sets)), "comp": comp, "i": 0, "j": 0,
+            "base": [np.nan, *[float(len(pivot))] * (len(sets) - 1)],
+            "lacks": [np.setdiff1d(pivot, x).tobytes() for x in sets],
+            "beyond": [np.setdiff1d(x, pivot).tobytes() for x in sets],
+        }
+    )
+    given_ = [(i, 0) for i, c in enumerate(comp) if c == 0]
+    alike = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))]
+    out = pd.concat([x for x in near_copies._blocks(80)(frame[k : k + 40] for k in range(0, len(frame), 40))])
+    got = list(out.itertuples(index=False, name=None))
+    assert set(got) <= {(min(p), max(p)) for p in alike}
+    nodes = range(len(sets))
+    assert components_of(nodes, given_ + got) == components_of(nodes, given_ + alike)
+    assert len(got) < len(set(comp))
+
+
+def test_a_large_group_without_a_common_pivot(spark, monkeypatch):
+    """Two thousand texts around many centres, pairwise near the threshold: brute force gives the same."""
+    monkeypatch.setattr(near_copies, "BLOCK", 128)
+    rng = np.random.default_rng(11)
+    base = np.array([f"w{i}" for i in range(200)])
+    rows = []
+    for i in range(2000):
+        words = base.copy()
+        at = rng.choice(200, rng.integers(6, 16), replace=False)
+        words[at] = [f"v{i % 50}x{a}" if rng.random() < 0.5 else f"u{i}x{a}" for a in at]
+        rows.append((i, " ".join(words)))
+    got = {g.doc_id: g.component_id for g in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    sets = plain_sets([t for _, t in rows], 2)
+    number = {x: k for k, x in enumerate({x for s in sets for x in s})}
+    table = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        table[i, [number[x] for x in s]] = 1
+    common, sizes = table @ table.T, table.sum(axis=1)
+    alike = np.argwhere(np.triu(100 * common >= 80 * (sizes[:, None] + sizes - common), 1)).tolist()
+    label = list(range(len(rows)))
+    for a, b in alike:  # labels shrink to the smallest
+        if label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    assert [got[i] for i in range(len(rows))] == label
+    assert 1 < len(set(label)) < len(rows)
 
 
 def test_sketch_estimates_similarity_for_any_size():
