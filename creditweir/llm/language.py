@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditweir.llm.scratch import cut, scratch
 from creditweir.llm.words import mix, slices, split_words, texts_of
@@ -33,6 +34,8 @@ MIN_SHARE, RELATIVE = 1e-5, 0.05
 ROWS_PER_GRAM = 32
 #: Distinct n-grams that a task holds before it hands them on.
 HELD = 500_000
+#: Bytes of text whose n-grams are held at a time; they need about a hundred times as much.
+SLICE = 1_500_000
 
 
 def gram_keys(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +102,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         held = _Counts()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words = split_words(texts_of(part, "text"))
                 if not len(words.codes):
                     continue
@@ -209,15 +212,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 names, score = judge(handed.value, texts_of(part, "text"))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in kept), pa.array(names, pa.string()), pa.array(score)],
                     names=[*(f.name for f in kept), "lang_pred", "score"],
                 )
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(*(f.name for f in kept)).mapInArrow(run, schema)
 

@@ -4,7 +4,9 @@ A batch is cut into slices of bounded bytes, and each slice names every distinct
 word once, so per-word work is done on the vocabulary and spread by numpy.
 """
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +42,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         first = last
     # A worker outlives its tasks; what a batch needed goes back to the system.
     pa.default_memory_pool().release_unused()
+    trim = _heap_trim()
+    if trim:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _heap_trim():
+    """The C library's call that returns freed pages, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
