@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditweir import fixed_values as fv
 from creditweir.functions.columns import drift_status
-from creditweir.operators.longform import interval_join, long_values
+from creditweir.operators.longform import binned, cell_counts
 from creditweir.operators.quantiles import exact_quantiles
 from creditweir.session import small_table
 
@@ -53,38 +53,9 @@ def edges_of(profile: DataFrame) -> dict:
     return out
 
 
-def interval_table(spark: SparkSession, edges: dict) -> DataFrame:
-    """Bins by position of their feature; the last bin is closed at the top."""
-    rows = [
-        (position, i, e[i], e[i + 1], i == len(e) - 2)
-        for position, e in enumerate(edges.values())
-        for i in range(len(e) - 1)
-    ]
-    if len(rows) > MAX_PROFILE_ROWS:
-        raise ValueError(f"{len(rows)} bins are too many for a profile")
-    return small_table(spark, rows, "position int, bin int, low double, high double, closed boolean")
-
-
-def in_bin():
-    value = F.col("value")
-    return (value >= F.col("low")) & ((value < F.col("high")) | (F.col("closed") & (value == F.col("high"))))
-
-
-def feature_name(edges: dict):
-    return F.get(F.array(*[F.lit(f) for f in edges]), F.col("position")).alias("feature")
-
-
 def bin_counts(df: DataFrame, edges: dict, by: tuple = ()) -> DataFrame:
-    """(*by, feature, bin, n) for all features in one pass and one shuffle.
-
-    Rows turn into (feature, value) pairs that meet the broadcast bins; pairs are
-    summed before the shuffle, so what moves is at most features x bins rows a
-    task and group.
-    """
-    bins = interval_table(df.sparkSession, edges)
-    placed = interval_join(long_values(df, list(edges), by), bins, in_bin())
-    counted = placed.groupBy(*by, "position", "bin").agg(F.count("*").alias("n"))
-    return counted.select(*by, feature_name(edges), "bin", "n")
+    """(*by, feature, bin, n) for all features in one pass and one shuffle."""
+    return cell_counts(binned(df, {f: F.col(f) for f in edges}, edges, by), edges, by)
 
 
 def reference_profile(df: DataFrame, features: list, bins: int = fv.DRIFT_BINS) -> DataFrame:
@@ -189,27 +160,10 @@ def logged_bin_counts(log: DataFrame, profile: DataFrame, by: tuple = ()) -> Dat
     others are left out. ``n_rows`` is the number of log rows in the group.
     """
     edges = edges_of(profile)
-    vector = F.from_json("feature_vector", "map<string,double>")
-    entries = F.array(
-        *[
-            F.struct(
-                F.map_contains_key("vector", F.lit(f)).alias("logged"),
-                F.try_element_at("vector", F.lit(f)).alias("value"),
-            )
-            for f in edges
-        ]
-    )
-    long = log.select(*by, vector.alias("vector")).select(*by, F.posexplode(entries).alias("position", "entry"))
-    bins = interval_table(log.sparkSession, edges)
-    placed = interval_join(long.select(*by, "position", "entry.*"), bins, in_bin(), "left")
-    counted = placed.groupBy(*by, "position", "bin").agg(
-        F.count("*").alias("n"), F.count_if(F.col("logged")).alias("n_logged")
-    ).select(*by, feature_name(edges), "bin", "n", "n_logged")
-    # One row per feature and bin from here on.
-    per_feature = counted.groupBy(*by, "feature").agg(
-        F.sum("n").alias("n_rows"), F.sum("n_logged").alias("n_logged")
-    ).filter("n_logged > 0").drop("n_logged")
-    return counted.select(*by, "feature", "bin", "n").join(per_feature, [*by, "feature"])
+    read = log.select(*by, F.from_json("feature_vector", "map<string,double>").alias("vector"))
+    flags = {f"l{i}": F.coalesce(F.map_contains_key("vector", F.lit(f)), F.lit(False)) for i, f in enumerate(edges)}
+    bins = binned(read, {f: F.try_element_at("vector", F.lit(f)) for f in edges}, edges, by, flags)
+    return cell_counts(bins, edges, by, missing=True, logged=True)
 
 
 def logged_psi(log: DataFrame, profile: DataFrame, by: tuple = (), min_rows: int = fv.DRIFT_MIN_ROWS) -> DataFrame:

@@ -1,21 +1,91 @@
-"""Wide numeric columns as (position, value) rows, and lookups of intervals."""
+"""Lookups in literal edges, and counts of many cells in one aggregate."""
+
+from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Counters of one aggregate; more cells take another pass.
+CELLS = 400
+
+
+def bin_of(value, edges: list):
+    """Number of the bin [edge, next edge) that holds a value, by halving; the last bin is closed at the top.
+
+    Null for nulls, NaN and values outside the edges.
+    """
+
+    def search(low: int, high: int):
+        if high - low == 1:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(edges[middle]), search(low, middle)).otherwise(search(middle, high))
+
+    inside = ~F.isnan(value) & (value >= F.lit(edges[0])) & (value <= F.lit(edges[-1]))
+    return F.when(inside, search(0, len(edges) - 1))
+
+
+def zone_of(value, points: list):
+    """2k between the points k - 1 and k, 2k + 1 on the point k (counted from 0); null for nulls and NaN."""
+
+    def search(low: int, high: int):  # points below ``low`` are less than or equal to the value
+        if low == high:
+            between = F.lit(2 * low)
+            return between if low == 0 else F.when(value == F.lit(points[low - 1]), 2 * low - 1).otherwise(between)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(points[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+    return F.when(value.isNotNull() & ~F.isnan(value), search(0, len(points)))
+
+
+def binned(df: DataFrame, values: dict, edges: dict, by: tuple = (), keep: dict = {}) -> DataFrame:
+    """(*by, *keep, b0, b1, ...): the bin of every feature's value, in the order of ``edges``, and columns by name."""
+    features = list(edges)
+    drawn = df.select(*by, *[c.alias(name) for name, c in keep.items()], *[values[f].cast("double").alias(f"v{i}") for i, f in enumerate(features)])
+    return drawn.select(*by, *keep, *[bin_of(F.col(f"v{i}"), edges[f]).alias(f"b{i}") for i, f in enumerate(features)])
+
 
-def long_values(df: DataFrame, columns: list, by: tuple = ()) -> DataFrame:
-    """One row (*by, position, value) per row and column; nulls and NaN left out."""
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    long = df.select(*by, F.posexplode(values).alias("position", "value"))
-    return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+def _passes(edges: dict) -> Iterator[list[int]]:
+    """Features whose cells are counted together, by position."""
+    held, cells = [], 0
+    for position, e in enumerate(edges.values()):
+        if held and cells + len(e) > CELLS:
+            yield held
+            held, cells = [], 0
+        held.append(position)
+        cells += len(e)
+    if held:
+        yield held
 
 
-def interval_join(long: DataFrame, intervals: DataFrame, inside, how: str = "inner") -> DataFrame:
-    """Attach the interval of the row's position that holds its value.
+def cell_counts(bins: DataFrame, edges: dict, by: tuple = (), missing: bool = False, logged: bool = False) -> DataFrame:
+    """(*by, feature, bin, n) of the columns b0, b1, ... with n above 0; values without a bin only if ``missing``.
 
-    The interval table has a few rows per column (checked where it is built), so
-    it is broadcast and each row meets only the intervals of its own column.
+    Every cell is a counter of one aggregate, so rows are not multiplied and a task
+    hands on one row a group. With ``logged``, ``bins`` holds flags l0, l1, ...: features
+    that no row of a group logged are left out, and ``n_rows`` is the group's row count.
     """
-    small = F.broadcast(intervals.withColumnRenamed("position", "at"))
-    return long.join(small, (F.col("position") == F.col("at")) & inside, how).drop("at")
+    names, parts = list(edges), []
+    for positions in _passes(edges):
+        counters, cells = [], []
+        for p in positions:
+            kinds = [(str(i), F.col(f"b{p}") == i) for i in range(len(edges[names[p]]) - 1)]
+            if missing:
+                kinds.append(("", F.col(f"b{p}").isNull()))
+            counters += [F.count_if(condition).alias(f"c{p}_{bin_}") for bin_, condition in kinds]
+            cells += [(p, f"c{p}_{bin_}") for bin_, _ in kinds]
+            if logged:
+                counters.append(F.count_if(F.col(f"l{p}")).alias(f"l{p}"))
+        if logged:
+            counters.append(F.count("*").alias("n_rows"))
+        counted = bins.groupBy(*by).agg(*counters)
+        ids = [*by, "n_rows"] if logged else list(by)
+        if logged:
+            counted = counted.select(*ids, *[F.when(F.col(f"l{p}") > 0, F.col(c)).alias(c) for p, c in cells])
+        parts.append(counted.unpivot(ids, [c for _, c in cells], "cell", "n").filter("n > 0"))
+    long = reduce(DataFrame.unionByName, parts)
+    place = F.split(F.substring("cell", 2, 40), "_")
+    feature = F.get(F.array(*[F.lit(f) for f in names]), place[0].cast("int"))
+    rows = ["n_rows"] if logged else []
+    return long.select(*by, feature.alias("feature"), F.nullif(place[1], F.lit("")).cast("int").alias("bin"), "n", *rows)

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditweir.operators.longform import interval_join, long_values
-from creditweir.session import small_table
+from creditweir.operators.longform import zone_of
+from creditweir.session import cut
 
 SKETCH_ACCURACY = 10000
 MAX_LISTED_VALUES = 20000
@@ -72,32 +72,23 @@ def _zones(ranges: list) -> list:
 
 
 def _tally(df: DataFrame, zones: dict) -> DataFrame:
-    """(column_name, zone, value, n); the value only in listed zones.
+    """(column_name, zone, value, n), written once; the value only in listed zones.
 
     Other zones collapse to one row each before the shuffle, and so does any
     value that repeats. There are a few zones per wanted rank and column.
     """
     columns = list(zones)
-    rows = [
-        (position, column, number, z.low, z.high, z.listed, z.is_point)
-        for position, column in enumerate(columns)
-        for number, z in enumerate(zones[column])
-    ]
-    table = small_table(
-        df.sparkSession,
-        rows,
-        "position int, column_name string, zone int, low double, high double, listed boolean, is_point boolean",
-    )
-    value = F.col("value")
-    inside = F.when(F.col("is_point"), value == F.col("low")).otherwise(
-        (F.col("low").isNull() | (value > F.col("low"))) & (F.col("high").isNull() | (value < F.col("high")))
-    )
-    placed = interval_join(long_values(df, columns), table, inside)
-    counted = placed.groupBy("position", "zone", F.when(F.col("listed"), value).alias("value")).agg(
-        F.count("*").alias("n")
-    )
+    drawn = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    entries = []
+    for i, c in enumerate(columns):
+        zone = zone_of(F.col(f"v{i}"), [z.low for z in zones[c] if z.is_point])
+        entries.append(F.struct(F.lit(i).alias("position"), zone.alias("zone"), F.col(f"v{i}").alias("value")))
+    listed = [F.array(*[F.lit(z.listed) for z in zones[c]]) for c in columns]
+    placed = drawn.select(F.inline(F.array(*entries))).filter("zone IS NOT NULL")
+    is_listed = F.get(F.get(F.array(*listed), F.col("position")), F.col("zone"))
+    counted = placed.groupBy("position", "zone", F.when(is_listed, F.col("value")).alias("value")).agg(F.count("*").alias("n"))
     names = F.array(*[F.lit(c) for c in columns])
-    return counted.select(F.get(names, F.col("position")).alias("column_name"), "zone", "value", "n")
+    return cut(counted.select(F.get(names, F.col("position")).alias("column_name"), "zone", "value", "n"))
 
 
 def _ranks(n: int, probability: float) -> tuple:
@@ -181,13 +172,19 @@ def _at_offset(values: list, offset: int):
 
 
 def _narrowed(df: DataFrame, zones: dict, crowded: dict) -> tuple:
-    """New brackets inside the zones that were only counted or are still crowded."""
-    ranges, wanted = {}, {}
-    for (column, number), asked in crowded.items():
+    """New brackets inside the zones that were only counted or are still crowded, all in one aggregate."""
+    if not crowded:
+        return {}, {}
+    sketches = []
+    for i, ((column, number), asked) in enumerate(crowded.items()):
         value = _number(column)
-        inner = df.select(F.when(zones[column][number].holds(value), value).alias(column))
         fractions = [f for _, offset, n in asked for f in _bracket_fractions(offset / max(n - 1, 1))]
-        _, sketch = _profile(inner, {column: fractions})[column]
+        inside = F.when(zones[column][number].holds(value), value)
+        sketches.append(F.percentile_approx(inside, [float(f) for f in fractions], SKETCH_ACCURACY).alias(f"s{i}"))
+    row = df.agg(*sketches).first()
+    ranges, wanted = {}, {}
+    for i, ((column, _), asked) in enumerate(crowded.items()):
+        sketch = row[f"s{i}"]
         ranges.setdefault(column, []).extend(zip(sketch[::2], sketch[1::2]))
         wanted.setdefault(column, set()).update(rank for rank, _, _ in asked)
     return ranges, wanted

@@ -236,9 +236,15 @@ def bronze_from_csv(spark, sf_dir):
 
 @query
 def file_fingerprints(spark, sf_dir):
-    """SHA-256 of every given file."""
-    prints = files.fingerprints(spark, f"{sf_dir}/*.parquet")
-    return prints.select(F.element_at(F.split("source_file", "/"), -1).alias("source_file"), "file_sha256")
+    """The given orders as text files by status, and the streamed SHA-256 of each file."""
+    folder = _fresh(spark, "prints")
+    line = F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("status"), "o_orderkey", line.alias("line"))
+    # One task and so one file a status, its lines by key.
+    sorted_ = orders.repartition("status").sortWithinPartitions("status", "o_orderkey")
+    sorted_.select("status", "line").write.partitionBy("status").text(folder)
+    prints = files.fingerprints(spark, f"{folder}/status=*/*.txt")
+    return prints.select(F.regexp_extract("source_file", "status=([^/]*)/", 1).alias("status"), "file_sha256")
 
 
 # --- models --------------------------------------------------------------------------

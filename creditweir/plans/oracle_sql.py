@@ -697,6 +697,10 @@ cur_long AS (""" + _long("stressed", "scenario AS grp,") + ")," + PSI_OF_LONG,
              model_version = 'v1' AS has_model
       FROM plog WHERE status = 'OK'"""),
     "bronze_from_csv": w(BRONZE, "SELECT * EXCLUDE (bronze_id), CAST(0 AS BIGINT) AS files_misnumbered FROM raw"),
+    "file_fingerprints": """
+      SELECT o_orderstatus AS status, sha256(string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority,
+             chr(10) ORDER BY o_orderkey) || chr(10)) AS file_sha256
+      FROM orders GROUP BY o_orderstatus""",
     "stream_volume": w(PLOG, """
       SELECT strftime(date_trunc('hour', received_at), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n,
              round(avg(probability_default),12) AS avg_probability

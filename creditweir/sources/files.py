@@ -1,8 +1,12 @@
 """File sources: all-text CSV scan, fingerprints and row numbers."""
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +14,8 @@ from pyspark.sql import types as T
 from creditweir import fixed_values as fv
 
 BLOCK = ["source_file", "_block"]
+#: Bytes of a file that a fingerprint reads at a time.
+PIECE = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -89,11 +95,44 @@ def read_csv_text(spark: SparkSession, path: str, header_names: list = None, mul
     return numbered.drop("_block", "_read_order", "_first", "_before", "_before_all")
 
 
+def file_store(path: str):
+    """The file system of a path as tasks reach it, and the path there; None where only Spark's readers do."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(urlsplit(path).path)
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):  # unknown, or its client is not installed
+        return None
+
+
+def streamed_digest(path: str, piece: int = PIECE) -> str:
+    """SHA-256 of a file of any size, read piece by piece; nothing but the piece is held."""
+    store, name = file_store(path)
+    digest = hashlib.sha256()
+    with store.open_input_stream(name, buffer_size=0) as stream:
+        while data := stream.read(piece):
+            digest.update(data)
+    return digest.hexdigest()
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file, computed where the file is read.
+    """(source_file, file_sha256) of every file, each digested by one task as it is read.
 
-    A file larger than 2 GB does not fit in one binary row; split such files
-    upstream or use the store's own checksum.
+    The listing reads no content and, as Spark does, leaves out empty files. Files of a store that only Spark's readers reach
+    come as binary rows instead, which Spark limits to 2 GB; a larger one is an error.
     """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_sha256"))
+    named = files.select(F.col("path").alias("source_file"))
+    first = named.first()
+    if first is None or file_store(first["source_file"]) is None:
+        return files.select(F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_sha256"))
+
+    def run(batches):
+        for batch in batches:
+            for name in batch.column("source_file").to_pylist():
+                # One row at a time, so a long file keeps no digest waiting.
+                yield pa.record_batch([pa.array([name]), pa.array([streamed_digest(name)])], names=["source_file", "file_sha256"])
+
+    # Names are few bytes each, but stand for much work: spread over all cores, whatever their size.
+    spread = named.repartition(spark.sparkContext.defaultParallelism, "source_file")
+    return spread.mapInArrow(run, "source_file string, file_sha256 string")

@@ -6,7 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from creditweir import fixed_values as fv
 from creditweir.operators import drift
-from creditweir.operators.longform import interval_join
+from creditweir.operators.longform import binned, cell_counts
 from creditweir.plans import monitoring
 from creditweir.session import shared_dir
 
@@ -22,24 +22,17 @@ def hourly_volume(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
 def windowed_bin_counts(log: DataFrame, profile: DataFrame, window: str, lateness: str) -> DataFrame:
     """(window, model_version, feature, bin, n) of logged features.
 
-    The state holds one count per window, version, feature and bin: bounded by
-    the profile, not by the traffic.
+    The state holds one row of counters per window and version: bounded by the
+    profile, not by the traffic.
     """
     edges = drift.edges_of(profile)
-    vector = F.from_json("feature_vector", "map<string,double>")
-    entries = F.array(*[F.try_element_at("vector", F.lit(f)) for f in edges])
     ok = log.filter(F.col("status") == "OK").withWatermark("received_at", lateness)
-    long = ok.select("received_at", "model_version", vector.alias("vector")).select(
-        "received_at", "model_version", F.posexplode(entries).alias("position", "value")
-    )
-    bins = drift.interval_table(log.sparkSession, edges)
-    placed = interval_join(long, bins, drift.in_bin(), "left")
-    counted = placed.groupBy(F.window("received_at", window), "model_version", "position", "bin").agg(
-        F.count("*").alias("n")
-    )
-    return counted.select(
-        F.col("window.end").alias("window_end"), "model_version", drift.feature_name(edges), "bin", "n"
-    )
+    vector = F.from_json("feature_vector", "map<string,double>").alias("vector")
+    read = ok.select(F.window("received_at", window).alias("window"), "model_version", vector)
+    by = ("window", "model_version")
+    bins = binned(read, {f: F.try_element_at("vector", F.lit(f)) for f in edges}, edges, by)
+    counted = cell_counts(bins, edges, by, missing=True)
+    return counted.select(F.col("window.end").alias("window_end"), "model_version", "feature", "bin", "n")
 
 
 def window_psi(counts: DataFrame, profile: DataFrame, min_rows: int = fv.DRIFT_MIN_ROWS) -> DataFrame:

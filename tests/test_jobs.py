@@ -59,6 +59,24 @@ def test_csv_keeps_text_and_counts_rows_over_splits(spark, tmp_path):
     assert files.fingerprints(spark, path).first()["file_sha256"] == digest
 
 
+def test_fingerprints_of_any_size(spark, tmp_path):
+    """Files are digested in pieces; a sparse one is larger than a row can be."""
+    small, empty, large = tmp_path / "a b%.bin", tmp_path / "empty", tmp_path / "large"
+    small.write_bytes(bytes(range(256)) * 41)
+    empty.write_bytes(b"")
+    with open(large, "wb") as out:
+        out.truncate((1 << 31) + 12345)
+    zeros = hashlib.sha256()
+    for _ in range(1 << 8):
+        zeros.update(bytes(1 << 23))
+    zeros.update(bytes(12345))
+    got = {r["source_file"].rsplit("/", 1)[1]: r["file_sha256"] for r in files.fingerprints(spark, str(tmp_path)).collect()}
+    # Spark lists no empty files, which bring no rows either.
+    assert set(got.values()) == {hashlib.sha256(small.read_bytes()).hexdigest(), zeros.hexdigest()}
+    assert got["large"] == zeros.hexdigest()
+    assert files.streamed_digest(f"file://{tmp_path}/empty", 7) == hashlib.sha256().hexdigest()
+
+
 def test_full_load(loaded):
     tables, path, _ = loaded
     log = runs.current_state(tables.read_appended(ingest.RUNS, schemas.INGESTION_RUNS)).collect()

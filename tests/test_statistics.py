@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from creditweir.operators import drift, evaluation, quantiles
+from creditweir.operators import drift, evaluation, longform, quantiles
 from creditweir.operators.ranking import global_row_number, running_totals
 
 TENTHS = [i / 10 for i in range(11)]
@@ -154,3 +154,64 @@ def test_logged_psi_needs_enough_rows_and_skips_unknown_features(spark):
     assert [r["feature"] for r in rows] == ["a"]
     assert rows[0]["n_current"] == 270 and rows[0]["n_reference"] == 2000
     assert drift.logged_psi(log.limit(99), profile).count() == 0
+
+
+def _jobs(spark, work) -> int:
+    group = f"jobs-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_do_not_grow_with_columns_and_quantiles(spark, monkeypatch):
+    """Crowded brackets of all columns are narrowed together."""
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 20)
+    monkeypatch.setattr(quantiles, "MAX_LISTED_VALUES", 40)
+    values = [(i * 7919) % 5000 / 7 for i in range(5000)]
+    df = spark.createDataFrame([(v,) * 6 for v in values], ", ".join(f"x{i} double" for i in range(6)))
+    tenths = [i / 10 for i in range(11)]
+    want = pd.Series(values).quantile(tenths).tolist()
+
+    def one():
+        assert quantiles.exact_quantiles(df, {"x0": tenths})["x0"] == pytest.approx(want)
+
+    def six():
+        found = quantiles.exact_quantiles(df, {f"x{i}": tenths for i in range(6)})
+        assert all(found[f"x{i}"] == pytest.approx(want) for i in range(6))
+
+    assert _jobs(spark, six) <= _jobs(spark, one) + 2
+
+
+def test_bins_by_halving_equal_a_search(spark):
+    edges = [-math.inf, -1.5, 0.0, 0.25, 3.0, math.inf]
+    closed = [-1.0, 0.0, 2.0]
+    values = [-math.inf, -9.0, -1.5, -1.0, -0.0, 0.0, 0.1, 0.25, 2.0, 2.1, 3.0, math.inf, math.nan, None]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", longform.bin_of(F.col("x"), edges), longform.bin_of(F.col("x"), closed)).collect()
+    for x, a, b in got:
+        if x is None or math.isnan(x):
+            assert (a, b) == (None, None)
+            continue
+        assert a == min(sum(x >= e for e in edges) - 1, len(edges) - 2)
+        assert b == (min(sum(x >= e for e in closed) - 1, 1) if -1.0 <= x <= 2.0 else None)
+
+
+def test_histograms_multiply_no_rows(spark, monkeypatch):
+    """One aggregate without joins or generators; few cells a pass give the same."""
+    df = spark.createDataFrame([(i % 2, float(i % 13), float(i % 7) if i % 5 else None) for i in range(200)], "g int, a double, b double")
+    edges = {"a": [-math.inf, 3.0, 6.0, math.inf], "b": [-math.inf, 2.0, math.inf]}
+    counts = drift.bin_counts(df, edges, ("g",))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+    got = {(r["g"], r["feature"], r["bin"]): r["n"] for r in counts.collect()}
+    want = {}
+    for g, a, b in df.collect():
+        for f, x in (("a", a), ("b", b)):
+            if x is not None:
+                key = g, f, sum(x >= e for e in edges[f][1:-1])
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+    monkeypatch.setattr(longform, "CELLS", 1)
+    assert {(r["g"], r["feature"], r["bin"]): r["n"] for r in drift.bin_counts(df, edges, ("g",)).collect()} == want
