@@ -9,7 +9,7 @@ from creditweir import fixed_values as fv
 from creditweir.functions.columns import drift_status
 from creditweir.operators.longform import binned, cell_counts
 from creditweir.operators.quantiles import exact_quantiles
-from creditweir.session import small_table
+from creditweir.session import cut, small_table
 
 MAX_PROFILE_ROWS = 100_000
 
@@ -58,11 +58,25 @@ def bin_counts(df: DataFrame, edges: dict, by: tuple = ()) -> DataFrame:
     return cell_counts(binned(df, {f: F.col(f) for f in edges}, edges, by), edges, by)
 
 
+def _per_feature(counts: DataFrame, by: tuple = ()) -> DataFrame:
+    """(*by, feature, total, cells): the counts of a feature's bins as one map, so that they are computed once."""
+    cell = F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))
+    return counts.groupBy(*by, "feature").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(cell)).alias("cells"))
+
+
+def _in_cell():
+    return F.coalesce(F.try_element_at("cells", F.col("bin")), F.lit(0))
+
+
 def reference_profile(df: DataFrame, features: list, bins: int = fv.DRIFT_BINS) -> DataFrame:
-    """Edges, shares, count, mean and standard deviation per feature, long form."""
+    """Edges, shares, count, mean and standard deviation per feature, long form.
+
+    The features are written once; four passes read them.
+    """
     spark = df.sparkSession
+    df = cut(df.select(*[F.col(f).cast("double").alias(f) for f in features]))
     edges = quantile_edges(df, features, bins)
-    counts = bin_counts(df, edges)
+    counts = _per_feature(bin_counts(df, edges))
     moments = df.agg(
         *[F.avg(F.col(f).cast("double")).alias(f"mean:{f}") for f in features],
         *[F.stddev_samp(F.col(f).cast("double")).alias(f"std:{f}") for f in features],
@@ -78,20 +92,18 @@ def reference_profile(df: DataFrame, features: list, bins: int = fv.DRIFT_BINS)
             )
         )
     )
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("n_counted"))
-    total = F.greatest(F.coalesce(F.col("n_counted"), F.lit(0)), F.lit(1))
+    total = F.greatest(F.coalesce(F.col("total"), F.lit(0)), F.lit(1))
     # Every side here has one row per bin or per feature.
     return (
         edge_table(spark, edges)
-        .join(counts, ["feature", "bin"], "left")
-        .join(totals, "feature", "left")
+        .join(counts, "feature", "left")
         .join(moments, "feature", "left")
         .select(
             "feature",
             "bin",
             "lower_edge",
             "upper_edge",
-            (F.coalesce(F.col("n"), F.lit(0)) / total).alias("reference_share"),
+            (_in_cell() / total).alias("reference_share"),
             total.cast("bigint").alias("n_reference"),
             "mean",
             "std",
@@ -112,15 +124,13 @@ def psi_by_feature(profile: DataFrame, current: DataFrame, by: tuple = ()) -> Da
     ``current`` is (*by, feature, bin, n). Features without a single counted
     value in ``current`` give 0, as does an empty reference.
     """
-    totals = current.groupBy(*by, "feature").agg(F.sum("n").alias("n_current"))
-    frame = profile.select("feature", "bin", "reference_share", "n_reference").join(totals, "feature")
-    cells = frame.join(current, [*by, "feature", "bin"], "left")
+    frame = profile.select("feature", "bin", "reference_share", "n_reference").join(_per_feature(current, by), "feature")
     # An empty side has null shares, so its sum is null and its PSI 0.
-    share = F.try_divide(F.coalesce(F.col("n"), F.lit(0)), F.col("n_current"))
-    return cells.groupBy(*by, "feature").agg(
+    share = F.try_divide(_in_cell(), F.col("total"))
+    return frame.groupBy(*by, "feature").agg(
         F.coalesce(F.sum(_term(share, F.col("reference_share"))), F.lit(0.0)).alias("psi"),
         F.max("n_reference").alias("n_reference"),
-        F.max("n_current").alias("n_current"),
+        F.max("total").alias("n_current"),
     )
 
 
@@ -130,19 +140,9 @@ def psi_between(reference: DataFrame, current: DataFrame, column: str, edges: li
     if edges is None:
         edges = quantile_edges(reference, [column], bins)[column]
     spark = reference.sparkSession
-    ref = bin_counts(reference.select(column), {column: edges})
-    ref_total = ref.groupBy("feature").agg(F.sum("n").alias("n_reference"))
-    profile = (
-        edge_table(spark, {column: edges})
-        .join(ref, ["feature", "bin"], "left")
-        .join(ref_total, "feature", "left")
-        .select(
-            "feature",
-            "bin",
-            (F.coalesce(F.col("n"), F.lit(0)) / F.col("n_reference")).alias("reference_share"),
-            "n_reference",
-        )
-    )
+    ref = _per_feature(bin_counts(reference.select(column), {column: edges}))
+    share = (_in_cell() / F.col("total")).alias("reference_share")
+    profile = edge_table(spark, {column: edges}).join(ref, "feature", "left").select("feature", "bin", share, F.col("total").alias("n_reference"))
     row = psi_by_feature(profile, bin_counts(current.select(column), {column: edges})).first()
     if row is None or row["n_reference"] is None:
         return 0.0

@@ -1,14 +1,8 @@
 """Lookups in literal edges, and counts of many cells in one aggregate."""
 
-from collections.abc import Iterator
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Counters of one aggregate; more cells take another pass.
-CELLS = 400
-
 
 def bin_of(value, edges: list):
     """Number of the bin [edge, next edge) that holds a value, by halving; the last bin is closed at the top.
@@ -46,46 +40,33 @@ def binned(df: DataFrame, values: dict, edges: dict, by: tuple = (), keep: dict
     return drawn.select(*by, *keep, *[bin_of(F.col(f"v{i}"), edges[f]).alias(f"b{i}") for i, f in enumerate(features)])
 
 
-def _passes(edges: dict) -> Iterator[list[int]]:
-    """Features whose cells are counted together, by position."""
-    held, cells = [], 0
-    for position, e in enumerate(edges.values()):
-        if held and cells + len(e) > CELLS:
-            yield held
-            held, cells = [], 0
-        held.append(position)
-        cells += len(e)
-    if held:
-        yield held
-
-
 def cell_counts(bins: DataFrame, edges: dict, by: tuple = (), missing: bool = False, logged: bool = False) -> DataFrame:
-    """(*by, feature, bin, n) of the columns b0, b1, ... with n above 0; values without a bin only if ``missing``.
+    """(*by, feature, bin, n) of the columns b0, b1, ...; values without a bin count only if ``missing``, with a null bin.
 
-    Every cell is a counter of one aggregate, so rows are not multiplied and a task
-    hands on one row a group. With ``logged``, ``bins`` holds flags l0, l1, ...: features
-    that no row of a group logged are left out, and ``n_rows`` is the group's row count.
+    A row becomes one small number a feature, which is summed where it is made: a task
+    hands on one row a group and cell. (One counter a cell in a single row was measured
+    too: its plan of hundreds of columns took longer than the whole count.) With
+    ``logged``, ``bins`` holds flags l0, l1, ...: features that no row of a group logged
+    are left out, and ``n_rows`` is the group's row count.
     """
-    names, parts = list(edges), []
-    for positions in _passes(edges):
-        counters, cells = [], []
-        for p in positions:
-            kinds = [(str(i), F.col(f"b{p}") == i) for i in range(len(edges[names[p]]) - 1)]
-            if missing:
-                kinds.append(("", F.col(f"b{p}").isNull()))
-            counters += [F.count_if(condition).alias(f"c{p}_{bin_}") for bin_, condition in kinds]
-            cells += [(p, f"c{p}_{bin_}") for bin_, _ in kinds]
-            if logged:
-                counters.append(F.count_if(F.col(f"l{p}")).alias(f"l{p}"))
-        if logged:
-            counters.append(F.count("*").alias("n_rows"))
-        counted = bins.groupBy(*by).agg(*counters)
-        ids = [*by, "n_rows"] if logged else list(by)
+    codes, features, numbers = [], [], []
+    for p, (feature, e) in enumerate(edges.items()):
+        first, inner = len(features), len(e) - 1
+        code = F.col(f"b{p}") + first
+        if missing:
+            code = F.coalesce(code, F.lit(first + inner))
         if logged:
-            counted = counted.select(*ids, *[F.when(F.col(f"l{p}") > 0, F.col(c)).alias(c) for p, c in cells])
-        parts.append(counted.unpivot(ids, [c for _, c in cells], "cell", "n").filter("n > 0"))
-    long = reduce(DataFrame.unionByName, parts)
-    place = F.split(F.substring("cell", 2, 40), "_")
-    feature = F.get(F.array(*[F.lit(f) for f in names]), place[0].cast("int"))
-    rows = ["n_rows"] if logged else []
-    return long.select(*by, feature.alias("feature"), F.nullif(place[1], F.lit("")).cast("int").alias("bin"), "n", *rows)
+            code = F.when(F.col(f"l{p}"), code).otherwise(first + inner + 1)
+        codes.append(code)
+        # Behind a feature's bins come the cells of no bin and of rows that did not log it.
+        features += [feature] * (inner + 2)
+        numbers += [*range(inner), None, None]
+    counted = bins.select(*by, F.explode(F.array(*codes)).alias("cell")).filter("cell IS NOT NULL").groupBy(*by, "cell").agg(F.count("*").alias("n"))
+    named = counted.select(*by, F.get(F.array(*map(F.lit, features)), "cell").alias("feature"), F.get(F.array(*[F.lit(n).cast("int") for n in numbers]), "cell").alias("bin"), "n", "cell")
+    if not logged:
+        return named.drop("cell")
+    # A few rows a group from here on.
+    unlogged = [i for i, n in enumerate(numbers) if n is None and i and numbers[i - 1] is None]
+    of_feature = Window.partitionBy(*by, "feature")
+    heard = F.sum(F.when(~F.col("cell").isin(unlogged), F.col("n"))).over(of_feature)
+    return named.withColumns({"n_rows": F.sum("n").over(of_feature), "heard": heard}).filter("heard > 0").drop("cell", "heard")
