@@ -72,12 +72,17 @@ def total_late_events() -> Column:
     return total.cast("int")
 
 
-def utilisation_bucket(utilisation: Column) -> Column:
-    """Right-closed buckets 0..4; null or below the floor is an error."""
-    chain = F.when(
-        is_true(utilisation <= fv.UTILISATION_BUCKET_FLOOR) | utilisation.isNull(),
-        F.raise_error(F.lit("revolving_utilisation has no bucket: null or below range")).cast("int"),
-    )
+NO_BUCKET = "revolving_utilisation has no bucket: null or below range"
+
+
+def has_no_bucket(utilisation: Column) -> Column:
+    return is_true(utilisation <= fv.UTILISATION_BUCKET_FLOOR) | utilisation.isNull()
+
+
+def utilisation_bucket(utilisation: Column, strict: bool = True) -> Column:
+    """Right-closed buckets 0..4; null or below the floor is an error or, if not ``strict``, null."""
+    none = F.raise_error(F.lit(NO_BUCKET)) if strict else F.lit(None)
+    chain = F.when(has_no_bucket(utilisation), none.cast("int"))
     for number, end in enumerate(fv.UTILISATION_BUCKET_ENDS):
         chain = chain.when(utilisation <= end, number)
     return chain.otherwise(len(fv.UTILISATION_BUCKET_ENDS))

@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from creditweir import fixed_values as fv
 from creditweir.functions.text import numbers_in, strip_fences
 
-REPORT_SCHEMA = (
-    "summary string, "
+REPORT_TYPE = (
+    "struct<summary string, "
     "key_risk_factors array<struct<factor string, observation string, reason_code string>>, "
     "mitigating_factors array<struct<factor string, observation string>>, "
-    "data_quality_notes array<string>, recommended_checks array<string>, confidence string, "
-    "malformed string"
+    "data_quality_notes array<string>, recommended_checks array<string>, confidence string>"
 )
 NUMBER = "decimal(38,12)"
 
 
 def parse_reports(rows: DataFrame, raw: str = "reply") -> DataFrame:
-    """Add ``report`` parsed from a JSON reply, fenced or not."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
-    return rows.withColumn("report", F.from_json(strip_fences(F.col(raw)), REPORT_SCHEMA, options))
+    """Add ``reply_json``, the VARIANT of a JSON reply, fenced or not, and ``report``, its fields as columns.
+
+    Each reply is parsed once: Spark keeps a projection whose column is used more than once.
+    Both are null for a reply that is no JSON object or names a key twice. A field of
+    another type is null in ``report`` or, where a text is asked for, written as text.
+    """
+    parsed = rows.withColumn("reply_json", F.try_parse_json(strip_fences(F.col(raw))))
+    return parsed.withColumn("report", F.try_variant_get("reply_json", "$", REPORT_TYPE))
 
 
 def _is_text(value: Column) -> Column:
@@ -35,9 +39,9 @@ def _wrong_list(json: Column, name: str, sound) -> Column:
     return given & (elements.isNull() | F.exists(elements, lambda e: ~sound(e)))
 
 
-def type_problems(raw: str = "reply") -> Column:
-    """Texts for values whose JSON type is not the one asked for; parsing to columns would convert them."""
-    json = F.try_parse_json(strip_fences(F.col(raw)))
+def type_problems(parsed: str = "reply_json") -> Column:
+    """Texts for values whose JSON type is not the one asked for; the columns of ``report`` hide them."""
+    json = F.col(parsed)
 
     def texts(*names):
         def sound(element):
@@ -71,7 +75,7 @@ def schema_problems(report: str = "report") -> Column:
         _empty_if_null(f"{report}.mitigating_factors", "struct<factor:string,observation:string>"),
         lambda f: f["factor"].isNull() | f["observation"].isNull(),
     )
-    broken = F.col(report).isNull() | F.col(f"{report}.malformed").isNotNull()
+    broken = F.col(report).isNull()
     inner = [
         F.when(F.col(f"{report}.summary").isNull(), "summary missing"),
         F.when(factors.isNull(), "key_risk_factors missing"),
@@ -162,8 +166,8 @@ def audit(rows: DataFrame, reply: str = "reply", payload: str = "payload") -> Da
     where the fields are there.
     """
     parsed = parse_reports(rows, reply).withColumn("problems", schema_problems())
-    typed = F.when(F.size("problems") == 0, type_problems(reply)).otherwise(F.col("problems"))
-    parsed = parsed.withColumn("problems", typed)
+    typed = F.when(F.size("problems") == 0, type_problems()).otherwise(F.col("problems"))
+    parsed = parsed.withColumn("problems", typed).drop("reply_json")
     sound = F.size("problems") == 0
     none_text = F.array().cast("array<string>")
     none_number = F.array().cast(f"array<{NUMBER}>")

@@ -2,11 +2,11 @@
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditweir import fixed_values as fv
-from creditweir.functions.columns import clip, to_number, utilisation_bucket
+from creditweir.functions.columns import NO_BUCKET, clip, has_no_bucket, to_number, utilisation_bucket
 from creditweir.operators.quantiles import exact_quantiles
 
 
@@ -69,8 +69,17 @@ def fit_credit(cleaned_train: DataFrame) -> FeatureParams:
     )
 
 
-def credit_features(cleaned: DataFrame, params: FeatureParams, carry: tuple = ()) -> DataFrame:
-    """The model's input columns in frozen order, after ``carry`` columns."""
+def credit_row_error() -> Column:
+    """What keeps a cleaned row from having features; null if nothing does."""
+    return F.when(has_no_bucket(F.col("revolving_utilisation")), NO_BUCKET)
+
+
+def credit_features(cleaned: DataFrame, params: FeatureParams, carry: tuple = (), strict: bool = True) -> DataFrame:
+    """The model's input columns in frozen order, after ``carry`` columns.
+
+    A row for which ``credit_row_error`` has a text is an error; if not ``strict`` it only
+    lacks the feature concerned, and the caller carries the text.
+    """
     if params is None:
         raise NotFittedError("fit the feature parameters first or load them with the model")
     p = params.values
@@ -98,7 +107,7 @@ def credit_features(cleaned: DataFrame, params: FeatureParams, carry: tuple = ()
         (F.col("monthly_income") / (F.col("number_of_dependents") + 1)).alias("income_per_dependent"),
         (events / (F.col("open_credit_lines") + 1)).alias("delinquency_ratio"),
         (events > 0).cast("int").alias("has_any_delinquency"),
-        utilisation_bucket(F.col("revolving_utilisation")).alias("utilisation_bucket"),
+        utilisation_bucket(F.col("revolving_utilisation"), strict).alias("utilisation_bucket"),
     )
     return derived.select(*carry, *params.feature_names)
 
@@ -116,7 +125,12 @@ def fit_tree(cleaned_train: DataFrame) -> FeatureParams:
     return FeatureParams(list(fv.TREE_FEATURES))
 
 
-def tree_features(cleaned: DataFrame, params: FeatureParams, carry: tuple = ()) -> DataFrame:
+def tree_row_error() -> Column:
+    """No row of the second domain fails: gaps become 0."""
+    return F.lit(None).cast("string")
+
+
+def tree_features(cleaned: DataFrame, params: FeatureParams, carry: tuple = (), strict: bool = True) -> DataFrame:
     if params is None:
         raise NotFittedError("fit the feature parameters first or load them with the model")
     utilisation = F.coalesce(F.col("revolving_utilisation"), F.lit(0.0))

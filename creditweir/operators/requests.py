@@ -15,7 +15,7 @@ def resolve_aliases(requests: DataFrame) -> DataFrame:
     others = [c for c in requests.columns if c not in fv.REQUEST_ALIASES and c not in fv.REQUEST_ALIASES.values()]
     fields = []
     for name, header in fv.REQUEST_ALIASES.items():
-        spellings = [F.col(f"`{c}`").cast("double") for c in dict.fromkeys((name, header)) if c in present]
+        spellings = [F.col(f"`{c}`").try_cast("double") for c in dict.fromkeys((name, header)) if c in present]
         value = F.coalesce(*spellings) if spellings else F.lit(None).cast("double")
         fields.append(value.alias(name))
     return requests.select(*others, *fields)
@@ -38,9 +38,27 @@ def request_errors():
     return F.filter(F.array(*checks), lambda text: text.isNotNull())
 
 
+def unreadable_fields(requests: DataFrame):
+    """Array of the names of fields whose text, in the spelling that counts, is no number."""
+    kinds = dict(requests.dtypes)
+    bad = []
+    for name, header in fv.REQUEST_ALIASES.items():
+        for spelling in dict.fromkeys((name, header)):
+            if kinds.get(spelling) == "string":
+                text = F.col(f"`{spelling}`")
+                bad.append(F.when(text.isNotNull() & text.try_cast("double").isNull(), name))
+    return F.array_distinct(F.array_compact(F.array(*bad))) if bad else F.array().cast("array<string>")
+
+
 def validate(requests: DataFrame) -> DataFrame:
-    """Requests under business names with an ``errors`` array."""
-    return resolve_aliases(requests).withColumn("errors", request_errors())
+    """Requests under business names with an ``errors`` array.
+
+    A text that is no number is an error of its row, in either spelling; it is not reported as missing too.
+    """
+    resolved = resolve_aliases(requests.withColumn("errors", unreadable_fields(requests)))
+    told = F.transform("errors", lambda name: F.concat(name, F.lit(": not a number")))
+    missing = F.transform("errors", lambda name: F.concat(name, F.lit(": required")))
+    return resolved.withColumn("errors", F.concat(told, F.array_except(request_errors(), missing)))
 
 
 def accepted(validated: DataFrame) -> DataFrame:

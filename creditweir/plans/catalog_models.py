@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from creditweir import fixed_values as fv
 from creditweir import schemas
 from creditweir.functions.text import plain_decimal
-from creditweir.operators import attribution, audit, drift, evaluation, features, models, reasons, registry, scoring
+from creditweir.operators import attribution, audit, drift, evaluation, features, models, reasons, registry, requests, scoring
 from creditweir.plans import given_tables as given
 from creditweir.plans import monitoring, training
-from creditweir.plans.catalog import _drift_batches, _drift_report, _fitted, query, shown
+from creditweir.plans.catalog import _drift_batches, _drift_report, _fitted, _requests, query, shown
 from creditweir.plans.star import Star
 from creditweir.session import cut, shared_dir, small_table
 from creditweir.sources import files
@@ -94,10 +94,8 @@ def _joined(column: str, text) -> DataFrame:
     return F.concat_ws(" | ", F.transform(column, text))
 
 
-@query
-def template_report(spark, sf_dir):
-    rows = _with_payload(_explained(spark, sf_dir))
-    report = rows.select("applicant_id", reasons.template_report("payload", FLAG_NAMES, "disabled").alias("r"))
+def _report_texts(report: DataFrame) -> DataFrame:
+    """The report ``r`` of each applicant as flat texts."""
     return shown(report.select(
         "applicant_id",
         F.col("r.summary").alias("summary"),
@@ -112,6 +110,12 @@ def template_report(spark, sf_dir):
     ))
 
 
+@query
+def template_report(spark, sf_dir):
+    rows = _with_payload(_explained(spark, sf_dir))
+    return _report_texts(rows.select("applicant_id", reasons.template_report("payload", FLAG_NAMES, "disabled").alias("r")))
+
+
 def _replies(spark, sf_dir):
     """Written reports with known faults, one kind per remainder of the id."""
     rows = _with_payload(_explained(spark, sf_dir))
@@ -152,6 +156,72 @@ def report_audit(spark, sf_dir):
     ))
 
 
+@query
+def final_reports(spark, sf_dir):
+    """The report each reader gets; every 7th request may not be written about, every 11th has no reply."""
+    replies = _replies(spark, sf_dir).withColumn("reply", F.when(F.col("applicant_id") % 11 != 0, F.col("reply")))
+    template = reasons.template_report("payload", FLAG_NAMES, "disabled")
+    chosen = audit.final_report(F.col("applicant_id") % 7 != 0, template)
+    return _report_texts(audit.audit(replies).select("applicant_id", chosen.alias("r")))
+
+
+# --- failed requests, stress -----------------------------------------------------------
+
+# Parameters as a model folder would hold them, so that any engine knows them.
+STORED_PARAMS = features.FeatureParams(
+    list(fv.CREDIT_FEATURES),
+    {"median_income": 5400.0, "utilisation_cap": 1.5, "debt_ratio_cap": 2.0, "median_age": 52.0},
+)
+
+
+@query
+def request_log(spark, sf_dir):
+    """The log of valid requests; every 139th has a utilisation that is no number, every 149th was sent as a bad text."""
+    k = F.col("request_id")
+    sent = _requests(spark, sf_dir).withColumns({
+        "RevolvingUtilizationOfUnsecuredLines": F.when(k % 139 == 0, float("nan")).otherwise(F.col("RevolvingUtilizationOfUnsecuredLines")),
+        "DebtRatio": F.when(k % 149 == 0, "n/a").otherwise(F.col("DebtRatio").cast("string")),
+    })
+    valid = requests.accepted(requests.validate(sent))
+    carried = features.clean_credit(valid.select("*", F.struct(*fv.REQUEST_ALIASES).alias("request")))
+    cleaned = carried.withColumn("error_message", features.credit_row_error())
+    kept = ("request_id", "request", "error_message")
+    rows = features.credit_features(cleaned, STORED_PARAMS, kept, strict=False)
+    scored = rows.select(*kept, F.struct(*fv.CREDIT_FEATURES).alias("features"), linear_probability().alias("probability_default"))
+    log = scoring.log_rows(
+        scoring.decide(scored), list(fv.REQUEST_ALIASES), fv.CREDIT_FEATURES, "credit", "v1", F.lit(given.AS_OF).cast("timestamp")
+    )
+    return shown(log.select(
+        "request_id", "status", "error_message", "probability_default", "predicted_class", "risk_band",
+        F.get_json_object("request_payload", "$.age").cast("double").alias("age_sent"),
+        F.get_json_object("request_payload", "$.revolving_utilisation").cast("double").alias("utilisation_sent"),
+        F.get_json_object("feature_vector", "$.utilisation_bucket").cast("double").alias("utilisation_bucket"),
+    ))
+
+
+def _stressed(spark, sf_dir):
+    """Test applicants with their own and their stressed linear probability."""
+    cleaned, params = _fitted(Star(spark, sf_dir))
+
+    def score(rows):
+        carried = rows.select("*", F.struct(*rows.columns).alias("_row"))
+        return features.credit_features(carried, params, ("_row",), strict=False).select(
+            "_row.*", linear_probability().alias("probability_default")
+        )
+
+    return scoring.rescored(cleaned.filter("dataset_split = 'test'"), score)
+
+
+@query
+def stress_scores(spark, sf_dir):
+    return shown(scoring.stress_summary(_stressed(spark, sf_dir), 0.3))
+
+
+@query
+def stress_migration(spark, sf_dir):
+    return shown(scoring.band_migration(_stressed(spark, sf_dir)))
+
+
 # --- drift events, registry, prediction fact -----------------------------------------
 
 

@@ -388,6 +388,28 @@ def w(ctes, select):
     return f"WITH {ctes.strip()}\n{select.strip()}"
 
 
+def _band(p):
+    return f"CASE WHEN {p} < 0.05 THEN 'low' WHEN {p} < 0.15 THEN 'medium' WHEN {p} < 0.35 THEN 'high' ELSE 'very_high' END"
+
+
+def _bucket(u):
+    return f"CASE WHEN {u} <= 0.1 THEN 0 WHEN {u} <= 0.3 THEN 1 WHEN {u} <= 0.6 THEN 2 WHEN {u} <= 1.0 THEN 3 ELSE 4 END"
+
+
+def _linear(u):
+    return (f"round({_bucket(u)} * 0.07::DOUBLE + CASE WHEN total_delinquency_events > 0 THEN 0.1::DOUBLE ELSE 0 END + "
+            "0.013::DOUBLE + least(total_delinquency_events, 5) * 0.031::DOUBLE, 4)")
+
+
+# Test applicants by scenario with own and stressed linear probability; only utilisation moves the score.
+STRESSED = FEATURES + f""",
+shifts(scenario, um) AS (VALUES ('none',1.0::DOUBLE),('moderate',1.5),('severe',3.0)),
+both_scores AS (
+  SELECT scenario, {_linear("least(revolving_utilisation, utilisation_cap)")} AS p0,
+         {_linear("least(revolving_utilisation * um, utilisation_cap)")} AS p1
+  FROM cleaned, params, shifts WHERE dataset_split = 'test')"""
+
+
 ORACLES = {
     "silver_clean": w(SILVER, """
       SELECT applicant_id, '00000000-0000-0000-0000-000000000001' AS ingestion_id,
@@ -675,6 +697,35 @@ cur_long AS (""" + _long("stressed", "scenario AS grp,") + ")," + PSI_OF_LONG,
              CASE WHEN applicant_id % 7 = 0 THEN 'disabled'
                   WHEN problems = '' AND fabricated = '' AND unsupported = '' THEN 'ok' ELSE 'fallback' END AS outcome
       FROM found"""),
+    "request_log": w(REQUESTS, """
+      , sent AS (
+        SELECT *, CASE WHEN request_id % 139 <> 0 THEN revolving_utilisation END AS u,
+               least(times_30_59_days_late + times_60_89_days_late + times_90_days_late, 1) AS any_late,
+               least(times_30_59_days_late + times_60_89_days_late + times_90_days_late, 5) AS late
+        FROM judged WHERE request_id % 149 <> 0
+          AND len(list_filter(errors, lambda x: request_id % 139 <> 0 OR NOT starts_with(x, 'revolving'))) = 0),
+      bucketed AS (
+        SELECT *, CASE WHEN u IS NULL THEN NULL WHEN u <= 0.1 THEN 0 WHEN u <= 0.3 THEN 1 WHEN u <= 0.6 THEN 2
+                       WHEN u <= 1.0 THEN 3 ELSE 4 END AS b FROM sent),
+      scored AS (
+        SELECT *, round(b * 0.07::DOUBLE + any_late * 0.1::DOUBLE + 0.013::DOUBLE + late * 0.031::DOUBLE, 4) AS p FROM bucketed)
+      SELECT CAST(request_id AS VARCHAR) AS request_id, CASE WHEN b IS NULL THEN 'ERROR' ELSE 'OK' END AS status,
+             CASE WHEN b IS NULL THEN 'revolving_utilisation has no bucket: null or below range' END AS error_message,
+             p AS probability_default, CAST(CASE WHEN p >= 0.5 THEN 1 WHEN p < 0.5 THEN 0 END AS BIGINT) AS predicted_class,
+             CASE WHEN p < 0.05 THEN 'low' WHEN p < 0.15 THEN 'medium' WHEN p < 0.35 THEN 'high' WHEN p >= 0.35 THEN 'very_high' END
+               AS risk_band,
+             age AS age_sent, u AS utilisation_sent, CAST(b AS DOUBLE) AS utilisation_bucket
+      FROM scored"""),
+    "stress_scores": w(STRESSED, """
+      SELECT scenario, count(*) AS n, count(*) FILTER (WHERE p0 IS NULL OR p1 IS NULL) AS n_failed, round(avg(p0),6) AS mean_own,
+             round(avg(p1),6) AS mean_stressed, round(avg(p1 - p0),6) AS mean_shift, round(max(p1 - p0),6) AS largest_shift,
+             count(*) FILTER (WHERE p0 >= 0.3) AS n_flagged_own, count(*) FILTER (WHERE p1 >= 0.3) AS n_flagged_stressed,
+             count(*) FILTER (WHERE (p0 >= 0.3) <> (p1 >= 0.3)) AS n_changed
+      FROM both_scores GROUP BY scenario"""),
+    "stress_migration": w(STRESSED, """
+      SELECT scenario, own_band, stressed_band, n, round(n / sum(n) OVER (PARTITION BY scenario, own_band),6) AS share
+      FROM (SELECT scenario, band(p0) AS own_band, band(p1) AS stressed_band, count(*) AS n FROM both_scores GROUP BY ALL)"""
+      .replace("band(p0)", _band("p0")).replace("band(p1)", _band("p1"))),
     "drift_alerts": w(DRIFT_REPORT, """
       SELECT computed_at AS occurred_at, 'drift_alert' AS event_type, pipeline_name AS pipeline, model_version,
              CAST(regexp_extract(current_window, '[0-9]+') AS BIGINT) AS window_hours, feature_name AS feature, round(psi,4) AS psi
@@ -719,3 +770,14 @@ cur_long AS (
              n_reference, n_current, CASE WHEN psi >= 0.25 THEN 'ALERT' WHEN psi >= 0.1 THEN 'WARN' ELSE 'OK' END AS drift_status
       FROM psi WHERE n_current >= 100"""),
 }
+
+# The written report where its audit found nothing, else the template; both are recomputed above.
+ORACLES["final_reports"] = f"""
+SELECT t.applicant_id, CASE WHEN s.llm_status = 'ok' THEN 'The modelled probability is ' || {_text("round(p.probability_default * 100, 2)")} || ' percent.'
+            ELSE t.summary END AS summary,
+       t.key_risk_factors, t.mitigating_factors, t.data_quality_notes, t.recommended_checks,
+       CASE WHEN s.llm_status = 'ok' THEN 'medium' ELSE t.confidence END AS confidence, s.llm_status
+FROM ({ORACLES["template_report"]}) t
+JOIN ({ORACLES["scored_applicants"]}) p USING (applicant_id)
+JOIN (SELECT applicant_id, CASE WHEN outcome = 'ok' AND applicant_id % 11 = 0 THEN 'fallback' ELSE outcome END AS llm_status
+      FROM ({ORACLES["report_audit"]})) s USING (applicant_id)"""

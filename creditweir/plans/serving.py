@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from creditweir import fixed_values as fv
 from creditweir import schemas
-from creditweir.operators import attribution, drift, models, reasons, requests, scoring
+from creditweir.operators import attribution, audit, drift, models, reasons, requests, scoring
 from creditweir.plans import monitoring
 from creditweir.session import cut
 from creditweir.sources import artifacts
@@ -21,14 +21,17 @@ def score_requests(valid: DataFrame, artifact_root: str, pipeline_name: str = "c
     """Valid requests with probability, decision and, if asked, contributions.
 
     One transform for the whole table: features, model, attribution and ranking
-    are column work on the same partitions, with no shuffle.
+    are column work on the same partitions, with no shuffle. A request whose features
+    can't be built gets an ``error_message`` and neither probability nor contributions;
+    the batch goes on.
     """
     pipeline = models.get_pipeline(pipeline_name)
     model, params, _ = artifacts.load(artifact_root, pipeline_name, version)
     request = F.struct(*fv.REQUEST_ALIASES).alias("request")
     carried = valid.select("*", request)
-    kept = ("request_id", "request")
-    ready = pipeline.apply(pipeline.clean(carried, pipeline.target), params, kept)
+    kept = ("request_id", "request", "error_message")
+    cleaned = pipeline.clean(carried, pipeline.target).withColumn("error_message", pipeline.row_error())
+    ready = pipeline.apply(cleaned, params, kept, strict=False)
     scored = models.score(ready, model, params.feature_names)
     names = params.feature_names
     if explain:
@@ -38,12 +41,28 @@ def score_requests(valid: DataFrame, artifact_root: str, pipeline_name: str = "c
         )
         scored = attribution.attribute(filled, build(model, names))
         ranked = reasons.ranked_contributions(names, F.col, lambda n: F.col(f"shap_{n}"))
-        scored = scored.withColumn("contributions", ranked)
+        scored = scored.withColumn("contributions", F.when(F.col("error_message").isNull(), ranked))
     features = F.struct(*names).alias("features")
     extra = ["base_value", "contributions"] if explain else []
     return scoring.decide(scored.select(*kept, features, "probability_default", *extra), threshold=threshold)
 
 
+def stress(valid: DataFrame, artifact_root: str, pipeline_name: str = "credit", version: str = "v1") -> DataFrame:
+    """Valid requests rescored by the stored model under every stress scenario, for ``scoring.stress_summary`` and ``band_migration``."""
+    pipeline = models.get_pipeline(pipeline_name)
+    model, params, _ = artifacts.load(artifact_root, pipeline_name, version)
+
+    def score(rows):
+        # The features replace columns of the same names, so the row travels aside.
+        carried = rows.select("*", F.struct(*rows.columns).alias("_row"))
+        cleaned = pipeline.clean(carried, pipeline.target).withColumn("_error", pipeline.row_error())
+        ready = pipeline.apply(cleaned, params, ("_row", "_error"), strict=False)
+        p = F.when(F.col("_error").isNull(), F.col("probability_default"))
+        return models.score(ready, model, params.feature_names).select("_row.*", p.alias("probability_default"))
+
+    return scoring.rescored(valid, score)
+
+
 def log_predictions(tables: Tables, scored: DataFrame, pipeline: str, version: str, received_at: Column = None,
                     latency_ms: Column = None) -> None:
     """Append one log row per scored request, a folder per day."""
@@ -60,7 +79,8 @@ def log_predictions(tables: Tables, scored: DataFrame, pipeline: str, version: s
 
 
 def reports(scored: DataFrame, pipeline: str, version: str, algorithm: str, status: str = "disabled") -> DataFrame:
-    """Reason codes, payload and template report per explained request."""
+    """Reason codes, payload and template report per explained request; a request in error has none."""
+    scored = scored.filter("error_message is null")
     flags = F.struct(
         F.col("request.monthly_income").isNull().alias("monthly_income_imputed"),
         F.col("request.number_of_dependents").isNull().alias("dependents_missing"),
@@ -74,6 +94,22 @@ def reports(scored: DataFrame, pipeline: str, version: str, algorithm: str, stat
     return with_payload.withColumn("report", report)
 
 
+def final_reports(reported: DataFrame, replies: DataFrame, enabled: bool = True) -> DataFrame:
+    """The report a reader gets per row of ``reports``: the written one if its audit finds nothing, else the template.
+
+    ``replies`` holds (request_id, reply). Of several replies to a request the greatest
+    text counts; they are reduced before the join, so a request with many of them is one
+    row. A request without a reply keeps its row and gets the template.
+    """
+    latest = replies.groupBy("request_id").agg(F.max("reply").alias("reply"))
+    rows = reported.withColumnRenamed("report", "template").join(latest, "request_id", "left")
+    audited = audit.audit(rows)
+    final = audit.final_report(F.lit(enabled), F.col("template"))
+    return audited.withColumn("final_report", final).drop("template", "report", "reply").withColumnRenamed(
+        "final_report", "report"
+    )
+
+
 def check_drift(tables: Tables, artifact_root: str, pipeline: str, version: str, as_of: Column, window_hours: int = 24,
                 warn: float = fv.DRIFT_WARN, alert: float = fv.DRIFT_ALERT) -> DataFrame:
     """Compare the log's last hours with the reference profile and record it.
