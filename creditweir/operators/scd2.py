@@ -10,9 +10,13 @@ DAYS_PER_KEY = 100000  # room for the day number of effective_from in a key
 
 
 def borrower_key(applicant_id: Column, effective_from: Column) -> Column:
-    """Collision-free key: the same version gets the same key on every run."""
-    day_number = F.unix_date(effective_from)
-    return applicant_id * F.lit(DAYS_PER_KEY).cast("bigint") + day_number
+    """Collision-free key: the same version gets the same key on every run.
+
+    A decimal of 24 digits holds the key of every 64-bit id.
+    """
+    day_number = F.unix_date(effective_from).cast("decimal(7,0)")
+    scaled = applicant_id.cast("decimal(19,0)") * F.lit(DAYS_PER_KEY).cast("decimal(6,0)")
+    return (scaled + day_number).cast("decimal(24,0)")
 
 
 def borrower_attributes(silver: DataFrame) -> DataFrame:

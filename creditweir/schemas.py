@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from creditweir import fixed_values as fv
 
 TEXT, LONG, INT, SHORT = T.StringType(), T.LongType(), T.IntegerType(), T.ShortType()
+KEY = T.DecimalType(24, 0)  # a 64-bit applicant id and a day number
 BOOL, DATE, TIME = T.BooleanType(), T.DateType(), T.TimestampType()
 
 
@@ -76,7 +77,7 @@ DIM_DATE = _table(
 )
 
 DIM_BORROWER = _table(
-    ("borrower_key", LONG, "required"),
+    ("borrower_key", KEY, "required"),
     ("applicant_id", LONG, "required"),
     ("age", SHORT),
     ("age_band", TEXT),
@@ -131,7 +132,7 @@ DIM_MODEL = _table(
 
 FACT_ASSESSMENT = _table(
     ("snapshot_date_key", INT, "required"),
-    ("borrower_key", LONG, "required"),
+    ("borrower_key", KEY, "required"),
     ("income_band_key", INT, "required"),
     ("utilisation_band_key", INT, "required"),
     ("delinquency_profile_key", INT, "required"),
@@ -153,7 +154,7 @@ FACT_ASSESSMENT = _table(
 FACT_PREDICTION = _table(
     ("date_key", INT, "required"),
     ("model_key", LONG, "required"),
-    ("borrower_key", LONG),
+    ("borrower_key", KEY),
     ("request_id", TEXT, "required"),
     ("applicant_id", LONG),
     ("predicted_at", TIME, "required"),

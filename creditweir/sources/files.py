@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from creditweir import fixed_values as fv
 
 BLOCK = ["source_file", "_block"]
+#: Splits whose row counts are broadcast, at a few hundred bytes each.
+MAX_SPLITS = 1_000_000
 #: Bytes of a file that a fingerprint reads at a time.
 PIECE = 8 << 20
 
@@ -59,8 +61,9 @@ def read_csv_text(spark: SparkSession, path: str, header_names: list = None, mul
     ``source_row_number`` counts data rows per file from 0, ``position`` counts
     them over all files in path order. Lines are numbered within their
     file split as they are read; splits are counted in a second, column-free
-    scan, so no row is shuffled. Quoted line breaks need ``multi_line``, which
-    makes each file one split.
+    scan. The counts are broadcast, so no row is shuffled, up to ``MAX_SPLITS`` splits; beyond
+    them rows are joined by split. Splits that changed between the scans are an error, not lost
+    rows. Quoted line breaks need ``multi_line``, which makes each file one split.
     """
     names = header_names or _header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -89,8 +92,15 @@ def read_csv_text(spark: SparkSession, path: str, header_names: list = None, mul
         F.coalesce(F.sum("_rows").over(in_all), F.lit(0)).alias("_before_all"),
     )
     in_block = F.col("_read_order") - F.col("_first")
-    numbered = rows.join(starts, BLOCK).withColumns(
-        {"source_row_number": F.col("_before") + in_block, "position": F.col("_before_all") + in_block}
+    # A partition holds whole files and at most one part of a file that is cut at both ends.
+    if rows.rdd.getNumPartitions() + len(rows.inputFiles()) <= MAX_SPLITS:
+        starts = F.broadcast(starts)
+    moved = F.raise_error(F.lit("the file splits changed between two scans")).cast("bigint")
+    numbered = rows.join(starts, BLOCK, "left").withColumns(
+        {
+            "source_row_number": F.coalesce("_before", moved) + in_block,
+            "position": F.col("_before_all") + in_block,
+        }
     )
     return numbered.drop("_block", "_read_order", "_first", "_before", "_before_all")
 

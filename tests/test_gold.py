@@ -119,3 +119,12 @@ def test_conform_names_missing_and_null_columns(spark):
     frame = spark.createDataFrame([(None, "x", "WARN", 1)], "ingestion_id string, rule_name string, severity string, rows_affected int")
     with pytest.raises(Exception, match="null in required column ingestion_id"):
         schemas.conform(frame.withColumn("checked_at", F.current_timestamp()), schemas.DATA_QUALITY_LOG).collect()
+
+
+def test_keys_of_the_largest_ids_do_not_overflow(spark):
+    from creditweir.operators.scd2 import borrower_key
+
+    ids = [2**53 + 1, 2**63 - 1, -(2**63), 0, -1]
+    rows = spark.createDataFrame([(i,) for i in ids], "applicant_id bigint")
+    keys = rows.select(borrower_key(F.col("applicant_id"), F.lit("2026-01-01").cast("date")).alias("k")).collect()
+    assert [int(r["k"]) for r in keys] == [i * 100000 + 20454 for i in ids]

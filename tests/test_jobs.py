@@ -177,6 +177,32 @@ def test_train_register_score_explain_and_check_drift(loaded, spark):
     report = serving.reports(scored, "credit", "v1", "GBTClassifier").select("report.llm_status", "reason_codes").first()
     assert report["llm_status"] == "disabled"
 
+    broken = accepted.withColumn(
+        "revolving_utilisation",
+        F.when(F.col("request_id") == "2", float("nan")).otherwise(F.col("revolving_utilisation").cast("double")),
+    )
+    mixed = serving.score_requests(broken, root, "credit", "v1").cache()
+    failed = mixed.filter("error_message is not null").collect()
+    assert mixed.count() == 399 and [r["request_id"] for r in failed] == ["2"]
+    assert failed[0]["probability_default"] is None and failed[0]["contributions"] is None
+    assert serving.reports(mixed, "credit", "v1", "GBTClassifier").count() == 398
+    names = [f.name for f in mixed.schema["features"].dataType]
+    logged = serving.scoring.log_rows(mixed, list(fv.REQUEST_ALIASES), names, "credit", "v1", F.current_timestamp())
+    entry = logged.filter("status = 'ERROR'").collect()
+    assert [(r["request_id"], r["feature_vector"], r["risk_band"]) for r in entry] == [("2", "{}", None)]
+
+    stressed = serving.stress(broken, root).cache()
+    summary = {r["scenario"]: r for r in serving.scoring.stress_summary(stressed).collect()}
+    assert {s: (r["n"], r["n_failed"]) for s, r in summary.items()} == {s: (399, 1) for s, _, _ in fv.SCENARIOS}
+    assert summary["none"]["n_changed"] == 0 and abs(summary["none"]["largest_shift"]) < 1e-12
+    gap = stressed.join(scored.select("request_id", F.col("probability_default").alias("q")), "request_id").agg(
+        F.max(F.abs(F.col("own_probability") - F.col("q")))
+    )
+    assert gap.first()[0] < 1e-12, "the own probability is the job's"
+    cells = serving.scoring.band_migration(stressed).collect()
+    assert all(r["own_band"] == r["stressed_band"] and r["share"] == 1 for r in cells if r["scenario"] == "none")
+    assert sum(r["n"] for r in cells) == 3 * 398
+
     noon = F.lit("2026-03-01 12:00:00").cast("timestamp")
     serving.log_predictions(tables, scored, "credit", "v1", noon)
     batch = serving.check_drift(tables, root, "credit", "v1", F.lit("2026-03-01 18:00:00").cast("timestamp"))
@@ -267,3 +293,34 @@ def test_rows_without_a_probability_are_logged_as_errors(spark):
     found = {r["request_id"]: r for r in logged.collect()}
     assert [found[k]["status"] for k in "abc"] == ["OK", "ERROR", "ERROR"]
     assert found["a"]["predicted_class"] == 1 and found["b"]["risk_band"] is None and found["b"]["error_message"]
+
+
+def test_a_text_that_is_no_number_rejects_its_request_only(spark):
+    names = list(fv.REQUEST_ALIASES)
+    fine = {n: "20" for n in names}
+    header = fv.REQUEST_ALIASES["debt_ratio"]
+    sent = [fine, {**fine, "debt_ratio": "n/a"}, {**fine, "monthly_income": ""}, {**fine, "age": None}]
+    rows = spark.createDataFrame([(str(i), *[r[n] for n in names]) for i, r in enumerate(sent)], ["request_id", *names])
+    accepted, rejected = serving.validated(rows.withColumnRenamed("debt_ratio", header))
+    assert [r["request_id"] for r in accepted.collect()] == ["0"]
+    assert {r["request_id"]: r["errors"] for r in rejected.collect()} == {
+        "1": ["debt_ratio: not a number"], "2": ["monthly_income: not a number"], "3": ["age: required"],
+    }
+
+
+def test_csv_rows_are_numbered_without_a_shuffle_of_rows(spark, tmp_path, monkeypatch):
+    for name, n in (("a", 500), ("b", 3)):
+        write_csv(tmp_path / f"{name}.csv", n)
+    read = lambda: files.read_csv_text(spark, str(tmp_path / "*.csv"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        plan = read()._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        columns = ["source_file", "source_row_number", "position"]
+        found = sorted(map(tuple, read().select(*columns).collect()))
+        assert [r[2] for r in found] == list(range(503))
+        assert [r[1] for r in found] == list(range(500)) + list(range(3))
+        monkeypatch.setattr(files, "MAX_SPLITS", 0)
+        assert sorted(map(tuple, read().select(*columns).collect())) == found
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

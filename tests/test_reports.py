@@ -160,3 +160,38 @@ def test_final_report_is_the_written_one_or_the_template(explained):
         assert final(reply)["llm_status"] == "fallback" and final(reply)["confidence"] == "low"
     assert final(good(), enabled=False)["llm_status"] == "disabled"
     assert final({k: v for k, v in good().items() if k != "data_quality_notes"})["data_quality_notes"] == []
+
+
+def test_replies_of_other_json_types_are_no_reports(explained):
+    for reply in ("[1]", '"text"', "null", "5", '{"summary": "a", "summary": "b"}', "", "{"):
+        assert judged(explained, reply)["problems"] == ["not valid JSON"], reply
+    assert judged(explained, changed(key_risk_factors="none"))["problems"]
+    assert judged(explained, changed(data_quality_notes={"a": 1}))["problems"] == ["data_quality_notes not texts"]
+    assert judged(explained, changed(summary={"a": 1}))["problems"] == ["summary not a text"]
+
+
+def test_each_reply_is_parsed_once(explained):
+    rows = explained.withColumn("reply", F.concat(F.lit("x"), F.rand().cast("string")))
+    plan = audit.audit(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1 and "from_json" not in plan
+
+
+def test_final_reports_job(spark, explained):
+    from creditweir.plans import serving
+
+    rows = explained.select("payload", F.col("payload.request_id").alias("request_id"))
+    rows = rows.withColumn("report", reasons.template_report("payload", [], "disabled"))
+    key = rows.first()["request_id"]
+    bad, fine = json.dumps(changed(summary="It is 87.5 percent.")), json.dumps(good())
+
+    def status(found, **options):
+        replies = spark.createDataFrame(found, "request_id string, reply string")
+        out = serving.final_reports(rows, replies, **options)
+        assert out.count() == rows.count()
+        return out.filter(F.col("request_id") == key).select("report.llm_status", "report.confidence").first()
+
+    assert tuple(status([(key, fine)])) == ("ok", "medium")
+    assert tuple(status([(key, bad)])) == ("fallback", "low")
+    assert tuple(status([])) == ("fallback", "low")
+    assert tuple(status([(key, fine), (key, fine), (None, bad), ("other", bad)])) == ("ok", "medium")
+    assert tuple(status([(key, fine)], enabled=False)) == ("disabled", "low")
