@@ -164,7 +164,7 @@ TREE_UTILISATION_CAP = 2.0
 DECISION_THRESHOLD = 0.5
 RANDOM_SEED = 42
 BOOSTING = {"trees": 500, "depth": 5, "learning_rate": 0.05, "row_fraction": 0.8,
-            "column_fraction": 0.8}
+            "column_fraction": 0.8, "patience": 50}
 TREE = {"depth": 4, "min_rows": 50}
 AUC_GAP_LIMIT = 0.02
 

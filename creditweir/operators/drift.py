@@ -171,3 +171,18 @@ def logged_psi(log: DataFrame, profile: DataFrame, by: tuple = (), min_rows: int
     counts = logged_bin_counts(log, profile, by).filter(F.col("n_rows") >= min_rows)
     binned = counts.withColumn("n", F.when(F.col("bin").isNotNull(), F.col("n")).otherwise(0))
     return psi_by_feature(profile, binned.select(*by, "feature", "bin", "n"), by)
+
+
+def skipped_features(log: DataFrame, profile: DataFrame, by: tuple = (), min_rows: int = fv.DRIFT_MIN_ROWS) -> DataFrame:
+    """(*by, feature, n_rows): profiled features whose key no vector of the group carries, so ``logged_psi`` leaves them out.
+
+    Groups with too few log rows are not judged and give nothing, as there. One aggregate
+    of a flag per profiled feature, combined before the shuffle.
+    """
+    names = list(edges_of(profile))
+    vector = F.from_json("feature_vector", "map<string,double>")
+    read = log.select(*by, vector.alias("vector"))
+    seen = [F.max(F.coalesce(F.map_contains_key("vector", F.lit(f)), F.lit(False))).alias(f"s{i}") for i, f in enumerate(names)]
+    groups = read.groupBy(*by).agg(F.count("*").alias("n_rows"), *seen).filter(F.col("n_rows") >= min_rows)
+    flags = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"s{i}").alias("seen")) for i, f in enumerate(names)])
+    return groups.select(*by, "n_rows", F.inline(flags)).filter("not seen").select(*by, "feature", "n_rows")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from creditweir import fixed_values as fv
 from creditweir import schemas
 from creditweir.functions.text import plain_decimal
-from creditweir.operators import attribution, audit, drift, evaluation, features, models, reasons, registry, requests, scoring
+from creditweir.operators import attribution, audit, dimensions, drift, evaluation, features, models, reasons, registry, requests, scoring
 from creditweir.plans import given_tables as given
 from creditweir.plans import monitoring, training
 from creditweir.plans.catalog import _drift_batches, _drift_report, _fitted, _requests, query, shown
@@ -281,6 +281,50 @@ def prediction_facts(spark, sf_dir):
     return shown(facts.withColumn("has_model", F.col("model_key").isNotNull()).drop("model_key"))
 
 
+def _borrower_facts(spark, sf_dir, log):
+    """Prediction facts of v1 and v2 with borrowers, and what they refer to; only v1 is registered.
+
+    The log is moved to January and February 2026, where both borrower versions lie. One
+    request in 97 was logged twice, and the applicants of some requests are unknown.
+    """
+    moved = log.withColumn("received_at", F.col("received_at") + F.expr("interval 746 days"))
+    known = cut(_registry_entries(moved).filter("model_version = 'v1'"))
+    events = given.table(spark, sf_dir, "events")
+    applicants = events.select(F.col("event_id").alias("request_id"), (F.col("user_id") * 101).alias("applicant_id"))
+    versions = cut(Star(spark, sf_dir).borrowers_later)
+    return cut(scoring.with_borrowers(scoring.prediction_facts(moved, known), applicants, versions)), known, versions
+
+
+@query
+def prediction_borrowers(spark, sf_dir):
+    """Applicant and borrower version of every prediction."""
+    facts, _, _ = _borrower_facts(spark, sf_dir, given.prediction_log(spark, sf_dir))
+    return shown(facts.select("date_key", "request_id", "applicant_id", "borrower_key", "risk_band"))
+
+
+@query
+def prediction_constraints(spark, sf_dir):
+    """What the audit before a load finds in predictions with repeated requests, a model that is not registered and missing borrowers."""
+    log = given.prediction_log(spark, sf_dir)
+    facts, known, versions = _borrower_facts(spark, sf_dir, log.unionByName(log.filter("request_id % 97 = 0")))
+    held = versions.filter("applicant_id % 3 > 0")
+    return shown(scoring.prediction_constraints(facts, known, held, dimensions.calendar(spark)))
+
+
+@query
+def skipped_features(spark, sf_dir):
+    """Profiled features that no vector of a version and third of the month carries; v2 logs empty vectors in the second third."""
+    log = given.prediction_log(spark, sf_dir).filter("status = 'OK'").withColumn("third", F.expr("day(received_at) div 10"))
+    emptied = (F.col("model_version") == "v2") & (F.col("third") == 1)
+    log = log.withColumn("feature_vector", F.when(emptied, "{}").otherwise(F.col("feature_vector")))
+    past = log.select(
+        F.try_element_at(F.from_json("feature_vector", "map<string,double>"), F.lit("k")).alias("k"),
+        F.col("probability_default").alias("margin"),
+    )
+    profile = cut(drift.reference_profile(past, ["k", "margin"]))
+    return shown(drift.skipped_features(log, profile, ("model_version", "third")))
+
+
 def _fresh(spark, name):
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
 

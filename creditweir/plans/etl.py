@@ -47,7 +47,7 @@ def load_silver(tables: Tables, ingestion_id: str = None, snapshot_date: str = N
     # A run that is loaded again adds no row twice.
     known = tables.read_appended(REJECTS, schemas.BRONZE_APPLICATIONS).filter(F.col("ingestion_id") == run).select("bronze_id")
     tables.append(REJECTS, cut(unkeyed.join(known, "bronze_id", "left_anti")), schemas.BRONZE_APPLICATIONS)
-    staged = cut(silver.to_silver(bronze, F.lit(day)))
+    staged = cut(silver.to_silver(bronze, F.lit(day)).withColumn("processed_at", F.current_timestamp()))
     tables.upsert(SILVER, staged, ["applicant_id"], schemas.SILVER_APPLICATIONS)
     counts = silver.quality_counts(staged).select(
         F.lit(run).alias("ingestion_id"), "*", F.current_timestamp().alias("checked_at")
@@ -82,7 +82,11 @@ def read_borrowers(tables: Tables) -> DataFrame:
 
 
 def load_fact(tables: Tables) -> None:
-    """Build the fact from silver and upsert the snapshot dates it holds."""
+    """Build the fact from silver and upsert the snapshot dates it holds.
+
+    The built rows are audited first: one that breaks a constraint stops the load, and
+    the stored fact stays as it was.
+    """
     fact = cut(
         facts.build_fact(
             tables.read(SILVER, schemas.SILVER_APPLICATIONS),
@@ -93,6 +97,7 @@ def load_fact(tables: Tables) -> None:
         )
     )
     assertions.require_no_nulls(fact, facts.KEY_COLUMNS)
+    assertions.require_clean(fact_constraints(tables, fact))
     tables.upsert_partitions(
         FACT, fact, ["applicant_id", "snapshot_date_key"], schemas.FACT_ASSESSMENT, "snapshot_date_key"
     )
@@ -107,9 +112,14 @@ def read_model_view(tables: Tables) -> DataFrame:
 
 
 def fact_report(tables: Tables) -> DataFrame:
-    """Violations of the fact's declared constraints."""
+    """Violations of the stored fact's declared constraints."""
+    return fact_constraints(tables, read_fact(tables))
+
+
+def fact_constraints(tables: Tables, fact: DataFrame) -> DataFrame:
+    """Violations of the declared constraints in ``fact``, stored or still to be."""
     return assertions.constraint_report(
-        read_fact(tables),
+        fact,
         unique=[["applicant_id", "snapshot_date_key"]],
         references=[
             ("snapshot_date_key", tables.read("gold/dim_date"), "date_key"),

@@ -120,6 +120,22 @@ def alert_event(report: DataFrame, window_hours: Column) -> DataFrame:
     )
 
 
+def skipped_event(skipped: DataFrame) -> DataFrame:
+    """One service event per batch listing the profiled features that were not logged; none if all were.
+
+    ``skipped`` is (computed_at, pipeline_name, model_version, window_hours, feature, n_rows).
+    """
+    grouped = skipped.groupBy("computed_at", "pipeline_name", "model_version", "window_hours").agg(
+        F.array_sort(F.collect_list("feature")).alias("features"), F.max("n_rows").alias("n_rows")
+    )
+    return grouped.select(
+        F.col("computed_at").alias("occurred_at"),
+        F.lit("monitoring").alias("service_name"),
+        F.lit("drift_skipped").alias("event_type"),
+        F.to_json(F.struct(F.col("pipeline_name").alias("pipeline"), "model_version", "window_hours", "n_rows", "features")).alias("details"),
+    )
+
+
 def status_counts(report: DataFrame) -> DataFrame:
     """Alerts, warnings and stable features of each batch."""
     return report.groupBy("computed_at", "pipeline_name", "model_version").agg(

@@ -287,6 +287,15 @@ report AS (
          'last ' || split_part(grp,'|',2) || 'h of prediction_log' AS current_window, n_reference, n_current
   FROM psi WHERE n_current >= 100)"""
 
+PREDICTED = BORROWERS + "," + PLOG + """,
+predicted AS (
+  SELECT CAST(strftime(day, '%Y%m%d') AS BIGINT) AS date_key, day, request_id, applicant_id, model_version,
+         CASE WHEN probability_default < 0.05 THEN 'low' WHEN probability_default < 0.15 THEN 'medium'
+              WHEN probability_default < 0.35 THEN 'high' ELSE 'very_high' END AS risk_band
+  FROM (SELECT p.*, CAST(p.received_at + INTERVAL 746 DAY AS DATE) AS day, e.user_id * 101 AS applicant_id
+        FROM plog p JOIN events e ON e.event_id = p.request_id)
+  WHERE status = 'OK')"""
+
 SCORED = BASE + """,
 scored AS (
   SELECT k AS id,
@@ -747,6 +756,24 @@ cur_long AS (""" + _long("stressed", "scenario AS grp,") + ")," + PSI_OF_LONG,
              0.5::DOUBLE AS threshold_used, CAST(latency_ms AS BIGINT) AS latency_ms, CAST(NULL AS BIGINT) AS actual_outcome,
              model_version = 'v1' AS has_model
       FROM plog WHERE status = 'OK'"""),
+    "prediction_borrowers": w(PREDICTED, """
+      SELECT p.date_key, p.request_id, p.applicant_id, CAST(d.borrower_key AS BIGINT) AS borrower_key, p.risk_band
+      FROM predicted p LEFT JOIN dim2 d ON d.applicant_id = p.applicant_id AND p.day BETWEEN d.effective_from AND d.effective_to"""),
+    "prediction_constraints": w(PREDICTED, """
+      , fact AS (
+        SELECT p.*, d.borrower_key FROM (SELECT * FROM predicted UNION ALL SELECT * FROM predicted WHERE request_id % 97 = 0) p
+        LEFT JOIN dim2 d ON d.applicant_id = p.applicant_id AND p.day BETWEEN d.effective_from AND d.effective_to)
+      SELECT 'unique' AS kind, 'request_id' AS subject, count(*) - count(DISTINCT request_id) AS violations FROM fact
+      UNION ALL SELECT 'reference', 'borrower_key', count(*) FROM fact WHERE borrower_key IS NOT NULL AND applicant_id % 3 = 0
+      UNION ALL SELECT 'not_null', 'model_key', count(*) FROM fact WHERE model_version <> 'v1'
+      UNION ALL SELECT kind, subject, 0 FROM (VALUES ('reference', 'date_key'), ('reference', 'model_key'), ('not_null', 'date_key'),
+        ('not_null', 'request_id'), ('not_null', 'predicted_at'), ('not_null', 'probability_default'), ('not_null', 'predicted_class'),
+        ('not_null', 'risk_band'), ('domain', 'predicted_class'), ('domain', 'risk_band')) t(kind, subject)"""),
+    "skipped_features": w(PLOG, """
+      SELECT model_version, third, feature, n AS n_rows
+      FROM (SELECT model_version, CAST(day(received_at) // 10 AS BIGINT) AS third, count(*) AS n, count(k) AS n_k
+            FROM plog WHERE status = 'OK' GROUP BY 1, 2 HAVING count(*) >= 100), (VALUES ('k'), ('margin')) f(feature)
+      WHERE feature = 'margin' OR (model_version = 'v2' AND third = 1)"""),
     "bronze_from_csv": w(BRONZE, "SELECT * EXCLUDE (bronze_id), CAST(0 AS BIGINT) AS files_misnumbered FROM raw"),
     "file_fingerprints": """
       SELECT o_orderstatus AS status, sha256(string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority,

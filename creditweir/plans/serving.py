@@ -5,15 +5,16 @@ from pyspark.sql import functions as F
 
 from creditweir import fixed_values as fv
 from creditweir import schemas
-from creditweir.operators import attribution, audit, drift, models, reasons, requests, scoring
-from creditweir.plans import monitoring
-from creditweir.session import cut
+from creditweir.operators import assertions, attribution, audit, drift, models, reasons, requests, scoring
+from creditweir.plans import etl, monitoring, training
+from creditweir.session import cut, small_table
 from creditweir.sources import artifacts
 from creditweir.sources.tables import Tables
 
 PREDICTION_LOG = "monitoring/prediction_log"
 DRIFT_REPORT = "monitoring/drift_report"
 SERVICE_EVENT = "monitoring/service_event"
+PREDICTION_FACT = "gold/fact_prediction"
 
 
 def score_requests(valid: DataFrame, artifact_root: str, pipeline_name: str = "credit", version: str = "v1",
@@ -135,9 +136,33 @@ def check_drift(tables: Tables, artifact_root: str, pipeline: str, version: str,
     )
     tables.append(DRIFT_REPORT, batch, schemas.DRIFT_REPORT)
     tables.append(SERVICE_EVENT, monitoring.alert_event(batch, F.lit(window_hours)), schemas.SERVICE_EVENT)
+    skipped = drift.skipped_features(current, profile).withColumns(
+        {"computed_at": as_of, "pipeline_name": F.lit(pipeline), "model_version": F.lit(version), "window_hours": F.lit(window_hours)}
+    )
+    tables.append(SERVICE_EVENT, monitoring.skipped_event(skipped), schemas.SERVICE_EVENT)
     return batch
 
 
+def load_predictions(tables: Tables, first_day: str, last_day: str, applicants: DataFrame = None) -> DataFrame:
+    """Store the prediction fact of the log's days ``first_day`` to ``last_day``; returns its constraint report.
+
+    Only those day folders are read and rewritten. The report is checked first: any
+    violation, such as a model that is not registered, stops the load and the stored
+    fact stays as it was. Without ``applicants`` no row has a borrower.
+    """
+    log = tables.read_appended(PREDICTION_LOG, schemas.PREDICTION_LOG)
+    log = log.filter(F.col("received_date").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
+    known = tables.read(training.REGISTRY, schemas.DIM_MODEL)
+    versions = etl.read_borrowers(tables)
+    if applicants is None:
+        applicants = small_table(tables.spark, [], "request_id string, applicant_id bigint")
+    facts = cut(scoring.with_borrowers(scoring.prediction_facts(log, known), applicants, versions))
+    report = cut(scoring.prediction_constraints(facts, known, versions, tables.read("gold/dim_date")))
+    assertions.require_clean(report)
+    tables.upsert_partitions(PREDICTION_FACT, facts, ["request_id", "date_key"], schemas.FACT_PREDICTION, "date_key")
+    return report
+
+
 def validated(raw_requests: DataFrame) -> tuple:
     """(accepted, rejected) requests; the rejected list all their errors."""
     checked = requests.validate(raw_requests)

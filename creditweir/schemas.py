@@ -54,6 +54,7 @@ SILVER_APPLICATIONS = _table(
     ("times_90_days_late", SHORT),
     ("number_of_dependents", SHORT),
     *[(f"dq_{rule}", BOOL, "required") for rule in fv.DQ_RULES],
+    ("processed_at", TIME),  # null on rows written before the column
 )
 
 DATA_QUALITY_LOG = _table(

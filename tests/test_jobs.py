@@ -211,7 +211,21 @@ def test_train_register_score_explain_and_check_drift(loaded, spark):
     late = serving.check_drift(tables, root, "credit", "v1", F.lit("2026-03-09 18:00:00").cast("timestamp"))
     assert late.count() == 0, "an empty window writes nothing"
     written = tables.read_appended(serving.DRIFT_REPORT, schemas.DRIFT_REPORT)
+    skips = tables.read_appended(serving.SERVICE_EVENT, schemas.SERVICE_EVENT).filter("event_type = 'drift_skipped'")
+    assert skips.count() == 0, "all profiled features were logged"
     assert monitoring.worst_status(written).first()[0] == "OK"
+
+    applicants = scored.select("request_id", F.col("request_id").cast("long").alias("applicant_id"))
+    report = serving.load_predictions(tables, "2026-03-01", "2026-03-01", applicants)
+    assert {r["violations"] for r in report.collect()} == {0}
+    fact = tables.read_appended(serving.PREDICTION_FACT, schemas.FACT_PREDICTION)
+    assert fact.count() == 399 and fact.filter("borrower_key is null or model_key is null").count() == 0
+    stored = sorted(map(tuple, fact.collect()))
+    serving.log_predictions(tables, scored.limit(3), "credit", "not registered", noon)
+    with pytest.raises(assertions.ConstraintError, match="not_null model_key: 3"):
+        serving.load_predictions(tables, "2026-03-01", "2026-03-01", applicants)
+    again = tables.read_appended(serving.PREDICTION_FACT, schemas.FACT_PREDICTION)
+    assert sorted(map(tuple, again.collect())) == stored, "a load that fails its audit stores nothing"
     assert monitoring.worst_status(written.limit(0)).first()[0] == "UNKNOWN"
 
 
@@ -324,3 +338,64 @@ def test_csv_rows_are_numbered_without_a_shuffle_of_rows(spark, tmp_path, monkey
         assert sorted(map(tuple, read().select(*columns).collect())) == found
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_boosting_stops_by_auc(spark):
+    from creditweir.operators import models
+
+    x = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40)).cast("double").alias(f"x{i}") for i in range(3)]
+    noise = F.pmod(F.xxhash64("id", F.lit("noise")), F.lit(60))
+    rows = spark.range(900).select("id", *x).withColumn("label", (F.col("x0") + F.col("x1") / 2 + noise > 70).cast("double"))
+    rows = models.assembled(rows, ["x0", "x1", "x2"]).select("id", "label", F.lit(1.0).alias("weight"), "features")
+    train, valid = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    model = models.boosted_trees(trees=9, maxDepth=2).fit(train)
+
+    def plain(margin, labels):
+        pairs = [(a, b) for a, y in zip(margin, labels) if y for b, z in zip(margin, labels) if not z]
+        return sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs)
+
+    labels = [r["label"] for r in valid.orderBy("id").collect()]
+    margin, want = [0.0] * len(labels), []
+    for tree, weight in zip(model.trees, model.treeWeights):
+        found = [r["prediction"] for r in tree.transform(valid).orderBy("id").select("prediction").collect()]
+        margin = [m + weight * p for m, p in zip(margin, found)]
+        want.append(plain(margin, labels))
+    got = {r["trees"]: r["auc"] for r in models.auc_by_trees(valid, model).collect()}
+    assert [got[t] for t in range(1, 10)] == pytest.approx(want, abs=1e-12)
+    later = {r["trees"]: r["auc"] for r in models.auc_by_trees(valid, model, 4).collect()}
+    assert sorted(later) == list(range(4, 10)) and all(later[t] == pytest.approx(want[t - 1]) for t in later)
+
+    chosen, aucs = models.fit_boosted(train, valid, trees=9, patience=2, maxDepth=2)
+    best, _ = models.best_count(want, 2)
+    assert len(chosen.treeWeights) == best and aucs == pytest.approx(want[: len(aucs)], abs=1e-12)
+    assert models.best_count([0.5, 0.7, 0.7, 0.6, 0.9], 2) == (2, True)
+    assert models.best_count([0.5, 0.7, 0.6, 0.9], 3) == (4, False)
+    alone, none = models.fit_boosted(train, valid.filter("label = 1"), trees=3, patience=1, maxDepth=2)
+    assert len(alone.treeWeights) == 3 and none == []
+
+
+def test_a_fact_that_breaks_a_constraint_is_not_stored(loaded, monkeypatch):
+    tables, _, _ = loaded
+    before = sorted(map(tuple, etl.read_fact(tables).collect()))
+    build = etl.facts.build_fact
+    monkeypatch.setattr(etl.facts, "build_fact", lambda *a: build(*a).withColumn("dataset_split", F.lit("other")))
+    with pytest.raises(assertions.ConstraintError, match="domain dataset_split"):
+        etl.load_fact(tables)
+    assert sorted(map(tuple, etl.read_fact(tables).collect())) == before
+    stamped = tables.read(etl.SILVER, schemas.SILVER_APPLICATIONS)
+    assert stamped.filter("processed_at is null").count() == 0
+
+
+def test_features_that_are_not_logged_leave_a_trace(spark):
+    from creditweir.operators import drift
+
+    profile = drift.reference_profile(spark.range(500).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b")), ["a", "b"])
+    log = spark.range(150).select(F.lit("v1").alias("version"), F.when(F.col("id") < 149, '{"a": null}').otherwise(None).alias("feature_vector"))
+    few = spark.range(5).select(F.lit("v2").alias("version"), F.lit("{}").alias("feature_vector"))
+    skipped = drift.skipped_features(log.unionByName(few), profile, ("version",))
+    assert [tuple(r) for r in skipped.collect()] == [("v1", "b", 150)]
+    batch = skipped.selectExpr("timestamp'2026-01-01' AS computed_at", "'credit' AS pipeline_name", "version AS model_version",
+                               "24 AS window_hours", "feature", "n_rows")
+    event = monitoring.skipped_event(batch).collect()
+    assert [e["event_type"] for e in event] == ["drift_skipped"] and '"features":["b"]' in event[0]["details"]
+    assert monitoring.skipped_event(batch.limit(0)).count() == 0
