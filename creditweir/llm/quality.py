@@ -8,10 +8,15 @@ steps from two starts. A concentration step is one aggregation: squared distance
 into fine logarithmic bins that carry moments, so the subset with the smallest
 distances (three quarters of the group) needs neither a sort nor a row collected.
 
+Statistics of short texts scatter more. The estimate holds the scatter at its texts' mean
+1 / words; a text with fewer words is judged by the covariance plus ``WORD_VARIANCE`` times
+what its own 1 / words exceeds that mean. Both matrices are diagonalised together, so each
+text's own covariance costs six divisions. Longer texts are judged by the estimate itself.
+
 Groups below ``MIN_GROUP`` texts are pooled over the sources of a language, then over
 languages; a pool that is still smaller judges nothing (kept). Null or empty texts have
 no words and fail the base rules. Null languages or sources are a group of their own.
-Repeated rows are judged alike, each for itself. Other columns pass through unread.
+Repeated rows are judged alike, each for itself. Other columns are not read and not returned.
 """
 
 from statistics import NormalDist
@@ -35,8 +40,9 @@ FLOOR = np.array([0.05, 0.05, 0.05, 0.05, 0.10, 0.10])
 SHARE, STEPS, MIN_GROUP, BINS_PER_OCTAVE = 0.75, 5, 120, 16
 #: Share of ordinary texts that lie beyond the cutoff, were the vectors normal.
 TAIL = 1e-6
-#: Shares of short texts are noisy: squared distances are damped by n / (n + SHORT).
-SHORT = 100
+#: Variance of each statistic in a text of one word, in the order of VECTOR. The root of a share of N independent trials
+#: varies by 1 / 4N: five characters a word give 0.05; capitals and marks bunch (names, numbers), repeats come in runs.
+WORD_VARIANCE = np.array([0.25, 0.05, 0.10, 0.30, 5.0, 5.0])
 
 
 def repeated_words(words: Words, width: int = 5) -> np.ndarray:
@@ -134,10 +140,10 @@ def _vectors(table: DataFrame) -> DataFrame:
         F.sqrt(F.col("n_symbols") / chars),
         F.sqrt(F.col("n_upper") / F.greatest("n_letters", F.lit(1))),
         F.sqrt(marks / chars),
-        F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
+        F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 1)),
         F.sqrt(F.col("n_repeat_words") / words),
     ]
-    return table.withColumns({"base_failed": failed, **dict(zip(VECTOR, x))})
+    return table.withColumns({"base_failed": failed, "per_word": 1 / words, **dict(zip(VECTOR, x))})
 
 
 def _group_keys(table: DataFrame) -> DataFrame:
@@ -147,7 +153,7 @@ def _group_keys(table: DataFrame) -> DataFrame:
     by_lang = sizes.where(~own).groupBy("lang").agg(F.sum("count").alias("pooled"))
     rest = by_lang.where(F.col("pooled") < MIN_GROUP).agg(F.sum("pooled")).first()[0] or 0  # one number
     keys = table.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").na.fill(0, ["count"])
-    return keys.join(by_lang, "lang", "left").select(
+    groups = keys.join(by_lang, "lang", "left").select(
         "lang",
         "source",
         F.when(own, F.to_json(F.struct("lang", "source")))
@@ -155,10 +161,13 @@ def _group_keys(table: DataFrame) -> DataFrame:
         .when(F.lit(rest >= MIN_GROUP), F.lit("{}"))
         .alias("grp"),
     )
+    # Written, its size is known: Spark broadcasts it if small, so a hot source is not shuffled into one task.
+    return cut(groups)
 
 
-PARAMS = "grp string, origin int, n long, logdet double, reach double, " + ", ".join(
-    [f"m{i} double" for i in range(P)] + [f"w{i}{j} double" for i in range(P) for j in range(i, P)]
+#: m: centre; a: columns that turn the covariance into the unit matrix and WORD_VARIANCE into the diagonal v.
+PARAMS = "grp string, origin int, n long, logdet double, reach double, held double, " + ", ".join(
+    [f"m{i} double" for i in range(P)] + [f"a{i}{j} double" for i in range(P) for j in range(P)] + [f"v{i} double" for i in range(P)]
 )
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -169,15 +178,18 @@ def chi2_quantile(p: float, degrees: int) -> float:
     return degrees * (1 - c + NormalDist().inv_cdf(p) * c**0.5) ** 3
 
 
-def _estimate(grp, origin, n, taken, sums, squares, reach):
-    """A parameter row from the moments of ``taken`` rows."""
+def _estimate(grp, origin, n, taken, sums, squares, reach, held):
+    """A parameter row from the moments of ``taken`` rows; ``held`` is their mean 1 / words."""
     mean = sums / taken
     cov = np.zeros((P, P))
     for (i, j), s in zip(_PAIRS, squares):
         cov[i, j] = cov[j, i] = s / taken - mean[i] * mean[j]
     cov += np.diag(FLOOR**2)
-    inverse = np.linalg.inv(cov)
-    return [grp, int(origin), int(n), float(np.linalg.slogdet(cov)[1]), float(reach), *mean, *(inverse[i, j] for i, j in _PAIRS)]
+    spread, axes = np.linalg.eigh(cov)
+    whiten = axes / np.sqrt(spread)
+    extra, turn = np.linalg.eigh(whiten.T @ np.diag(WORD_VARIANCE) @ whiten)
+    logdet = float(np.log(spread).sum())
+    return [grp, int(origin), int(n), logdet, float(reach), float(held), *mean, *(whiten @ turn).ravel(), *np.maximum(extra, 0)]
 
 
 def _columns():
@@ -187,15 +199,16 @@ def _columns():
 def _distance():
     """Squared distance as one generated expression."""
     d = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(VECTOR)]
-    terms = [d[i] * d[j] * F.col(f"w{i}{j}") * (1 if i == j else 2) for i, j in _PAIRS]
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return F.greatest(total, F.lit(0.0))
+    short = F.greatest(F.col("per_word") - F.col("held"), F.lit(0.0))
+    total = F.lit(0.0)
+    for j in range(P):
+        z = sum((d[i] * F.col(f"a{i}{j}") for i in range(1, P)), d[0] * F.col(f"a0{j}"))
+        total = total + z * z / (1 + short * F.col(f"v{j}"))
+    return total
 
 
 def _moments():
-    return [F.count("*").alias("taken"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)),
+    return [F.count("*").alias("taken"), F.sum("per_word").alias("words_"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)),
             *(F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q{i}{j}") for i, j in _PAIRS)]
 
 
@@ -214,11 +227,12 @@ def _start(vectors: DataFrame) -> DataFrame:
             rows = []
             for r in frame.to_dict("records"):
                 n = r["taken"]
-                rows.append(_estimate(r["grp"], 0, n, n, np.array([r[c] for c in _SUMS]), [r[c] for c in _SQUARES], np.inf))
+                held = r["words_"] / n
+                rows.append(_estimate(r["grp"], 0, n, n, np.array([r[c] for c in _SUMS]), [r[c] for c in _SQUARES], np.inf, held))
                 centre = np.array([r[f"c{i}"] for i in range(P)])
                 width = np.array([(r[f"r{i}"][1] - r[f"r{i}"][0]) / 1.349 for i in range(P)])
                 second = [centre[i] * centre[j] + (width[i] ** 2 if i == j else 0) for i, j in _PAIRS]
-                rows.append(_estimate(r["grp"], 1, n, 1, centre, second, np.inf))
+                rows.append(_estimate(r["grp"], 1, n, 1, centre, second, np.inf, held))
             yield pd.DataFrame(rows, columns=_columns())
 
     return cut(table.mapInPandas(build, PARAMS))
@@ -243,6 +257,7 @@ def _concentrate(vectors: DataFrame, params: DataFrame) -> DataFrame:
         row = _estimate(
             frame["grp"].iloc[0], frame["origin"].iloc[0], total, taken,
             part[_SUMS].sum().to_numpy(), part[_SQUARES].sum().to_numpy(), max(1.0, edge / expected),
+            part["words_"].sum() / taken,
         )
         return pd.DataFrame([row], columns=_columns())
 
@@ -265,9 +280,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """COUNTS, distance, base_failed and kept for every row of (doc_id, text, lang, source)."""
     table = _vectors(counts(docs))
     keyed = table.join(_group_keys(table), ["lang", "source"], "left")
-    vectors = cut(keyed.select("doc_id", *COUNTS, "base_failed", "grp", *VECTOR))
-    params = robust_estimates(vectors.where(~F.col("base_failed") & F.col("grp").isNotNull()).select("grp", *VECTOR))
-    damped = _distance() / F.col("reach") * F.col("n_words") / (F.col("n_words") + SHORT)
-    judged = vectors.join(params, "grp", "left").withColumn("distance", damped)
+    vectors = cut(keyed.select("doc_id", *COUNTS, "base_failed", "grp", "per_word", *VECTOR))
+    params = robust_estimates(vectors.where(~F.col("base_failed") & F.col("grp").isNotNull()).select("grp", "per_word", *VECTOR))
+    judged = vectors.join(params, "grp", "left").withColumn("distance", _distance() / F.col("reach"))
     near = F.coalesce(F.col("distance") <= chi2_quantile(1 - TAIL, P), F.lit(True))
     return judged.select("doc_id", *COUNTS, "distance", "base_failed", (~F.col("base_failed") & near).alias("kept"))

@@ -250,7 +250,7 @@ def test_quality_estimate_and_verdict(spark):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     assert all(got[i].kept for i in range(400)) and not any(got[1000 + i].kept for i in range(60))
     vectors = quality._vectors(quality.counts(docs)).withColumn("grp", quality.F.lit("g"))
-    estimate = quality.robust_estimates(vectors.select("grp", *quality.VECTOR)).first()
+    estimate = quality.robust_estimates(vectors.select("grp", "per_word", *quality.VECTOR)).first()
     x = np.array([[r[c] for c in quality.VECTOR] for r in vectors.collect()])
     subset = x[np.argsort(x[:, 1])[: int(0.75 * len(x))]]  # start from texts without symbols
     for _ in range(20):
@@ -260,6 +260,30 @@ def test_quality_estimate_and_verdict(spark):
     assert np.allclose([estimate[f"m{i}"] for i in range(6)], subset.mean(0), atol=0.02)
 
 
+def test_quality_distances_and_lengths(spark):
+    """Distances equal those of each text's own covariance, inverted in numpy; symbol lists go and ordinary texts stay at every length."""
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(3000)])
+    lengths = [40, 80, 150, 400]
+    rows = [(i, " ".join(rng.choice(words, lengths[i % 4], replace=False))) for i in range(600)]
+    lists = [" ".join(w + "#|" * (k % 2) for k, w in enumerate(rng.choice(words, n, replace=False))) for n in lengths for _ in range(10)]
+    rows += [(1000 + i, text) for i, text in enumerate(lists)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert all(got[i].kept for i in range(600)) and not any(got[1000 + i].kept for i in range(40))
+
+    vectors = quality._vectors(quality.counts(docs)).withColumn("grp", quality.F.lit("g")).where("not base_failed")
+    p = quality.robust_estimates(vectors.select("grp", "per_word", *quality.VECTOR)).first()
+    axes = np.array([[p[f"a{i}{j}"] for j in range(6)] for i in range(6)])
+    covariance = np.linalg.inv(axes @ axes.T)
+    for r in vectors.collect():
+        own = covariance + np.diag(quality.WORD_VARIANCE) * max(0.0, 1 / r.n_words - p.held)
+        d = np.array([r[c] for c in quality.VECTOR]) - [p[f"m{i}"] for i in range(6)]
+        want = d @ np.linalg.inv(own) @ d / p.reach
+        assert got[r.doc_id].distance == pytest.approx(want, rel=1e-6, abs=1e-9)
+        assert got[r.doc_id].kept == (want <= quality.chi2_quantile(1 - quality.TAIL, 6))
+
+
 def plain_sets(rows, width):
     out = []
     for text in rows:
