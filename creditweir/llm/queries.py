@@ -27,7 +27,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch():
         placed = shards.shard(_table(spark, sf_dir, "documents"), limit=shards.LIMIT)
         shards.write(placed, folder)
-    return spark.read.parquet(folder).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows", "oversized")
+    return spark.read.parquet(folder).select("row.doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows", "oversized")
 
 
 OP2_SQL = f"""

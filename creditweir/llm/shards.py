@@ -6,7 +6,8 @@ only buckets over the limit split on their next bit. Cells still over the limit
 last bit are summed again on more bits, those rows only, until all buckets fit or the
 hash is used up. The directory has one entry per cell and is joined, not collected.
 
-Rows alike in id and text share a hash: their bucket can stay over the limit, as can one
+The columns of a row travel in one struct, ``row``, so none is lost or overwritten,
+whatever its name. Rows alike in id and text share a hash: their bucket can stay over the limit, as can one
 with a single longer row; both are marked ``oversized`` and written as several files.
 Null ids and texts count as empty. An empty table gives no shard.
 """
@@ -26,14 +27,13 @@ def _bits(prefix, depth):
 
 
 def sized(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The rows with hash and n_bytes."""
+    """(row, hash, n_bytes): every row of ``docs`` as a struct, with its hash and the bytes of its text."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     key = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit("|"), text)
-    return docs.withColumns(
-        {
-            "hash": F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long"),
-            "n_bytes": F.octet_length(text).cast("long"),
-        }
+    return docs.select(
+        F.struct("*").alias("row"),
+        F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"),
+        F.octet_length(text).cast("long").alias("n_bytes"),
     )
 
 
@@ -78,9 +78,8 @@ def assign(rows: DataFrame, entries: DataFrame, limit: int = LIMIT) -> DataFrame
 
 
 def shard(docs: DataFrame, id_column="doc_id", text_column="text", limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs`` with their shard."""
-    clash = {"hash", "n_bytes", "cell", "bucket", "depth", "shard", "shard_bytes", "shard_rows", "oversized"}
-    rows = sized(docs.drop(*(clash & set(docs.columns))), id_column, text_column)
+    """(row, hash, n_bytes, depth, shard_bytes, shard_rows, shard, oversized) of every row of ``docs``."""
+    rows = sized(docs, id_column, text_column)
     return assign(rows, directory(rows.select("hash", "n_bytes"), limit), limit)
 
 

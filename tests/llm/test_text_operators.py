@@ -148,17 +148,27 @@ def test_shards(spark, request, tmp_path, table):
     size = Counter()
     for r in rows:
         size[r.shard] += r.n_bytes
-        assert len(r.shard) == r.depth and r.n_bytes == len((r.text or "").encode())
+        assert len(r.shard) == r.depth and r.n_bytes == len((r.row.text or "").encode())
     for r in rows:
         assert r.shard_bytes == size[r.shard] and r.oversized == (size[r.shard] > 4000)
         # A bucket split because its parent was over the limit.
         if r.depth:
             assert sum(v for k, v in size.items() if k.startswith(r.shard[:-1])) > 4000
         if r.oversized:
-            assert len({(q.doc_id, q.text) for q in rows if q.shard == r.shard and q.n_bytes}) == 1
+            assert len({(q.row.doc_id, q.row.text) for q in rows if q.shard == r.shard and q.n_bytes}) == 1
     if rows:
         shards.write(placed, str(tmp_path / "out"), limit=4000)
-        assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+        back = spark.read.parquet(str(tmp_path / "out")).select("row.*")
+        assert Counter(map(tuple, back.collect())) == Counter(map(tuple, docs.select(back.columns).collect()))
+
+
+def test_shards_keep_columns_of_any_name(spark, tmp_path):
+    names = ["part", "Bucket", "hash", "depth", "n_bytes", "shard", "row", "cell", "oversized"]
+    docs = spark.createDataFrame([(i, "text " * (i + 1), *[f"{n} {i}" for n in names]) for i in range(60)], ["doc_id", "text", *names])
+    shards.write(shards.shard(docs, limit=900), str(tmp_path / "out"), limit=900)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.select("shard").distinct().count() > 2
+    assert sorted(map(tuple, back.select("row.*").collect())) == sorted(map(tuple, docs.collect()))
 
 
 def test_pages_against_their_article(spark):
