@@ -38,6 +38,8 @@ P = len(VECTOR)
 #: Spread below which a statistic is not told apart, in its transformed unit.
 FLOOR = np.array([0.05, 0.05, 0.05, 0.05, 0.10, 0.10])
 SHARE, STEPS, MIN_GROUP, BINS_PER_OCTAVE = 0.75, 5, 120, 16
+#: Parameter rows, two a group, up to which they are broadcast.
+MAX_PARAMS = 20_000
 #: Share of ordinary texts that lie beyond the cutoff, were the vectors normal.
 TAIL = 1e-6
 #: Variance of each statistic in a text of one word, in the order of VECTOR. The root of a share of N independent trials
@@ -207,6 +209,11 @@ def _distance():
     return total
 
 
+def _small(params: DataFrame) -> DataFrame:
+    """``params`` to be broadcast while its rows are at most MAX_PARAMS (10 MB), else as it is, for a shuffled join."""
+    return F.broadcast(params) if params.limit(MAX_PARAMS + 1).count() <= MAX_PARAMS else params
+
+
 def _moments():
     return [F.count("*").alias("taken"), F.sum("per_word").alias("words_"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)),
             *(F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q{i}{j}") for i, j in _PAIRS)]
@@ -241,7 +248,7 @@ def _start(vectors: DataFrame) -> DataFrame:
 def _concentrate(vectors: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step for every group and start: a pass over all vectors."""
     bin_ = F.floor(F.log2(1 + _distance()) * BINS_PER_OCTAVE).cast("int")
-    joined = vectors.join(params, "grp").withColumn("bin", bin_)
+    joined = vectors.join(_small(params), "grp").withColumn("bin", bin_)
     bins = joined.groupBy("grp", "origin", "bin").agg(*_moments())
 
     def step(frame: pd.DataFrame) -> pd.DataFrame:
@@ -282,6 +289,6 @@ def judge(docs: DataFrame) -> DataFrame:
     keyed = table.join(_group_keys(table), ["lang", "source"], "left")
     vectors = cut(keyed.select("doc_id", *COUNTS, "base_failed", "grp", "per_word", *VECTOR))
     params = robust_estimates(vectors.where(~F.col("base_failed") & F.col("grp").isNotNull()).select("grp", "per_word", *VECTOR))
-    judged = vectors.join(params, "grp", "left").withColumn("distance", _distance() / F.col("reach"))
+    judged = vectors.join(_small(params), "grp", "left").withColumn("distance", _distance() / F.col("reach"))
     near = F.coalesce(F.col("distance") <= chi2_quantile(1 - TAIL, P), F.lit(True))
     return judged.select("doc_id", *COUNTS, "distance", "base_failed", (~F.col("base_failed") & near).alias("kept"))
