@@ -12,13 +12,15 @@ def plain_decimal(value: Column) -> Column:
     One decimal is always kept, so 2 reads ``2.0``.
     """
     text = F.round(value, 4).cast("decimal(38,4)").cast("string")
-    return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
+    # The bar marks the end, so that a point left there gets its zero back.
+    ended = F.concat(F.rtrim(text, F.lit("0")), F.lit("|"))
+    return F.rtrim(F.replace(ended, F.lit(".|"), F.lit(".0")), F.lit("|"))
 
 
 def strip_fences(raw: Column) -> Column:
     """The reply without outer blanks and, if it opens with ``` or ```json, without its fence."""
     fenced = F.regexp_extract(raw, r"(?s)\A\s*```(?:json)?\s*(.*?)\s*(?:```)?\s*\z", 1)
-    plain = F.regexp_extract(raw, r"(?s)\A\s*(.*?)\s*\z", 1)
+    plain = F.btrim(raw, F.lit(" \t\n\x0b\f\r"))  # as \s
     return F.when(raw.rlike(r"\A\s*```"), fenced).otherwise(plain)
 
 

@@ -112,8 +112,13 @@ def _forms(value: Column) -> Column:
     return F.array(*[f.cast(NUMBER) for f in forms])
 
 
+def _numbers_in_all(texts: Column) -> Column:
+    """The numbers of all texts, found in one search: none goes on across a line break. A null has none."""
+    return numbers_in(F.array_join(texts, "\n", ""))
+
+
 def payload_numbers(payload: str = "payload") -> Column:
-    """Every number a report on this payload may contain."""
+    """Every number a report on this payload may contain, some of them more than once."""
     contributions = F.col(f"{payload}.contributions")
     values = F.concat(
         F.array(
@@ -123,8 +128,9 @@ def payload_numbers(payload: str = "payload") -> Column:
         ),
         F.transform(contributions, lambda c: c["value"]),
         F.transform(contributions, lambda c: c["contribution"]),
-        F.transform(contributions, lambda c: c["rank"].cast("double")),
     )
+    # A whole number has two forms only, itself and as a percentage.
+    ranks = F.transform(contributions, lambda c: F.array(c["rank"].cast(NUMBER), (c["rank"] * 100).cast(NUMBER)))
     texts = F.concat(
         F.array(
             F.col(f"{payload}.request_id"),
@@ -137,11 +143,10 @@ def payload_numbers(payload: str = "payload") -> Column:
         F.transform(contributions, lambda c: c["direction"]),
         F.transform(contributions, lambda c: F.coalesce(c["reason_code"], F.lit(""))),
     )
-    quoted = F.flatten(F.transform(values, _forms))
-    written = F.flatten(F.transform(texts, numbers_in))
+    quoted = F.flatten(F.concat(F.transform(values, _forms), ranks))
     incidental = F.array(*[F.lit(n).cast(NUMBER) for n in fv.INCIDENTAL_NUMBERS])
     # A null stands for a number too long to compare; none may cover for one in the report.
-    return F.array_compact(F.array_distinct(F.concat(quoted, written, incidental)))
+    return F.array_compact(F.concat(quoted, _numbers_in_all(texts), incidental))
 
 
 def report_numbers(report: str = "report") -> Column:
@@ -156,7 +161,12 @@ def report_numbers(report: str = "report") -> Column:
         _empty_if_null(f"{report}.data_quality_notes", "string"),
         _empty_if_null(f"{report}.recommended_checks", "string"),
     )
-    return F.flatten(F.transform(texts, lambda t: numbers_in(F.coalesce(t, F.lit("")))))
+    return _numbers_in_all(texts)
+
+
+def _without(numbers: Column, known: Column) -> Column:
+    """``array_except`` of numbers, by their texts: at one scale equal numbers read alike, and texts are far quicker to hash."""
+    return F.array_except(numbers.cast("array<string>"), known.cast("array<string>")).cast(f"array<{NUMBER}>")
 
 
 def audit(rows: DataFrame, reply: str = "reply", payload: str = "payload") -> DataFrame:
@@ -174,7 +184,7 @@ def audit(rows: DataFrame, reply: str = "reply", payload: str = "payload") -> Da
     checked = parsed.select(
         "*",
         F.when(sound, fabricated_codes(payload=payload)).otherwise(none_text).alias("fabricated"),
-        F.when(sound, F.array_except(report_numbers(), payload_numbers(payload)))
+        F.when(sound, _without(report_numbers(), payload_numbers(payload)))
         .otherwise(none_number)
         .alias("unsupported"),
     )

@@ -5,7 +5,8 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from creditweir.operators import models
+from creditweir.operators import audit, models
+from creditweir.plans.catalog import QUERIES
 
 
 def _rows(spark, seed):
@@ -40,3 +41,24 @@ def test_the_chosen_trees_are_cut_from_the_fitted_model(spark, monkeypatch, tmp_
     assert scores(model) == scores(again) == scores(GBTClassificationModel.load(path))
     assert models._leaf_values(model).tolist() == models._leaf_values(again).tolist()
     assert model.featureImportances.toArray() == pytest.approx(again.featureImportances.toArray())
+
+
+@pytest.mark.parametrize("name", ["model_payload", "reason_codes"])
+def test_contributions_are_ranked_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_array(") == 1
+
+
+def test_a_null_payload_text_has_no_number(spark):
+    contribution = "named_struct('factor', 'Age', 'value', 51.0D, 'contribution', -0.25D, 'direction', 'lowers', 'rank', 3, 'reason_code', CAST(NULL AS STRING))"
+    payload = spark.range(1).selectExpr(
+        "named_struct('request_id', CAST(NULL AS STRING), 'model', named_struct('pipeline', 'credit', 'version', 'v1', 'algorithm', 'l2'),"
+        " 'prediction', named_struct('probability_of_default', 0.125D, 'threshold', 0.5D, 'risk_band', 'low'),"
+        f" 'population_baseline', named_struct('average_probability_of_default', 0.0668D), 'contributions', array({contribution})) AS payload"
+    )
+    found = {float(n) for n in payload.select(audit.payload_numbers()).first()[0]}
+    assert found == {0, 1, 2, 3, 4, 5, 0.125, 0.13, 0.1, 12.5, 12, 0.5, 50, 0.0668, 0.07, 6.68, 6.7, 6, 51, 5100, 0.25, 0.3, 25, 300}
+    known = spark.sql("SELECT array(0.5, NULL, 1.50, 0.5) AS a, array(1.5, 2) AS b").select(
+        audit._without(F.col("a").cast(f"array<{audit.NUMBER}>"), F.col("b").cast(f"array<{audit.NUMBER}>"))
+    )
+    assert [None if n is None else float(n) for n in known.first()[0]] == [0.5, None]
