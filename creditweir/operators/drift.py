@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditweir import fixed_values as fv
 from creditweir.functions.columns import drift_status
-from creditweir.operators.longform import binned, cell_counts
+from creditweir.operators.longform import batch_counts, binned, cell_counts
 from creditweir.operators.quantiles import exact_quantiles
 from creditweir.session import cut, small_table
 
@@ -55,7 +55,7 @@ def edges_of(profile: DataFrame) -> dict:
 
 def bin_counts(df: DataFrame, edges: dict, by: tuple = ()) -> DataFrame:
     """(*by, feature, bin, n) for all features in one pass and one shuffle."""
-    return cell_counts(binned(df, {f: F.col(f) for f in edges}, edges, by), edges, by)
+    return batch_counts(df, edges, by)
 
 
 def _per_feature(counts: DataFrame, by: tuple = ()) -> DataFrame:
@@ -77,20 +77,10 @@ def reference_profile(df: DataFrame, features: list, bins: int = fv.DRIFT_BINS)
     df = cut(df.select(*[F.col(f).cast("double").alias(f) for f in features]))
     edges = quantile_edges(df, features, bins)
     counts = _per_feature(bin_counts(df, edges))
-    moments = df.agg(
-        *[F.avg(F.col(f).cast("double")).alias(f"mean:{f}") for f in features],
-        *[F.stddev_samp(F.col(f).cast("double")).alias(f"std:{f}") for f in features],
-    ).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f).alias("feature"), F.col(f"mean:{f}").alias("mean"), F.col(f"std:{f}").alias("std")
-                    )
-                    for f in features
-                ]
-            )
-        )
+    # One row a value, not one aggregate of every feature, whose method would be too long to be compiled.
+    long = df.select(F.posexplode(F.array(*[F.col(f) for f in features])).alias("position", "value"))
+    moments = long.groupBy("position").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).select(
+        F.get(F.array(*map(F.lit, features)), "position").alias("feature"), "mean", "std"
     )
     total = F.greatest(F.coalesce(F.col("total"), F.lit(0)), F.lit(1))
     # Every side here has one row per bin or per feature.

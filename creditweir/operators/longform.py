@@ -1,7 +1,10 @@
 """Lookups in literal edges, and counts of many cells in one aggregate."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bin_of(value, edges: list):
@@ -20,19 +23,6 @@ def bin_of(value, edges: list):
     return F.when(inside, search(0, len(edges) - 1))
 
 
-def zone_of(value, points: list):
-    """2k between the points k - 1 and k, 2k + 1 on the point k (counted from 0); null for nulls and NaN."""
-
-    def search(low: int, high: int):  # points below ``low`` are less than or equal to the value
-        if low == high:
-            between = F.lit(2 * low)
-            return between if low == 0 else F.when(value == F.lit(points[low - 1]), 2 * low - 1).otherwise(between)
-        middle = (low + high) // 2
-        return F.when(value < F.lit(points[middle]), search(low, middle)).otherwise(search(middle + 1, high))
-
-    return F.when(value.isNotNull() & ~F.isnan(value), search(0, len(points)))
-
-
 def binned(df: DataFrame, values: dict, edges: dict, by: tuple = (), keep: dict = {}) -> DataFrame:
     """(*by, *keep, b0, b1, ...): the bin of every feature's value, in the order of ``edges``, and columns by name."""
     features = list(edges)
@@ -70,3 +60,33 @@ def cell_counts(bins: DataFrame, edges: dict, by: tuple = (), missing: bool = Fa
     of_feature = Window.partitionBy(*by, "feature")
     heard = F.sum(F.when(~F.col("cell").isin(unlogged), F.col("n"))).over(of_feature)
     return named.withColumns({"n_rows": F.sum("n").over(of_feature), "heard": heard}).filter("heard > 0").drop("cell", "heard")
+
+
+def batch_counts(df: DataFrame, edges: dict, by: tuple = ()) -> DataFrame:
+    """(*by, feature, bin, n) of the columns named by ``edges``; values without a bin are left out.
+
+    For tables with many features: as expressions their searches make a method of the JVM's that
+    is too long to be compiled. Here Arrow batches are searched, with the bins of ``bin_of``;
+    a row becomes a list of cells, which are counted as in ``cell_counts``.
+    """
+    features = [f for f, e in edges.items() for _ in e[1:]]
+    numbers = [i for e in edges.values() for i in range(len(e) - 1)]
+    bounds = [np.array(e, dtype=float) for e in edges.values()]
+    drawn = df.select(*by, *[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(edges)])
+
+    def placed(batches):
+        for batch in batches:
+            cells, first = np.full((batch.num_rows, len(bounds)), -1, dtype=np.int32), 0
+            for i, bound in enumerate(bounds):
+                value = batch.column(len(by) + i).to_numpy(zero_copy_only=False)  # nulls as NaN
+                inside = (value >= bound[0]) & (value <= bound[-1])
+                cells[inside, i] = first + np.searchsorted(bound[1:-1], value[inside], "right")
+                first += len(bound) - 1
+            known = cells >= 0
+            ends = np.concatenate([[0], np.cumsum(known.sum(axis=1))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells[known]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], lists], names=[*by, "cells"])
+
+    schema = T.StructType([*drawn.schema[: len(by)], T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    counted = drawn.mapInArrow(placed, schema).select(*by, F.explode("cells").alias("cell")).groupBy(*by, "cell").agg(F.count("*").alias("n"))
+    return counted.select(*by, F.get(F.array(*map(F.lit, features)), "cell").alias("feature"), F.get(F.array(*map(F.lit, numbers)), "cell").alias("bin"), "n")

@@ -10,10 +10,11 @@ at any size while only counts and short value lists reach the driver.
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditweir.operators.longform import zone_of
 from creditweir.session import cut
 
 SKETCH_ACCURACY = 10000
@@ -74,19 +75,38 @@ def _zones(ranges: list) -> list:
 def _tally(df: DataFrame, zones: dict) -> DataFrame:
     """(column_name, zone, value, n), written once; the value only in listed zones.
 
-    Other zones collapse to one row each before the shuffle, and so does any
+    Other zones collapse to one row an Arrow batch and column before the shuffle, and so does any
     value that repeats. There are a few zones per wanted rank and column.
     """
     columns = list(zones)
     drawn = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    entries = []
-    for i, c in enumerate(columns):
-        zone = zone_of(F.col(f"v{i}"), [z.low for z in zones[c] if z.is_point])
-        entries.append(F.struct(F.lit(i).alias("position"), zone.alias("zone"), F.col(f"v{i}").alias("value")))
-    listed = [F.array(*[F.lit(z.listed) for z in zones[c]]) for c in columns]
-    placed = drawn.select(F.inline(F.array(*entries))).filter("zone IS NOT NULL")
-    is_listed = F.get(F.get(F.array(*listed), F.col("position")), F.col("zone"))
-    counted = placed.groupBy("position", "zone", F.when(is_listed, F.col("value")).alias("value")).agg(F.count("*").alias("n"))
+    points = [np.array([z.low for z in zones[c] if z.is_point], dtype=float) for c in columns]
+    listed = [np.array([z.listed for z in zones[c]]) for c in columns]
+
+    def zone_of(value, points):
+        """2k between the points k - 1 and k, 2k + 1 on the point k (counted from 0)."""
+        return np.searchsorted(points, value) + np.searchsorted(points, value, "right")
+
+    def count(batches):
+        for batch in batches:
+            found = []
+            for i in range(len(columns)):
+                value = batch.column(i).to_numpy(zero_copy_only=False)  # nulls as NaN
+                value = value[~np.isnan(value)]
+                zone = zone_of(value, points[i])
+                is_listed = listed[i][zone]
+                rows = np.bincount(zone[~is_listed], minlength=len(listed[i]))
+                counted = np.flatnonzero(rows)
+                single, times = np.unique(value[is_listed], return_counts=True)
+                zone = np.concatenate([counted, zone_of(single, points[i])])
+                value = np.concatenate([np.full(len(counted), np.nan), single])
+                found.append((np.full(len(zone), i), zone, value, np.concatenate([rows[counted], times])))
+            position, zone, value, n = (np.concatenate(arrays) for arrays in zip(*found))
+            arrays = [pa.array(position, pa.int32()), pa.array(zone, pa.int32()), pa.array(value, mask=np.isnan(value)), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["position", "zone", "value", "n"])
+
+    placed = drawn.mapInArrow(count, "position int, zone int, value double, n bigint")
+    counted = placed.groupBy("position", "zone", "value").agg(F.sum("n").alias("n"))
     names = F.array(*[F.lit(c) for c in columns])
     return cut(counted.select(F.get(names, F.col("position")).alias("column_name"), "zone", "value", "n"))
 

@@ -261,8 +261,9 @@ def cleaning_counts(spark, sf_dir):
 
 
 def _train_profile(star: Star):
+    """The profile writes the training features; those of other rows are made where they are counted."""
     cleaned, params = _fitted(star)
-    rows = cut(features.credit_features(cleaned, params, ("applicant_id", "dataset_split")))
+    rows = features.credit_features(cleaned, params, ("dataset_split",))
     profile = drift.reference_profile(rows.filter("dataset_split = 'train'"), fv.CREDIT_FEATURES)
     return cleaned, params, rows, profile
 

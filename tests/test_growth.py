@@ -5,7 +5,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from creditweir.operators import audit, models
+from creditweir.operators import audit, drift, longform, models, quantiles
 from __spark_entry__ import queries
 
 
@@ -75,3 +75,42 @@ def test_pipeline_stages_join_alike_at_any_size(spark):
     # Four keys are little enough to broadcast, and were: what a small table spent told nothing of a large one.
     assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.doc_id for r in kept.collect()) == [7, 17, 27, 37] and kept.columns == docs.columns
+
+
+def _longest_method(spark, df) -> int:
+    """Bytes of the longest generated method; the JVM interprets those above 8000."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = df.select("*")._jdf.queryExecution().debug().codegenToSeq()
+        return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _features(spark, count=17):
+    names = [f"f{i}" for i in range(count)]
+    return names, spark.range(100).select(F.lit("a").alias("g"), *[(F.col("id") * (i + 1) / 7).alias(n) for i, n in enumerate(names)])
+
+
+def test_methods_of_histograms_and_quantiles_are_compiled(spark, monkeypatch):
+    names, df = _features(spark)
+    edges = {n: [float("-inf"), *map(float, range(9)), float("inf")] for n in names}
+    assert _longest_method(spark, drift.bin_counts(df, edges, ("g",))) < 8000  # 13802 before
+    written, cut = [], quantiles.cut
+    monkeypatch.setattr(quantiles, "cut", lambda df: written.append(df) or cut(df))
+    profile = drift.reference_profile(df, names)
+    assert written and max(_longest_method(spark, tally) for tally in written) < 8000  # 53241 before
+    assert _longest_method(spark, profile) < 8000
+    assert {r["feature"]: r["mean"] for r in profile.collect()} == pytest.approx({n: 49.5 * (i + 1) / 7 for i, n in enumerate(names)})
+
+
+def test_bins_of_batches_equal_the_expression(spark):
+    inf, nan = float("inf"), float("nan")
+    edges = {"x": [-inf, -1.5, 0.0, 0.25, 3.0, inf], "y": [-1.0, 0.0, 2.0], "z": [-inf, inf]}
+    values = [None, nan, -inf, inf, -0.0, 0.0, -1.5, -1.0, 0.25, 2.0, 2.1, 3.0]
+    rows = [(None if i % 5 == 0 else i % 3, v, values[-i % len(values)], None) for i, v in enumerate(values * 2)]
+    df = spark.createDataFrame(rows, "g int, x double, y double, z double").repartition(3)
+    expected = longform.cell_counts(longform.binned(df, {f: F.col(f) for f in edges}, edges, ("g",)), edges, ("g",))
+    got = drift.bin_counts(df, edges, ("g",))
+    assert got.columns == expected.columns and sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert drift.bin_counts(df.limit(0), edges).collect() == []
