@@ -60,9 +60,10 @@ def _overflows() -> Column:
     sources = {fv.SILVER_NAMES.get(c, c): c for c in SOURCE_COLUMNS}
 
     def beyond(names, limit, places, hint):
-        texts = F.concat_ws(" ", *[F.col(sources[n]) for n in names])
-        rounded = [F.round(F.abs(to_number(F.col(sources[n]))), places) for n in names]
-        return F.when(texts.rlike(hint), F.coalesce(F.greatest(F.lit(0.0), *rounded) >= limit, F.lit(False))).otherwise(False)
+        # One test for all texts of an array: a parse a column made a method too long to be compiled.
+        texts = F.array(*[F.col(sources[n]) for n in names])
+        large = F.exists(texts, lambda text: F.round(F.abs(to_number(text)), places) >= limit)
+        return F.when(F.concat_ws(" ", texts).rlike(hint), F.coalesce(large, F.lit(False))).otherwise(False)
 
     counters = ["open_credit_lines", "real_estate_loans", *fv.LATE_COUNTERS, "number_of_dependents"]
     return (

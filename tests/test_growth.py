@@ -5,7 +5,8 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from creditweir.operators import audit, drift, longform, models, quantiles
+from creditweir.operators import audit, drift, longform, models, quantiles, silver
+from creditweir.plans import given_tables
 from __spark_entry__ import queries
 
 
@@ -104,6 +105,11 @@ def test_methods_of_histograms_and_quantiles_are_compiled(spark, monkeypatch):
     assert {r["feature"]: r["mean"] for r in profile.collect()} == pytest.approx({n: 49.5 * (i + 1) / 7 for i, n in enumerate(names)})
 
 
+def test_methods_of_silver_are_compiled(spark):
+    bronze = given_tables.bronze_applications(spark, "/root/testdata/sf0.001")
+    assert _longest_method(spark, silver.to_silver(bronze, F.lit("2026-01-01"))) < 8000  # 19106 before
+
+
 def test_bins_of_batches_equal_the_expression(spark):
     inf, nan = float("inf"), float("nan")
     edges = {"x": [-inf, -1.5, 0.0, 0.25, 3.0, inf], "y": [-1.0, 0.0, 2.0], "z": [-inf, inf]}
