@@ -1,7 +1,7 @@
 """Operator 8: benchmark passages in training text by a positional inverted index.
 
 ``build_index`` cuts the documents into segments of bounded bytes and writes one row
-per segment: its sorted terms and, per term, the ascending positions of the term over
+per segment, as bytes: its sorted terms and, per term, the ascending positions of the term over
 the segment's documents (which lie ``GAP`` positions apart, so no phrase spans two).
 The index is spread by documents: a search needs no shuffle, whatever the frequency of
 a word. ``search`` looks up phrases in every segment: lists are taken from the rarest
@@ -24,17 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditweir.llm.scratch import cut, tidy
+from creditweir.llm.scratch import LARGE_ROWS, cut, small_batches, tidy
 from creditweir.llm.words import Words, from_bytes, slices, split_words, text_bytes, text_index, texts_of
 
 GAP = 64
 PART_WORDS = 500_000
 #: Words of one row of a long benchmark item; rows overlap by a window less one word.
 PIECE = 4_000
-INDEX = (
-    "uids array<long>, doc_ids array<long>, starts array<int>, sizes array<int>, "
-    "terms array<string>, counts array<int>, positions binary"
-)
+#: A segment's row holds these columns as bytes of an Arrow stream: Spark's reader takes hundreds of MB of heap for long arrays.
+SEGMENT = ["uids", "doc_ids", "starts", "sizes", "terms", "counts", "positions"]
+INDEX = "segment binary"
 FOUND = "uid long, doc_id long, n_words long, begins array<int>, ends array<int>, items array<string>"
 
 # Separators are U+0000-002F, U+003A-0060 and U+007B-007F after A-Z are lowered.
@@ -75,16 +74,24 @@ def build_index(docs: DataFrame) -> DataFrame:
                 # Bytes of equal weight side by side: the high ones are nearly all zero.
                 packed = np.ascontiguousarray(steps.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
                 columns = [_one_list(x if isinstance(x, pa.Array) else pa.array(x)) for x in lists]
-                yield pa.record_batch([*columns, pa.array([packed], pa.binary())], names=[f.split()[0] for f in INDEX.split(", ")])
+                row_of = pa.record_batch([*columns, pa.array([packed], pa.binary())], names=SEGMENT)
+                yield pa.record_batch([pa.array([_to_bytes(row_of)], pa.binary())], names=["segment"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut(narrow.mapInArrow(run, INDEX))
+    return cut(narrow.mapInArrow(run, INDEX), **LARGE_ROWS)
 
 
 def _one_list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _to_bytes(row: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema) as writer:
+        writer.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
 class Phrases(NamedTuple):
     terms: list[str]  # every distinct word
     phrases: list[list[int]]  # numbers of words
@@ -132,8 +139,8 @@ def search(index: DataFrame, parts: list[Phrases], slop: int = 0, every: bool =
             terms = pa.array(phrases.terms, pa.string())
             wanted = [np.array(p) for p in phrases.phrases]
             for batch in batches:
-                for k in range(batch.num_rows):
-                    segment = _Segment(batch.slice(k, 1), terms)
+                for packed in batch.column("segment"):
+                    segment = _Segment(pa.ipc.open_stream(packed.as_buffer()).read_next_batch(), terms)
                     yield _judge(segment, wanted, phrases.items, slop, first and every)
 
         return run
@@ -226,9 +233,13 @@ def _phrases(rows, window: int) -> Phrases:
     return Phrases(list(numbers), [list(k) for k in keys], [sorted(owners[k]) for k in keys])
 
 
-@tidy
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """(uid, doc_id, n_words, begins, ends, items) for every document."""
+    with small_batches(docs.sparkSession):
+        return tidy(search_all)(docs, benchmark, window)
+
+
+def search_all(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     return search(build_index(docs), benchmark_parts(benchmark, window))
 
 

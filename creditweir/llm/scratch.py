@@ -19,11 +19,29 @@ def filesystem(path: str):
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: For rows of megabytes: by default the sizes of a page and of a row group are first looked at after 100 rows, and a reader holds both whole.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": False}
+#: Bytes of rows that go to a Python worker at a time; Spark's own 64 MB take some four times that beside the heap.
+BATCH_BYTES = 16 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark):
+    """Plans that run inside send batches of ``BATCH_BYTES`` to Python workers."""
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
+def cut(df: DataFrame, **options) -> DataFrame:
     """Writes ``df`` to the shared folder and goes on from the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/text-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if _open:
         _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

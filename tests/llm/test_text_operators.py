@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from creditweir.llm import decontamination, language, licences, near_copies, packing, pages, quality, queries, shards, token_files, urls
 from creditweir.llm.components import components
-from creditweir.llm.scratch import cut
+from creditweir.llm.scratch import cut, small_batches
 from creditweir.llm.tokens import default_vocabulary, encoder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -589,6 +590,23 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontamination.search(index, [phrases], 1, every=False).collect()} == {1, 2}
 
 
+def test_index_rows_come_few_at_a_time(spark):
+    """Segments of megabytes: none shares a row group or a worker's batch with many others."""
+    text = "array_join(transform(sequence(1, 300000), k -> concat('w', id, 'x', k)), ' ')"
+    docs = spark.range(8, numPartitions=1).selectExpr("id AS doc_id", f"{text} AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    index = decontamination.build_index(docs)
+    written = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(k) for m in written for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 8
+    assert max(g.total_byte_size for g in groups) < 16 << 20
+    assert index.dtypes == [("segment", "binary")]
+    sizes = docs.mapInArrow(lambda batches: (pa.record_batch([[b.num_rows]], names=["n"]) for b in batches), "n long")
+    with small_batches(spark):
+        assert max(r.n for r in sizes.collect()) < 8
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_urls(spark):
     names = [None, "", "no scheme/net/", "http://net/", "http://a.b.net/x", "http://A.EXAMPLE.net/en/1?x#y", "http://example.net/de/",
              "http://notexample.com/de/", "http://example.com/de/#a", "http://x.org/fr/", "http://x.org/fr", "http://net", "ftp://net?a/"]
