@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creditweir.operators import drift, evaluation, longform, quantiles
 from creditweir.operators.ranking import global_row_number, running_totals
+from creditweir.plans import catalog_models
 
 TENTHS = [i / 10 for i in range(11)]
 
@@ -99,6 +100,29 @@ def test_threshold_metrics_and_zero_division(spark):
     assert (none["precision"], none["recall"], none["f1"]) == (0.0, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("split", ["test", "valid"])
+def test_boosted_evaluation_has_the_metrics_of_the_test_split(spark, monkeypatch, split):
+    rows = [(k, int(k % 3 == 0), (11 * k % 20) // 2 / 10, split if k < 20 else "train") for k in range(30)]
+    scored = spark.createDataFrame(rows, "applicant_id int, is_serious_delinquency int, probability_default double, dataset_split string")
+    metadata = {"metrics": {"auc": 0.75, "threshold": 0.5}}
+    monkeypatch.setattr(catalog_models, "_trained", lambda *_: (None, None, None, metadata, scored))
+    got = catalog_models.boosted_evaluation(spark, "").collect()
+    own = [(y, p) for _, y, p, s in rows if s == "test"]
+    counts = {k: sum((y, p >= 0.5) == v for y, p in own) for k, v in {"tn": (0, False), "fp": (0, True), "fn": (1, False), "tp": (1, True)}.items()}
+    assert all({k: r[k] for k in counts} == counts and r["threshold"] == 0.5 for r in got)
+    if not own:
+        assert len(got) == 1 and got[0]["decile"] is None and got[0]["auc"] is None
+        return
+    assert sorted(r["decile"] for r in got) == list(range(10)) and sum(r["n"] for r in got) == len(own)
+    wins = [(a > b) + 0.5 * (a == b) for y, a in own for z, b in own if y > z]
+    auc = sum(wins) / len(wins)
+    for r in got:
+        assert r["auc"] == pytest.approx(auc, abs=1e-6) and r["auc_gap"] == pytest.approx(0.75 - auc, abs=1e-6)
+        assert r["precision"] == pytest.approx(counts["tp"] / (counts["tp"] + counts["fp"]), abs=1e-6)
+        assert r["recall"] == pytest.approx(counts["tp"] / (counts["tp"] + counts["fn"]), abs=1e-6)
+        assert r["gap_warning"] == (abs(0.75 - auc) > 0.02) and 0 <= r["ks"] <= 1 and 0 < r["f1"] < 1
+
+
 def numpy_psi(reference, current, edges):
     r = np.histogram(reference, edges)[0] / len(reference)
     c = np.histogram(current, edges)[0] / len(current)
