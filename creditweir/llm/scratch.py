@@ -22,7 +22,7 @@ def filesystem(path: str):
 #: For rows of megabytes: by default the sizes of a page and of a row group are first looked at after 100 rows, and a reader holds both whole.
 LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": False}
 #: Bytes of rows that go to a Python worker at a time; Spark's own 64 MB take some four times that beside the heap.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
